@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, urls
+from . import bpe, lines, mixing, quality, urls
 from .common import table
 
+#: The rank file of the byte-level BPE queries; the operator takes any path.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_templates": lambda s, d: urls.url_report(table(s, d, "pages")),
         "op4_mixing": lambda s, d: mixing.mixing_report(table(s, d, "documents")),
+        "op6_bpe": lambda s, d: bpe.bpe_report(table(s, d, "documents"), RANKS, public_tokenizers.PATTERN),
         "op8_line_dedup": lambda s, d: lines.line_report(table(s, d, "documents")),
+        "op10_repetition_rules": lambda s, d: quality.quality_report(table(s, d, "documents")).drop("longest_repeat"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_templates": urls.oracle(), "op4_mixing": mixing.oracle(), "op8_line_dedup": lines.ORACLE}
+    return {"op2_url_templates": urls.oracle(), "op4_mixing": mixing.oracle(), "op8_line_dedup": lines.ORACLE, "op10_repetition_rules": quality.oracle()}
