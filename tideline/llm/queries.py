@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, quality, urls
+from . import bpe, lines, mixing, neardup, quality, urls
 from .common import table
 
 #: The rank file of the byte-level BPE queries; the operator takes any path.
@@ -17,6 +17,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_templates": lambda s, d: urls.url_report(table(s, d, "pages")),
+        "op3_minhash_near_dedup": lambda s, d: neardup.neardup_report(table(s, d, "documents")),
         "op4_mixing": lambda s, d: mixing.mixing_report(table(s, d, "documents")),
         "op6_bpe": lambda s, d: bpe.bpe_report(table(s, d, "documents"), RANKS, public_tokenizers.PATTERN),
         "op8_line_dedup": lambda s, d: lines.line_report(table(s, d, "documents")),
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_templates": urls.oracle(), "op4_mixing": mixing.oracle(), "op8_line_dedup": lines.ORACLE, "op10_repetition_rules": quality.oracle()}
+    return {"op2_url_templates": urls.oracle(), "op3_minhash_near_dedup": neardup.oracle(), "op4_mixing": mixing.oracle(), "op8_line_dedup": lines.ORACLE, "op10_repetition_rules": quality.oracle()}

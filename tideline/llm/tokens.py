@@ -113,11 +113,10 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((words.count > 0) & (words.count < k))
     if len(short):
         few = np.empty(len(short), np.uint64)
-        for x, d in enumerate(short):  # at most k - 1 words each
-            v = np.uint64(words.count[d])
-            for i in range(words.first[d], words.first[d + 1]):
-                v = mix64(np.asarray(v + h[i] + np.uint64(77)))[()]
-            few[x] = v
+        few[:] = words.count[short]
+        for j in range(k - 1):
+            has = words.count[short] > j
+            few[has] = mix64(few[has] + h[words.first[short[has]] + j] + np.uint64(77))
         doc, out = np.concatenate([doc, short]), np.concatenate([out, few])
     order = np.lexsort((out, doc))
     doc, out = doc[order], out[order]
