@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .tokens import pieces
 
@@ -162,7 +164,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
                 made = [coder.encode(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, ids])
 
-    return docs.mapInArrow(run, docs.schema.add(ids, "binary"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, BinaryType())]))
 
 
 def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -175,7 +177,7 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out:
                 made = [None if x is None else coder.decode(x) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "binary"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, BinaryType())]))
 
 
 def bpe_report(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,7 +196,5 @@ def bpe_report(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", te
                 columns = [part.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p) for p in packed], pa.string()), pa.array([sha(coder.decode(p)) for p in packed], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    from pyspark.sql import functions as F
-
     slim = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
