@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, lines, mixing, neardup, quality, toxicity, urls
+from . import bpe, fingerprints, lines, lm, mixing, neardup, quality, toxicity, urls
 from .common import table
 
 #: The rank file of the byte-level BPE queries; the operator takes any path.
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": lambda s, d: mixing.mixing_report(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: toxicity.toxicity_report(table(s, d, "documents"), table(s, d, "labels")),
         "op6_bpe": lambda s, d: bpe.bpe_report(table(s, d, "documents"), RANKS, public_tokenizers.PATTERN),
+        "op7_gru_lm": lambda s, d: lm.lm_report(table(s, d, "documents")),
         "op8_line_dedup": lambda s, d: lines.line_report(table(s, d, "documents")),
         "op9_fingerprints": lambda s, d: fingerprints.fingerprint_report(table(s, d, "documents")),
         "op10_repetition_rules": lambda s, d: quality.quality_report(table(s, d, "documents")).drop("longest_repeat"),
