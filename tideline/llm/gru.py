@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Hidden units, steps of a backpropagation window, streams side by side.
-HIDDEN, STEPS, STREAMS = 24, 16, 384
+HIDDEN, STEPS, STREAMS = 16, 16, 768
 #: Ids of the two symbols that every vocabulary has; words follow by rank.
 UNK, END = 0, 1
 
@@ -76,7 +76,8 @@ def forward(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, h:
     hs = np.empty((steps, n, HIDDEN), np.float32)
     tape = []
     for t in range(steps):
-        h = np.where(first[t][:, None], np.float32(0), h)
+        if first[t].any():
+            h = np.where(first[t][:, None], np.float32(0), h)
         g = p["x"][tokens[t]]
         hu = h @ p["u"]
         zr = _sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
@@ -89,18 +90,18 @@ def forward(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, h:
     return hs, h, tape
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x -= x.max(1, keepdims=True)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place. Logits are cut at 60 instead of shifted by their maximum, and sums are products: rows are short."""
+    np.minimum(x, 60.0, out=x)
     np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
-    x /= total
-    return x, total
+    x *= np.reciprocal(x @ np.ones(x.shape[1], x.dtype) + np.float32(1e-30))[:, None]
+    return x
 
 
 def output(p: dict[str, np.ndarray], shape: Shape, hs: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None):
     """(log-probability of each target, gradient of hs or None). hs: (n, hidden); each class is dealt with in one product."""
     cls, word = target // shape.width, target % shape.width
-    pc, _ = _softmax(hs @ p["cw"] + p["cb"])
+    pc = _softmax(hs @ p["cw"] + p["cb"])
     at = np.arange(len(target))
     logp = np.log(np.maximum(pc[at, cls], 1e-30))
     dh = None
@@ -116,7 +117,7 @@ def output(p: dict[str, np.ndarray], shape: Shape, hs: np.ndarray, target: np.nd
         if not len(rows):
             continue
         x = hs[rows]
-        pw, _ = _softmax(x @ p["ww"][c] + p["wb"][c])
+        pw = _softmax(x @ p["ww"][c] + p["wb"][c])
         k = np.arange(len(rows))
         logp[rows] += np.log(np.maximum(pw[k, word[rows]], 1e-30))
         if grads is not None:
@@ -183,19 +184,21 @@ def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS) -> I
         heapq.heapreplace(heap, (load + int(size[d]), s))
     loads = sorted(((load, s) for load, s in heap), reverse=True)
     length = np.array([load for load, _ in loads])
-    rows = [np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in dealt[s]]) for _, s in loads]
-    docs = [np.repeat(dealt[s], size[dealt[s]]) for _, s in loads]
-    for at in range(0, int(length[0]), STEPS):
+    where = np.full((n, -(-int(length[0]) // STEPS) * STEPS), -1, np.int32)  # place in tokens, by stream and step
+    for k, (load, s) in enumerate(loads):
+        d = np.array(dealt[s])
+        m = size[d]
+        where[k, :load] = np.arange(load) + np.repeat(bounds[d] - (np.cumsum(m) - m), m)
+    begins = np.zeros(len(tokens) + 1, bool)
+    begins[bounds[:-1]] = True
+    doc_of = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    for at in range(0, where.shape[1], STEPS):
         active = int(np.count_nonzero(length > at))
-        target = np.full((STEPS, active), END, np.int32)
-        before, doc, first = np.full((STEPS, active), END, np.int32), np.full((STEPS, active), -1, np.int64), np.zeros((STEPS, active), bool)
-        for k in range(active):
-            i = rows[k][at : at + STEPS]
-            m = len(i)
-            target[:m, k], doc[:m, k] = tokens[i], docs[k][at : at + m]
-            first[:m, k] = bounds[docs[k][at : at + m]] == i
-            before[:m, k] = np.where(first[:m, k], END, tokens[np.maximum(i - 1, 0)])
-        yield before, target, first, doc, active
+        i = np.ascontiguousarray(where[:active, at : at + STEPS].T)
+        real = i >= 0
+        first = begins[i] & real
+        before = np.where(real & ~first, tokens[i - 1], END).astype(np.int32)
+        yield before, np.where(real, tokens[i], END).astype(np.int32), first, np.where(real, doc_of[i], -1), active
 
 
 def train(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: np.ndarray, adam: Adam) -> None:

@@ -19,7 +19,7 @@ from .common import durable, partitions
 from .tokens import Words, pieces
 
 #: Words of the recurrent model's vocabulary, the most frequent; the others share a symbol.
-VOCABULARY = 2_046
+VOCABULARY = 1_022
 #: Shares of the training documents between two averagings, in sixteenths, with the learning rate of each part.
 PARTS = [(1, 0.01), (3, 0.01), (5, 0.006), (7, 0.003)]
 END_HASH = np.uint64(0x1234567890ABCDEF)
