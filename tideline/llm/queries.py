@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, lines, lm, mixing, neardup, quality, toxicity, urls
+from . import bpe, fingerprints, lines, lm, mixing, neardup, quality, substrings, toxicity, urls
 from .common import table
 
 #: The rank file of the byte-level BPE queries; the operator takes any path.
@@ -16,6 +16,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": lambda s, d: substrings.substring_report(table(s, d, "documents")),
         "op2_url_templates": lambda s, d: urls.url_report(table(s, d, "pages")),
         "op3_minhash_near_dedup": lambda s, d: neardup.neardup_report(table(s, d, "documents")),
         "op4_mixing": lambda s, d: mixing.mixing_report(table(s, d, "documents")),
