@@ -47,7 +47,8 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     x = x.withColumn(d, F.transform(every, lambda i: F.try_element_at(F.col(m), i)))
     at = lambda j: F.get(F.col(d), j)
     rest = lambda i: at(_probe(i, F.get(F.filter(every, lambda a: at(_probe(i, a)).isNotNull()), 0)))
-    filled = F.transform(F.col(d), lambda z, i: F.coalesce(z, *[at(_probe(i, F.lit(a))) for a in range(PROBES)], rest(i)).bitwiseAND(F.lit((1 << BITS) - 1)))
+    # hashed with the bin's number: bins that borrow one value would else all agree by one chance of 2**-BITS
+    filled = F.transform(F.col(d), lambda z, i: F.xxhash64(F.coalesce(z, *[at(_probe(i, F.lit(a))) for a in range(PROBES)], rest(i)), i).bitwiseAND(F.lit((1 << BITS) - 1)))
     x = x.withColumn(v, F.when(F.size(m) > 0, filled).otherwise(none))
     pack = [F.aggregate(F.slice(F.col(v), g * PER_LONG + 1, PER_LONG), F.lit(0).cast("long"), lambda acc, z: F.shiftleft(acc, BITS).bitwiseOR(z)) for g in range(BINS // PER_LONG)]
     return x.withColumn(out, F.when(F.size(v) > 0, F.array(*pack)).otherwise(none)).drop(m, d, v)
