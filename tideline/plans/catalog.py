@@ -11,6 +11,7 @@ from ..functions import scalars
 from ..operators import changepoints, changes, chunks, detectors, evaluate, recall, speakers
 from . import adapters as A
 
+#: Change threshold, marks per recording and their spacing in the queries.
 DELTA, BUDGET, GAP = 16, 10, 3.0
 
 
