@@ -31,7 +31,7 @@ FUZZY = 0.6
 LEAST = 0.45
 QUOTES = "\"“”„«»‹›"
 EDGE = QUOTES + ".,;:!?'()[]{}…*$&%#|<>-_/`~"
-KEEP, KEEP_STATES = 300_000, 100_000
+KEEP, KEEP_STATES = 200_000, 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -236,17 +236,22 @@ def _count(df: DataFrame, of, kind: str = "term") -> DataFrame:
     return df.select("toxic", "text").mapInArrow(run, f"{kind} string, t long, n long").groupBy(kind).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on rows (id, text, toxic), about `sample` of them; null labels are left out.
+def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """About `sample` rows (id, toxic) of labels, all if there are no more, by a hash of the id; null labels are left out
+    and of an id's labels the greatest counts. So few and narrow rows may be sent to all."""
+    x = durable(labels.where(F.col("toxic").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("toxic").alias("toxic")))
+    n = x.count()
+    return x if n <= sample else x.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < int((1 << 30) * (sample / n)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits a model on the texts of docs (id, text) that a labelled_sample of labels (id, toxic) names.
 
     Terms are counted in the toxic rows, the frequent ones in the clean rows too, and of those that hardly occur in clean
     rows so many are taken, the one that adds most first, that each toxic row holds COVER of them if it can.
     """
-    rows = rows.where(F.col("toxic").isNotNull())
-    n = rows.select("id").count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < int((1 << 30) * (sample / n)))
-    rows = durable(rows.select("id", "text", (F.col("toxic") == 1).alias("toxic")))
+    chosen = labelled_sample(labels, sample)
+    rows = durable(docs.join(F.broadcast(chosen), "id").select("id", "text", (F.col("toxic") == 1).alias("toxic")))
     bad, good = rows.where("toxic"), rows.where(~F.col("toxic"))
     n_bad, n_good = bad.count(), good.count()
     if not n_bad:
@@ -338,8 +343,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> Data
     are scored each; without any label nothing is toxic and all scores are the base rate.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    train = docs.where(~held).select("doc_id", "text").join(labels.select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id")
-    model = fit(train.select(F.col("doc_id").alias("id"), "text", "toxic"))
-    scored = score_rows(docs.select(F.col("doc_id").alias("id"), "text"), model)
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    model = fit(texts, labels.where(~held).select(F.col("doc_id").alias("id"), "toxic"))
+    scored = score_rows(texts, model)
     x = scored.withColumnRenamed("id", "doc_id")
     return x.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
