@@ -22,6 +22,8 @@ from .tokens import Words, pieces
 VOCABULARY = 1_022
 #: Shares of the training documents between two averagings, in sixteenths, with the learning rate of each part.
 PARTS = [(1, 0.01), (3, 0.01), (5, 0.006), (7, 0.003)]
+#: Symbols that the recurrent model works on at a time, 4 bytes each.
+TOGETHER = 4_000_000
 END_HASH = np.uint64(0x1234567890ABCDEF)
 _ENTRY = "bucket int, chunk int, hash binary, n binary"
 
@@ -114,6 +116,23 @@ class Coder:
         return np.where(self.known[at] == h, self.ids[at], gru.UNK).astype(np.int32)
 
 
+def _gathered(coded: Iterator[tuple[np.ndarray, np.ndarray]], most: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, bounds) of pieces put together up to `most` symbols: streams that end far apart leave few side by side."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for tokens, bounds in coded:
+        if held and sum(len(t) for t, _ in held) + len(tokens) > most:
+            yield _joined(held)
+            held = []
+        held.append((tokens, bounds))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.cumsum([0, *(len(t) for t, _ in held)])
+    return np.concatenate([t for t, _ in held]), np.concatenate([[0], *(b[1:] + s for (_, b), s in zip(held, starts[:-1], strict=True))])
+
+
 def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     """Parameters after one pass over the training documents. docs: (id, held, text).
 
@@ -132,11 +151,10 @@ def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarra
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             mine, seen = now.value.copy(), 0
             adam = gru.Adam(len(mine), rate)
-            for batch in batches:
-                for piece in pieces(batch, "text", 12 << 20):
-                    _, tokens, bounds = _chunk_words(piece.column(0))
-                    gru.train(mine, shape, coder.value(tokens), bounds, adam)
-                    seen += len(tokens)
+            coded = ((coder.value(tokens), bounds) for batch in batches for piece in pieces(batch, "text") for _, tokens, bounds in [_chunk_words(piece.column(0))])
+            for tokens, bounds in _gathered(coded):
+                gru.train(mine, shape, tokens, bounds, adam)
+                seen += len(tokens)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([(mine.astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["sum", "n"])
 
@@ -188,6 +206,8 @@ def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
             c = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column(2).to_pylist()])
             order = np.argsort(h)
             h, c = h[order], c[order]
+        coded: list[tuple[np.ndarray, np.ndarray]] = []
+        rests: list[np.ndarray] = []
         for batch in texts.to_batches():
             for piece in pieces(batch, "text"):
                 _, tokens, bounds = _chunk_words(piece.column(3))
@@ -195,11 +215,15 @@ def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
                 ids = coder(tokens)
                 total = lambda v: np.add.reduceat(v, bounds[:-1])
                 base = total(np.log10((count + 1.0) / (n + 1.0 * (distinct + 1))))
-                rest = total(np.where(ids == gru.UNK, np.log10((count + 1.0) / (other_n + other_v + 1.0)), 0.0))
-                mine = gru.log_likelihood(flat, shape, ids, bounds) / np.log(10) + rest
+                rests.append(total(np.where(ids == gru.UNK, np.log10((count + 1.0) / (other_n + other_v + 1.0)), 0.0)))
+                coded.append((ids, bounds))
                 rows = len(bounds) - 1
-                out.append(pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), pa.array(np.diff(bounds)), pa.array(total((count > 0).astype(np.int64))), pa.array(np.full(rows, n, np.int64)), pa.array(base), pa.array(mine)], names))
-        return pa.Table.from_batches(out, schema=schema)
+                out.append(pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), pa.array(np.diff(bounds)), pa.array(total((count > 0).astype(np.int64))), pa.array(np.full(rows, n, np.int64)), pa.array(base)], names[:-1]))
+        mine = [gru.log_likelihood(flat, shape, *x) for x in _gathered(iter(coded))]
+        if not out:
+            return schema.empty_table()
+        table = pa.Table.from_batches(out)
+        return table.append_column("score", pa.array(np.concatenate(mine) / np.log(10) + np.concatenate(rests))).cast(schema)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(x, pa.int64()) for x in names[2:5]], *[(x, pa.float64()) for x in names[5:]]])
