@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .tokens import pieces
+from .tokens import give_back, pieces
 
 #: Matches of the split pattern whose ids a worker keeps, and pairs whose adjacency it keeps; full stores start anew.
-KEEP, KEEP_PAIRS = 300_000, 500_000
+KEEP, KEEP_PAIRS = 120_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -141,6 +141,12 @@ class TextBpe:
     def decode(self, packed: bytes) -> bytes:
         return self.bpe.decode(np.frombuffer(packed, "<u4").tolist())
 
+    def rest(self) -> None:
+        """Lets the stores go at a task's end: a worker outlives it, idle, beside those of other stages."""
+        self.known.clear()
+        self.bpe.pairs.clear()
+        give_back()
+
 
 _workers: dict[tuple[str, str], TextBpe] = {}
 
@@ -163,6 +169,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
             for part in pieces(batch, text):
                 made = [coder.encode(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, ids])
+        coder.rest()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, BinaryType())]))
 
@@ -176,6 +183,7 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out:
             for part in pieces(batch, ids):
                 made = [None if x is None else coder.decode(x) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, out])
+        coder.rest()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, BinaryType())]))
 
@@ -195,6 +203,7 @@ def bpe_report(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", te
                 packed = [coder.encode(x or "") for x in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p) for p in packed], pa.string()), pa.array([sha(coder.decode(p)) for p in packed], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.rest()
 
     slim = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

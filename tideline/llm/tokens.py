@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 #: A random 64-bit value for each byte, and the odd base of the polynomial hash with its inverse modulo 2**64.
@@ -125,7 +128,30 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[new], doc[new]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def give_back() -> None:
+    """Returns memory that is free but held to the system: workers outlive a task, and executors have several."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def tidy(run):
+    """A map over batches that gives memory back when its task ends."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in slices of about `most` bytes of text, whole rows always, so that arrays of a slice stay small."""
     col = batch.column(batch.schema.get_field_index(column))
     if not len(col):
@@ -137,6 +163,5 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         m = max(k + 1, int(np.searchsorted(at, at[k] + most, "right")) - 1)
         yield batch.slice(k, m - k)
         k = m
+    give_back()
 
-
-import pyarrow.compute  # noqa: E402,F401  (pa.compute above)
