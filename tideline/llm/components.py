@@ -25,9 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         j = large.join(least, "u")
         small = j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = durable(small)
-        moved = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
+        settled = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
         e = small
-        if moved:
+        if settled:
             break
     nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     return durable(nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))

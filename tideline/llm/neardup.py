@@ -27,6 +27,9 @@ _FLIP = _rng.integers(0, 2**63, COLLECTIONS * WIDTH, dtype=np.uint64)
 #: Size of the bitmaps by which keys and documents are sorted out where they are read.
 BITS = 1 << 23
 PAIRS = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
+#: The tables of the first round: each collection once. Most of a group's links come from these.
+FIRST = [(i, i + 1) for i in range(0, COLLECTIONS, 2)]
+_LIVE = np.dtype([("comp", "<i8"), ("own", "<u4", COLLECTIONS), ("table", "<u2")])
 
 
 def collections_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -48,7 +51,7 @@ def sketch(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 words = Words(part.column(1), lower=True)
                 h, d = shingles(words, k)
                 n = np.bincount(d, minlength=part.num_rows)
@@ -117,10 +120,17 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key.view(np.int64))], ["a", "b", "key"])
 
 
-def _table_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _smaller(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """At most so many documents at a time, as each has as many keys as there are tables."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _table_keys(batch: pa.RecordBatch, tables: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, COLLECTIONS)
-    key = np.concatenate([mix64(c[:, i] * np.uint64(5) + c[:, j] + np.uint64(i * COLLECTIONS + j)) for i, j in PAIRS])
-    return key, *(np.tile(np.asarray(batch.column(x)).astype(np.int64), len(PAIRS)) for x in (0, 1))
+    key = np.concatenate([mix64(c[:, i] * np.uint64(5) + c[:, j] + np.uint64(i * COLLECTIONS + j)) for i, j in tables])
+    return key, *(np.tile(np.asarray(batch.column(x)).astype(np.int64), len(tables)) for x in (0, 1))
 
 
 def _blobs(key: np.ndarray, ids: np.ndarray, comp: np.ndarray, buckets: int, extra: tuple) -> pa.RecordBatch:
@@ -140,7 +150,7 @@ def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield b, np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(c, np.int64)
 
 
-def star_links(label: DataFrame) -> DataFrame:
+def star_links(label: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
     """Candidate links (a, b, key): under each key the least document with the least one of each other component.
 
     A batch settles its own documents under a key first and sends one of them on, so a key that many documents share
@@ -150,9 +160,9 @@ def star_links(label: DataFrame) -> DataFrame:
     buckets = 4 * parts
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _smaller(batches):
             if batch.num_rows:
-                key, ids, comp = _table_keys(batch)
+                key, ids, comp = _table_keys(batch, tables)
                 a, b, k, first = _stars(key, ids, comp)
                 yield _blobs(key[first], ids[first], comp[first], buckets, (k, a, b))
 
@@ -175,74 +185,172 @@ def star_links(label: DataFrame) -> DataFrame:
 
 
 def all_links(label: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """All pairs (a, b, key) of documents of different components under the keys that the bitmap may hold.
+    """(id, others) of all pairs of documents of different components under the keys that the bitmap may hold; others are
+    ids as 64-bit integers, so a key gives a row for each document of its smaller side and no row for each pair.
 
-    What loses no link: run on the keys that still join different components once the stars have been merged.
+    What loses no link: run on the keys that still join different components once the stars have been merged. A pair is
+    given under the first table that it shares alone, which each document's collections, sent along, tell.
     """
     parts = partitions(label.sparkSession)
     buckets = 4 * parts
     sent_bitmap = label.sparkSession.sparkContext.broadcast(bitmap)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                key, ids, comp = _table_keys(batch)
-                live = _in_bitmap(sent_bitmap.value, key)
-                yield _blobs(key[live], ids[live], comp[live], buckets, ())
+        for batch in _smaller(batches):
+            if not batch.num_rows:
+                continue
+            key, ids, comp = _table_keys(batch, PAIRS)
+            live = np.flatnonzero(_in_bitmap(sent_bitmap.value, key))
+            row = np.empty(len(live), _LIVE)
+            c = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, COLLECTIONS)
+            row["comp"], row["own"], row["table"] = comp[live], c[live % batch.num_rows].astype(np.uint32), live // batch.num_rows
+            yield _blobs(key[live], ids[live], row, buckets, ())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(k, i, c) for batch in batches for _, k, i, c in _arrays(batch)]
+        got = [(np.frombuffer(k.as_py(), np.uint64), np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), _LIVE)) for batch in batches for k, i, r in zip(*(batch.column(x) for x in (1, 2, 3)), strict=True)]
         if not got:
             return
-        key, ids, comp = (np.concatenate(x) for x in zip(*got, strict=True))
-        order, start = _runs(key, comp, ids)
-        key, ids, comp = key[order], ids[order], comp[order]
+        key, ids, row = (np.concatenate(x) for x in zip(*got, strict=True))
+        order, start = _runs(key, row["comp"], ids)
+        key, ids, row = key[order], ids[order], row[order]
         begin = np.flatnonzero(start == np.arange(len(key)))
+        rows: list[tuple[int, bytes]] = []
         for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-            if comp[s] == comp[e - 1]:
+            comp, own = row["comp"][s:e], row["own"][s:e]
+            if comp[0] == comp[-1]:
                 continue
-            inner = np.flatnonzero(np.diff(comp[s:e])) + 1
+            first, second = PAIRS[int(row["table"][s])]
+            inner = np.flatnonzero(np.diff(comp)) + 1
             for x, y in zip(inner.tolist(), [*inner[1:].tolist(), e - s], strict=True):  # a component with all before it
-                for b in ids[s + x : s + y]:
-                    a = ids[s : s + x]
-                    yield _pair_batch(np.minimum(a, b), np.maximum(a, b), np.full(len(a), key[s]))
+                few, many = (range(x, y), slice(0, x)) if y - x <= x else (range(x), slice(x, y))
+                for k in few:
+                    same = own[many] == own[k]
+                    same[:, second] = False
+                    earlier = same[:, :second].sum(1)
+                    ok = (earlier == 1) & same[:, first]  # no two collections before these two are shared
+                    if ok.any():
+                        rows.append((int(ids[s + k]), ids[s:e][many][ok].tobytes()))
+                    if len(rows) >= 1_000:
+                        yield _lists(rows)
+                        rows = []
+        if rows:
+            yield _lists(rows)
 
     sent = label.select(F.col("id").cast("long"), F.col("comp").cast("long"), "keys").mapInArrow(spread, "bucket int, key binary, id binary, comp binary")
-    return sent.repartition(parts, "bucket").mapInArrow(meet, _PAIR)
+    return sent.repartition(parts, "bucket").mapInArrow(meet, "id long, others binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * |A and B| >= percent * |A or B|. sets: (id, n, sets).
+def _lists(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "others"])
+
+
+def _bitmap_of_lists(lists: DataFrame) -> np.ndarray:
+    """bitmap_of for ids in a binary column: each task makes one bitmap, a few tasks unite them."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, some = np.zeros(BITS, bool), False
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                bits[_bit(np.frombuffer(x, np.int64)).astype(np.int64)] = some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["m"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = None
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                x = np.frombuffer(x, np.uint8)
+                every = x.copy() if every is None else every | x
+        if every is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([every.tobytes()], pa.binary())], ["m"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in lists.select("others").mapInArrow(own, "m binary").repartition(4).mapInArrow(unite, "m binary").collect():
+        out |= np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def _among(sets: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows (id, sets) whose id the bitmap may hold."""
+    sent = sets.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_in_bitmap(sent.value, np.asarray(batch.column(0)).astype(np.int64))))
+
+    return sets.select("id", "sets").mapInArrow(run, "id long, sets binary")
 
-    Only sets of documents in pairs are sent: a bitmap of fixed size sorts out most others where they are read.
-    """
-    sc = pairs.sparkSession.sparkContext
-    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
-    bitmap = sc.broadcast(bitmap_of(ends))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of sorted sets, whether 100 * |both| >= percent * |either|; sizes alone mostly tell."""
+    few, many = sorted((len(x), len(y)))
+    if 100 * few < percent * many:
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inner = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * inner >= percent * (len(x) + len(y) - inner)
+
+
+def confirm_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among all_links. A document and its set go to the buckets of the others' ids, the others' sets go
+    to their bucket once, and only links come out: a block of queries against a block of rows, not a row for each pair."""
+    buckets = partitions(lists.sparkSession)
+    asked = lists.groupBy("id").agg(F.collect_list("others").alias("others"))
+    mine = _among(sets, bitmap_of(lists.select(F.col("id").alias("k"))))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, own, others in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
+                ids = np.frombuffer(b"".join(others), np.int64)
+                at = _bucket(ids, buckets)
+                order = np.argsort(at, kind="stable")
+                cut = np.searchsorted(at[order], np.arange(buckets + 1)).tolist()
+                full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([i] * len(full), pa.int64()), pa.array([own] * len(full), pa.binary()), pa.array([ids[order[cut[b] : cut[b + 1]]].tobytes() for b in full], pa.binary())], ["bucket", "id", "sets", "others"]
+                )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(_in_bitmap(bitmap.value, np.asarray(batch.column(0)).astype(np.int64))))
+                at = _bucket(np.asarray(batch.column(0)).astype(np.int64), buckets).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], ["bucket", "id", "sets"])
+
+    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        have = {i: np.frombuffer(x, np.uint64) for i, x in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)}
+        a: list[int] = []
+        b: list[int] = []
+        for batch in queries.to_batches():
+            for i, own, others in zip(*(batch.column(x).to_pylist() for x in (1, 2, 3)), strict=True):
+                x = np.frombuffer(own, np.uint64)
+                for o in np.frombuffer(others, np.int64).tolist():
+                    if o in have and _alike(x, have[o], percent):
+                        a.append(min(i, o))
+                        b.append(max(i, o))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    some = sets.select("id", "sets").mapInArrow(wanted, "id long, sets binary")
+    queries = asked.join(mine, "id").select("id", "sets", "others").mapInArrow(ask, "bucket int, id long, sets binary, others binary")
+    rows = _among(sets, _bitmap_of_lists(lists)).mapInArrow(deal, "bucket int, id long, sets binary")
+    return queries.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(meet, "a long, b long").distinct()
+
+
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * |A and B| >= percent * |A or B|. sets: (id, n, sets).
+
+    Only sets of documents in pairs are sent: a bitmap of fixed size sorts out most others where they are read.
+    """
+    some = _among(sets, bitmap_of(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))))
     p = pairs.join(some.select(F.col("id").alias("a"), F.col("sets").alias("sa")), "a").join(some.select(F.col("id").alias("b"), F.col("sets").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, x = [], None, np.zeros(0, np.uint64)
-            for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                few, many = sorted((len(sa), len(sb)))
-                if 100 * few < percent * many:
-                    keep.append(False)
-                    continue
-                if sa != last:
-                    last, x = sa, np.frombuffer(sa, np.uint64)
-                y = np.frombuffer(sb, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inner = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * inner >= percent * (len(x) + len(y) - inner))
+            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
@@ -254,31 +362,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "
     doc is an integer column. Rows of one id are one document with several texts: each has the links of all of them and
     shows its own text's set size. Rows without id are left out. Texts are lower-cased in A-Z; null texts and texts
     without words have no shingles and no links; a text of fewer than k words is one shingle. Texts with equal sets form
-    one class before any key is made, so copies cost nothing further. Then twice stars under each key, confirmed and
-    merged, and at last all pairs of different components that still share a key, so that no link that shares one is lost.
+    one class before any key is made, so copies cost nothing further. Then stars under the keys of a few tables, confirmed
+    and merged, stars of what is still apart under all keys, and at last all pairs of different components that still share a key, so that no link that shares one is lost.
     """
     rows = durable(sketch(docs.where(F.col(f"`{doc}`").isNotNull()).withColumn(doc, F.col(f"`{doc}`").cast("long")), doc, text, k))
     classes = durable(rows.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")))
     reps = durable(rows.where("n > 0").select("id", "print", "keys").join(classes.withColumnRenamed("rep", "id"), ["print", "id"], "left_semi").select("id", "keys"))
     sets = rows.where("n > 0").select("id", "sets")
-    label, links, tried = reps.select("id", F.col("id").alias("comp"), "keys"), [], None
-    for turn in range(3):
-        if turn < 2:
-            found = durable(star_links(label))
-        else:
-            open_ = _joined(found, comps).where("ca <> cb").select(F.col("key").alias("k"))
-            found = durable(all_links(label, bitmap_of(open_)))
+    label, links, tried = reps.select("id", F.col("id").alias("comp"), "keys"), None, None
+    for tables in (FIRST, PAIRS):
+        found = durable(star_links(label, tables))
         pairs = found.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links.append(durable(confirm(pairs, sets, percent)))
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        comps = components(every)
+        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs
+        good = durable(confirm(pairs, sets, percent))
+        links = good if links is None else links.unionByName(good)
+        comps = components(links)
         label = reps.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "keys")
+    apart = _joined(found, comps).where("ca <> cb").select(F.col("key").alias("k"))
+    lists = durable(all_links(label, bitmap_of(apart)))
+    comps = components(links.unionByName(durable(confirm_lists(lists, sets, percent))))
     out = rows.select("id", "print", F.col("n").alias("n_shingles")).join(classes, "print", "left")
     out = out.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     return out.select("id", "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id"))
