@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, fresh, partitions
 from .components import components
-from .tokens import Words, mix64, pieces, shingles
+from .tokens import Words, mix64, pieces, shingles, tidy
 
 #: COLLECTIONS collections of WIDTH minhashes: 20 and 3 make 190 tables of 6 minhashes out of 60. At a similarity of 0.8 a
 #: pair shares none with a probability of 1.3e-5, at 0.85 of 2e-7; at 0.05 it shares one with 3e-6.
@@ -68,7 +68,7 @@ def sketch(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
                 binary = [pa.array(x, pa.binary()) for x in (prints, sets, keys)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *binary], ["id", "n", "print", "sets", "keys"])
 
-    return docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {docs.schema[doc].dataType.simpleString()}, n long, print binary, sets binary, keys binary")
+    return docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), f"id {docs.schema[doc].dataType.simpleString()}, n long, print binary, sets binary, keys binary")
 
 
 def _bit(k: np.ndarray) -> np.ndarray:
@@ -177,11 +177,11 @@ def star_links(label: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
         if got:
             yield _pair_batch(*_stars(*(np.concatenate(x) for x in zip(*got, strict=True)))[:3])
 
-    sent = label.select(F.col("id").cast("long"), F.col("comp").cast("long"), "keys").mapInArrow(spread, "bucket int, key binary, id binary, comp binary")
+    sent = label.select(F.col("id").cast("long"), F.col("comp").cast("long"), "keys").mapInArrow(tidy(spread), "bucket int, key binary, id binary, comp binary")
     # links found already go anywhere; a partition's blobs are read together, and their size does not grow with the input
     # as long as the number of shuffle partitions does
     deal = F.when(F.col("bucket") < 0, F.hash("id")).otherwise(F.col("bucket"))
-    return sent.withColumn("deal", deal).repartition(parts, "deal").select("bucket", "key", "id", "comp").mapInArrow(meet, _PAIR)
+    return sent.withColumn("deal", deal).repartition(parts, "deal").select("bucket", "key", "id", "comp").mapInArrow(tidy(meet), _PAIR)
 
 
 def all_links(label: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -236,8 +236,8 @@ def all_links(label: DataFrame, bitmap: np.ndarray) -> DataFrame:
         if rows:
             yield _lists(rows)
 
-    sent = label.select(F.col("id").cast("long"), F.col("comp").cast("long"), "keys").mapInArrow(spread, "bucket int, key binary, id binary, comp binary")
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "id long, others binary")
+    sent = label.select(F.col("id").cast("long"), F.col("comp").cast("long"), "keys").mapInArrow(tidy(spread), "bucket int, key binary, id binary, comp binary")
+    return sent.repartition(parts, "bucket").mapInArrow(tidy(meet), "id long, others binary")
 
 
 def _lists(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -265,7 +265,7 @@ def _bitmap_of_lists(lists: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([every.tobytes()], pa.binary())], ["m"])
 
     out = np.zeros(BITS // 8, np.uint8)
-    for r in lists.select("others").mapInArrow(own, "m binary").repartition(4).mapInArrow(unite, "m binary").collect():
+    for r in lists.select("others").mapInArrow(tidy(own), "m binary").repartition(4).mapInArrow(tidy(unite), "m binary").collect():
         out |= np.frombuffer(r["m"], np.uint8)
     return out
 
@@ -275,11 +275,11 @@ def _among(sets: DataFrame, bitmap: np.ndarray) -> DataFrame:
     sent = sets.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _smaller(batches, 4_000):
             if batch.num_rows:
                 yield batch.filter(pa.array(_in_bitmap(sent.value, np.asarray(batch.column(0)).astype(np.int64))))
 
-    return sets.select("id", "sets").mapInArrow(run, "id long, sets binary")
+    return sets.select("id", "sets").mapInArrow(tidy(run), "id long, sets binary")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -331,8 +331,8 @@ def confirm_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         b.append(max(i, o))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    queries = asked.join(mine, "id").select("id", "sets", "others").mapInArrow(ask, "bucket int, id long, sets binary, others binary")
-    rows = _among(sets, _bitmap_of_lists(lists)).mapInArrow(deal, "bucket int, id long, sets binary")
+    queries = asked.join(mine, "id").select("id", "sets", "others").mapInArrow(tidy(ask), "bucket int, id long, sets binary, others binary")
+    rows = _among(sets, _bitmap_of_lists(lists)).mapInArrow(tidy(deal), "bucket int, id long, sets binary")
     return queries.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -349,11 +349,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     p = pairs.join(some.select(F.col("id").alias("a"), F.col("sets").alias("sa")), "a").join(some.select(F.col("id").alias("b"), F.col("sets").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _smaller(batches, 400):
             keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return p.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
