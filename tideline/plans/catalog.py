@@ -89,7 +89,7 @@ def _fingerprints(s: SparkSession, d: str) -> DataFrame:
 def _stitched(s: SparkSession, d: str) -> DataFrame:
     from ..operators.stitch import stitch
 
-    e = A.events(s, d).where("rec_id < 20").select("rec_id", F.col("event_id").cast("int").alias("id"), F.concat(F.lit(" "), "event_type").alias("text"), F.col("i").cast("double").alias("start"))
+    e = A.events(s, d).select("rec_id", F.col("event_id").cast("int").alias("id"), F.concat(F.lit(" "), "event_type").alias("text"), F.col("i").cast("double").alias("start"))
     one = e.withColumns({"duration": F.lit(0.5), "confidence": F.lit(1.0)})
     x = one.withColumn("chunk_ix", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("start") - 11) / 8)), F.floor(F.col("start") / 8)))).withColumn("pos", F.col("start").cast("int"))
     return stitch(x, overlap_s=4.0)
