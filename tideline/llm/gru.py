@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Hidden units, steps of a backpropagation window, streams side by side.
-HIDDEN, STEPS, STREAMS = 16, 16, 768
+HIDDEN, STEPS, STREAMS = 24, 16, 768
 #: Ids of the two symbols that every vocabulary has; words follow by rank.
 UNK, END = 0, 1
 
@@ -148,7 +148,7 @@ def backward(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, ta
         dh = dh * z + du @ p["u"].T
         dh[first[t]] = 0
     flat = tokens.reshape(-1)
-    order = np.argsort(flat.astype(np.int16), kind="stable")
+    order = np.argsort(flat.astype(np.uint16) if len(p["x"]) <= 1 << 16 else flat, kind="stable")
     ids = flat[order]
     edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     grads["x"][ids[edge]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], edge, axis=0)

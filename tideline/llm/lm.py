@@ -18,8 +18,8 @@ from . import gru
 from .common import durable, partitions
 from .tokens import Words, pieces
 
-#: Words of the recurrent model's vocabulary, the most frequent; the others share a symbol.
-VOCABULARY = 1_022
+#: Least number of words in the recurrent model's vocabulary; beyond, it grows with the training tokens.
+VOCABULARY = 2_046
 #: Shares of the training documents between two averagings, in sixteenths, with the learning rate of each part.
 PARTS = [(1, 0.01), (3, 0.01), (5, 0.006), (7, 0.003)]
 #: Symbols that the recurrent model works on at a time, 4 bytes each.
@@ -28,6 +28,11 @@ END_HASH = np.uint64(0x1234567890ABCDEF)
 _ENTRY = "bucket int, chunk int, hash binary, n binary"
 
 
+def vocabulary_size(tokens: int) -> int:
+    """Words that the recurrent model tells apart, the most frequent; the others share a symbol."""
+    return max(VOCABULARY, int(np.sqrt(tokens)))
+
+
 def _chunk_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """(words, token hashes with an end after each document, bounds)."""
     w = Words(texts, lower=True)
@@ -40,8 +45,8 @@ def _chunk_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(chunk, hash, n): counts in training of the words that a chunk holds, as blobs; chunk -1: each bucket's sums and
-    most frequent words. docs: (chunk, id, held, text)."""
+    """(chunk, hash, n): counts in training of the words that a chunk holds, as blobs; chunk -1: all words of
+    a bucket that training holds; chunk -2: a bucket's sums. docs: (chunk, id, held, text)."""
     buckets = partitions(docs.sparkSession)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -68,11 +73,10 @@ def counts(docs: DataFrame) -> DataFrame:
         asked = [np.frombuffer(x, np.uint64) for x in table.column(2).to_pylist()]
         h, n = _sum(np.concatenate(asked), np.concatenate([np.frombuffer(x, np.int64) for x in table.column(3).to_pylist()]))
         got = [n[np.searchsorted(h, x)].tobytes() for x in asked]
-        top = np.argsort(-n, kind="stable")[: VOCABULARY + 1]
-        top = top[n[top] > 0]
+        held = n > 0
         chunk = [*table.column(1).to_pylist(), -1, -2]
-        hashes = [*(x.tobytes() for x in asked), h[top].tobytes(), b""]
-        return pa.table([pa.array(chunk, pa.int32()), pa.array(hashes, pa.binary()), pa.array([*got, n[top].tobytes(), np.array([n.sum(), (n > 0).sum()]).tobytes()], pa.binary())], ["chunk", "hash", "n"])
+        hashes = [*(x.tobytes() for x in asked), h[held].tobytes(), b""]
+        return pa.table([pa.array(chunk, pa.int32()), pa.array(hashes, pa.binary()), pa.array([*got, n[held].tobytes(), np.array([n.sum(), held.sum()]).tobytes()], pa.binary())], ["chunk", "hash", "n"])
 
     asked = docs.groupBy("chunk").applyInArrow(ask, _ENTRY)
     return asked.groupBy("bucket").applyInArrow(answer, "chunk int, hash binary, n binary")
@@ -84,22 +88,24 @@ def _sum(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vocabulary(counted: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(training tokens, distinct ones, hashes of the vocabulary, their counts); the most frequent VOCABULARY words."""
-    unpack = lambda want: lambda batches: (_rows(b, want) for b in batches if b.num_rows)
+    """(training tokens, distinct ones, hashes of the vocabulary, their counts); as many words as vocabulary_size says."""
+    unpack = lambda want, most=0: lambda batches: (_rows(b, want, most) for b in batches if b.num_rows)
 
-    def _rows(batch: pa.RecordBatch, want: str) -> pa.RecordBatch:
+    def _rows(batch: pa.RecordBatch, want: str, most: int) -> pa.RecordBatch:
         h = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()] or [np.zeros(0, np.int64)])
         n = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()])
         if want == "sums":
             return pa.RecordBatch.from_arrays([pa.array(n[::2]), pa.array(n[1::2])], ["hash", "n"])
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["hash", "n"])
+        top = np.lexsort((h, -n))[: most + 1]
+        return pa.RecordBatch.from_arrays([pa.array(h[top]), pa.array(n[top])], ["hash", "n"])
 
     sums = counted.where("chunk = -2").mapInArrow(unpack("sums"), "hash long, n long").agg(F.sum("hash"), F.sum("n")).first()
-    top = counted.where("chunk = -1").mapInArrow(unpack("top"), "hash long, n long").orderBy(F.desc("n"), "hash").limit(VOCABULARY + 1).collect()
+    size = vocabulary_size(int(sums[0] or 0))
+    top = counted.where("chunk = -1").mapInArrow(unpack("top", size), "hash long, n long").orderBy(F.desc("n"), "hash").limit(size + 1).collect()
     h = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in top], np.int64)
     words = h != END_HASH
-    return int(sums[0] or 0), int(sums[1] or 0), h[words][:VOCABULARY], n[words][:VOCABULARY]
+    return int(sums[0] or 0), int(sums[1] or 0), h[words][:size], n[words][:size]
 
 
 class Coder:
@@ -136,7 +142,7 @@ def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     """Parameters after one pass over the training documents. docs: (id, held, text).
 
-    Each task starts a part from the common parameters, and what comes out is averaged by its number of tokens; sums are
+    Each task starts a part from the common parameters, and what comes out is averaged by its number of tokens; means are
     made in a few tasks first, so the driver receives a few vectors however many tasks there are.
     """
     sc = docs.sparkSession.sparkContext
@@ -156,22 +162,22 @@ def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarra
                 gru.train(mine, shape, tokens, bounds, adam)
                 seen += len(tokens)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([(mine.astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["sum", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([mine.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["mean", "n"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0
             for batch in batches:
                 for x, m in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    v = np.frombuffer(x.as_py(), np.float64)
-                    total = v.copy() if total is None else total + v
+                    v = np.frombuffer(x.as_py(), np.float32) * np.float64(m)
+                    total = v if total is None else total + v
                     n += m
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["sum", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["mean", "n"])
 
         part = docs.where(~F.col("held") & (slot >= lo) & (slot < lo + width)).select("text")
-        rows = part.mapInArrow(learn, "sum binary, n long").repartition(8).mapInArrow(add, "sum binary, n long").collect()
+        rows = part.mapInArrow(learn, "mean binary, n long").repartition(8).mapInArrow(add, "mean binary, n long").collect()
         if rows:
-            flat = (sum(np.frombuffer(r["sum"], np.float64) for r in rows) / sum(r["n"] for r in rows)).astype(np.float32)
+            flat = (sum(np.frombuffer(r["mean"], np.float32) * np.float64(r["n"]) for r in rows) / sum(r["n"] for r in rows)).astype(np.float32)
         lo += width
     return flat
 
