@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tideline.llm import gru, lm
+from tideline.llm import gru, lm, toxicity
 
 
 def test_recurrent_vocabulary_grows_with_the_tokens(spark, monkeypatch):
@@ -44,3 +44,17 @@ def test_gradients_of_symbols_beyond_16_bits():
             gru.split(one, shape)["x"][at] += gru.split(part, shape)["x"][at]
     want = gru.split(one, shape)["x"]
     assert np.allclose(got[[5, 5 + 65_536]], want[[5, 5 + 65_536]], rtol=1e-3, atol=1e-4) and np.abs(want[5]).max() > 0
+
+
+def test_whole_word_leaves_longer_words_to_be_chosen():
+    rows = [["scum"]] * 30 + [["scumbag"]] * 10
+    pure = {"scum$", "scumbag$"}
+    held = [[toxicity.terms_of({w}) & pure for w in words] for words in rows]
+    terms, purity = toxicity._choose(held, dict.fromkeys(pure, 0.9))
+    assert terms == ["scum$", "scumbag$"] and toxicity.Model(terms, purity).score("you scumbag there") > 0.5
+
+
+def test_stem_settles_its_words():
+    held = [[toxicity.terms_of({"scumbag"})], [toxicity.terms_of({"scummy"})]] * 20
+    terms, _ = toxicity._choose(held, {x: 0.9 for row in held for g in row for x in g})
+    assert terms == ["scum"]

@@ -263,11 +263,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     purity = {x: (t + rate) / (t + clean.get(x, 0) + 1) for x, t in found.items()}
     pure = {x for x in found if purity[x] >= PURITY}
 
+    def groups(text: str) -> str:
+        """The pure terms of each word, a line a word."""
+        return "\n".join(sorted({" ".join(sorted(terms_of({w}) & pure)) for w in words_of(text)} - {""}))
+
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(terms_of(set(words_of(x or ""))) & pure)) for x in batch.column(0).to_pylist()], pa.string())], ["terms"])
+            yield pa.RecordBatch.from_arrays([pa.array([groups(x or "") for x in batch.column(0).to_pylist()], pa.string())], ["terms"])
 
-    held = [set(r["terms"].split()) for r in bad.select("text").mapInArrow(holds, "terms string").collect() if r["terms"]]
+    held = [[set(g.split(" ")) for g in r["terms"].split("\n")] for r in bad.select("text").mapInArrow(holds, "terms string").collect() if r["terms"]]
     model = Model(*_choose(held, purity))
     if not model.terms:
         return model
@@ -303,24 +307,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _choose(held: list[set[str]], purity: dict[str, float]) -> tuple[list[str], list[float]]:
-    """Greedy cover: the term that adds most to rows covered fewer than COVER times; of equals the whole word, the longest."""
-    rows_of: dict[str, list[int]] = {}
-    for i, terms in enumerate(held):
-        for x in terms:
-            rows_of.setdefault(x, []).append(i)
+def _choose(held: list[list[set[str]]], purity: dict[str, float]) -> tuple[list[str], list[float]]:
+    """Greedy cover: the term that adds most to rows covered fewer than COVER times; of equals the whole word, the longest.
+
+    held: for each row the terms of each of its words. A chosen term settles the words that it matches and no others, so
+    longer words and stems are weighed by the words that are left to them.
+    """
+    left_in: dict[str, Counter] = {}  # words of each row that a term would settle
+    for i, row in enumerate(held):
+        for g in row:
+            for x in g:
+                left_in.setdefault(x, Counter())[i] += 1
     least = max(2, int(SUPPORT * len(held)))
-    need, left, out = [COVER] * len(held), set(rows_of), []
+    need, unsettled, left, out = [COVER] * len(held), [list(row) for row in held], set(left_in), []
     while left:
-        gain = {x: sum(1 for i in rows_of[x] if need[i] > 0) for x in left}
+        gain = {x: sum(1 for i in left_in[x] if need[i] > 0) for x in left}
         best = max(left, key=lambda x: (gain[x], x.endswith("$"), len(x), x))
         if gain[best] < least:
             break
         out.append(best)
-        stem = best.rstrip("$")
-        for i in rows_of[best]:
+        for i in list(left_in[best]):
             need[i] -= 1
-        left = {x for x in left if gain[x] >= least and not (x.rstrip("$").startswith(stem) or stem.startswith(x.rstrip("$")))}
+            for g in [g for g in unsettled[i] if best in g]:
+                unsettled[i].remove(g)
+                for x in g:
+                    left_in[x][i] -= 1
+                    if not left_in[x][i]:
+                        del left_in[x][i]
+        left = {x for x in left if gain[x] >= least and x != best}
     return out, [purity[x] for x in out]
 
 
