@@ -4,7 +4,29 @@ from __future__ import annotations
 
 import numpy as np
 
-from .tokens import _BYTE, Powers, mix64
+from .tokens import mix64
+
+_rng = np.random.Generator(np.random.PCG64(20_240_501))
+#: A random 64-bit value for each byte, and the odd base of the polynomial hash with its inverse modulo 2**64.
+_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+
+
+class Powers:
+    """Powers of the base and of its inverse, grown as needed and kept by the worker."""
+
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> None:
+        if len(cls.up) < n:
+            n = int(n * 1.2) + 1024
+            for name, base in (("up", _BASE), ("down", _INVERSE)):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(cls, name, np.multiply.accumulate(x))
 
 
 def gram_sums(flat: np.ndarray, value: np.ndarray = _BYTE) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,8 +26,11 @@ def components(links: DataFrame) -> DataFrame:
         small = j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = durable(small)
         settled = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
+        release(e, large)
         e = small
         if settled:
             break
     nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    return durable(nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    out = durable(nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    release(e)
+    return out

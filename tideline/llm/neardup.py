@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, partitions
+from .common import durable, fresh, partitions, release
 from .components import components
-from .tokens import Words, mix64, pieces, shingles, tidy
+from .tokens import Words, mix64, pieces, shingles, tidy, tidy_group, tidy_groups
 
 #: COLLECTIONS collections of WIDTH minhashes: 20 and 3 make 190 tables of 6 minhashes out of 60. At a similarity of 0.8 a
 #: pair shares none with a probability of 1.3e-5, at 0.85 of 2e-7; at 0.05 it shares one with 3e-6.
@@ -25,11 +25,16 @@ _rng = np.random.Generator(np.random.PCG64(7_919))
 _MULT = _rng.integers(0, 2**63, COLLECTIONS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, COLLECTIONS * WIDTH, dtype=np.uint64)
 #: Size of the bitmaps by which keys and documents are sorted out where they are read.
-BITS = 1 << 23
+BITS = 1 << 25
 PAIRS = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
 #: The tables of the first round: each collection once. Most of a group's links come from these.
 FIRST = [(i, i + 1) for i in range(0, COLLECTIONS, 2)]
-_LIVE = np.dtype([("comp", "<i8"), ("own", "<u4", COLLECTIONS), ("table", "<u2")])
+#: Words of 64 bits in a parity signature at most.
+SIGNATURE = 32
+#: Shingles that meet in a cell of the last round, about; a document weighs LIGHTEST at least.
+CELL, LIGHTEST = 1 << 20, 256
+_COLUMNS = np.arange(COLLECTIONS)
+_FIRST_OF, _SECOND_OF = (np.array([p[x] for p in PAIRS]) for x in (0, 1))
 
 
 def collections_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -45,9 +50,28 @@ def collections_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature_words(n: np.ndarray) -> np.ndarray:
+    """Words in the signature of a set of n: a power of two, for 4 bits a shingle or more, up to SIGNATURE."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64), SIGNATURE)
+
+
+def signatures(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): for each of the sets of sizes n that lie one after the other the parity of its hashes by bit.
+
+    Bits that differ between two sets are no more than hashes that only one of them has, so a pair with more such bits than
+    a likeness allows has no such likeness. The halves of a signature give the one of half its length by exclusive or.
+    """
+    words = signature_words(n)
+    at = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(len(n)), n)
+    bit = (mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)) & (words[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at[doc] * 64 + bit, minlength=int(at[-1]) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), at
+
+
 def sketch(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
-    """(id, n, print, sets, keys) per row of docs: set size, a 128-bit digest of the set, the sorted set of shingle hashes
-    and the collections, as little-endian 64-bit integers. Texts without words have n = 0 and nulls."""
+    """(id, n, print, keys, sign) per row of docs: set size, a 128-bit digest of the set, the collections (the low halves
+    of all before the high ones) and the signature. Texts without words have n = 0 and nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,19 +80,44 @@ def sketch(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
                 h, d = shingles(words, k)
                 n = np.bincount(d, minlength=part.num_rows)
                 have = np.flatnonzero(n)
-                sets: list[bytes | None] = [None] * part.num_rows
-                keys, prints = list(sets), list(sets)
+                prints: list[bytes | None] = [None] * part.num_rows
+                keys, signs = list(prints), list(prints)
                 if len(have):
-                    starts = np.concatenate([[0], np.cumsum(n[have])[:-1]])
-                    key = collections_of(h, starts)
-                    size = n[have].astype(np.uint64)
-                    p = np.stack([mix64(np.add.reduceat(mix64(h + np.uint64(s)), starts) + size) for s in (11, 12)], 1)
-                    for x, (i, at) in enumerate(zip(have.tolist(), starts.tolist(), strict=True)):
-                        sets[i], keys[i], prints[i] = h[at : at + n[i]].tobytes(), key[x].tobytes(), p[x].tobytes()
-                binary = [pa.array(x, pa.binary()) for x in (prints, sets, keys)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *binary], ["id", "n", "print", "sets", "keys"])
+                    size = n[have]
+                    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+                    key = collections_of(h, starts).view(np.uint32).reshape(-1, COLLECTIONS, 2).transpose(0, 2, 1)
+                    p = np.stack([mix64(np.add.reduceat(mix64(h + np.uint64(s)), starts) + size.astype(np.uint64)) for s in (11, 12)], 1)
+                    sign, at = signatures(h, size)
+                    for x, i in enumerate(have.tolist()):
+                        keys[i], prints[i], signs[i] = key[x].tobytes(), p[x].tobytes(), sign[at[x] : at[x + 1]].tobytes()
+                binary = [pa.array(x, pa.binary()) for x in (prints, keys, signs)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *binary], ["id", "n", "print", "keys", "sign"])
+
+    return _texts(docs, doc, text).mapInArrow(tidy(run), f"id {docs.schema[doc].dataType.simpleString()}, n long, print binary, keys binary, sign binary")
+
 
-    return docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), f"id {docs.schema[doc].dataType.simpleString()}, n long, print binary, sets binary, keys binary")
+def _texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text"))
+
+
+def sets_of(docs: DataFrame, bitmap: np.ndarray, doc: str, text: str, k: int) -> DataFrame:
+    """(id, n, sets) of the rows with words whose id the bitmap may hold: the sorted set of shingle hashes, 8 bytes each. Sets
+    are made from the texts when they are asked for, as only documents with a candidate need them."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(pa.array(_in_bitmap(sent.value, np.asarray(batch.column(0)).astype(np.int64))))
+            for part in pieces(batch, "text", 1 << 20):
+                h, d = shingles(Words(part.column(1), lower=True), k)
+                n = np.bincount(d, minlength=part.num_rows)
+                have = np.flatnonzero(n)
+                at = np.concatenate([[0], np.cumsum(n)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(have)), pa.array(n[have].astype(np.int64)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in have.tolist()], pa.binary())], ["id", "n", "sets"])
+
+    return _texts(docs, doc, text).mapInArrow(tidy(run), "id long, n long, sets binary")
 
 
 def _bit(k: np.ndarray) -> np.ndarray:
@@ -127,10 +176,14 @@ def _smaller(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[p
             yield batch.slice(k, rows)
 
 
-def _table_keys(batch: pa.RecordBatch, tables: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, COLLECTIONS)
-    key = np.concatenate([mix64(c[:, i] * np.uint64(5) + c[:, j] + np.uint64(i * COLLECTIONS + j)) for i, j in tables])
-    return key, *(np.tile(np.asarray(batch.column(x)).astype(np.int64), len(tables)) for x in (0, 1))
+def _collections(keys: pa.Array) -> np.ndarray:
+    half = np.frombuffer(b"".join(keys.to_pylist()), np.uint32).reshape(-1, 2, COLLECTIONS).astype(np.uint64)
+    return half[:, 0] | half[:, 1] << np.uint64(32)
+
+
+def _table_keys(c: np.ndarray, tables: list[tuple[int, int]]) -> np.ndarray:
+    """The keys of all documents (rows of c) in one table after the other."""
+    return np.concatenate([mix64(c[:, i] * np.uint64(5) + c[:, j] + np.uint64(i * COLLECTIONS + j)) for i, j in tables])
 
 
 def _blobs(key: np.ndarray, ids: np.ndarray, comp: np.ndarray, buckets: int, extra: tuple) -> pa.RecordBatch:
@@ -162,7 +215,8 @@ def star_links(label: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _smaller(batches):
             if batch.num_rows:
-                key, ids, comp = _table_keys(batch, tables)
+                key = _table_keys(_collections(batch.column(2)), tables)
+                ids, comp = (np.tile(np.asarray(batch.column(x)).astype(np.int64), len(tables)) for x in (0, 1))
                 a, b, k, first = _stars(key, ids, comp)
                 yield _blobs(key[first], ids[first], comp[first], buckets, (k, a, b))
 
@@ -184,102 +238,219 @@ def star_links(label: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
     return sent.withColumn("deal", deal).repartition(parts, "deal").select("bucket", "key", "id", "comp").mapInArrow(tidy(meet), _PAIR)
 
 
-def all_links(label: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(id, others) of all pairs of documents of different components under the keys that the bitmap may hold; others are
-    ids as 64-bit integers, so a key gives a row for each document of its smaller side and no row for each pair.
+def repeated_keys(label: DataFrame, rows: int) -> DataFrame:
+    """(key, id, comp, tab) of the keys, of all tables, that more than one document has. label: (id, comp, keys) of so many rows.
 
-    What loses no link: run on the keys that still join different components once the stars have been merged. A pair is
-    given under the first table that it shares alone, which each document's collections, sent along, tell.
+    Documents are dealt to chunks; a chunk sends the low 40 bits of each of its distinct keys to the key's bucket, in order,
+    and gets a bit for each: whether another chunk has it too. Only repeated keys leave as rows. Chunks and buckets grow
+    with the rows.
     """
-    parts = partitions(label.sparkSession)
-    buckets = 4 * parts
-    sent_bitmap = label.sparkSession.sparkContext.broadcast(bitmap)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _smaller(batches):
-            if not batch.num_rows:
-                continue
-            key, ids, comp = _table_keys(batch, PAIRS)
-            live = np.flatnonzero(_in_bitmap(sent_bitmap.value, key))
-            row = np.empty(len(live), _LIVE)
-            c = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, COLLECTIONS)
-            row["comp"], row["own"], row["table"] = comp[live], c[live % batch.num_rows].astype(np.uint32), live // batch.num_rows
-            yield _blobs(key[live], ids[live], row, buckets, ())
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.frombuffer(k.as_py(), np.uint64), np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), _LIVE)) for batch in batches for k, i, r in zip(*(batch.column(x) for x in (1, 2, 3)), strict=True)]
-        if not got:
-            return
-        key, ids, row = (np.concatenate(x) for x in zip(*got, strict=True))
-        order, start = _runs(key, row["comp"], ids)
-        key, ids, row = key[order], ids[order], row[order]
-        begin = np.flatnonzero(start == np.arange(len(key)))
-        rows: list[tuple[int, bytes]] = []
-        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-            comp, own = row["comp"][s:e], row["own"][s:e]
-            if comp[0] == comp[-1]:
-                continue
-            first, second = PAIRS[int(row["table"][s])]
-            inner = np.flatnonzero(np.diff(comp)) + 1
-            for x, y in zip(inner.tolist(), [*inner[1:].tolist(), e - s], strict=True):  # a component with all before it
-                few, many = (range(x, y), slice(0, x)) if y - x <= x else (range(x), slice(x, y))
-                for k in few:
-                    same = own[many] == own[k]
-                    same[:, second] = False
-                    earlier = same[:, :second].sum(1)
-                    ok = (earlier == 1) & same[:, first]  # no two collections before these two are shared
-                    if ok.any():
-                        rows.append((int(ids[s + k]), ids[s:e][many][ok].tobytes()))
-                    if len(rows) >= 1_000:
-                        yield _lists(rows)
-                        rows = []
-        if rows:
-            yield _lists(rows)
-
-    sent = label.select(F.col("id").cast("long"), F.col("comp").cast("long"), "keys").mapInArrow(tidy(spread), "bucket int, key binary, id binary, comp binary")
-    return sent.repartition(parts, "bucket").mapInArrow(tidy(meet), "id long, others binary")
-
-
-def _lists(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "others"])
-
-
-def _bitmap_of_lists(lists: DataFrame) -> np.ndarray:
-    """bitmap_of for ids in a binary column: each task makes one bitmap, a few tasks unite them."""
+    chunks = max(partitions(label.sparkSession), rows // 50_000 + 1)
+    dealt = label.select(F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"), F.col("id").cast("long"), F.col("comp").cast("long"), "keys")
+
+    def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """(all keys, distinct keys by bucket, their counts, where each bucket begins)."""
+        key = _table_keys(_collections(table.column(3)), PAIRS)
+        u, count = np.unique(key, return_counts=True)
+        bucket = _key_bucket(u, chunks)
+        order = np.argsort(bucket, kind="stable")
+        return key, u[order], count[order], np.searchsorted(bucket[order], np.arange(chunks + 1)).tolist()
+
+    def ask(table: pa.Table) -> pa.Table:
+        _, u, _, cut = keys_of(table)
+        low = np.ascontiguousarray(u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        full = [b for b in range(chunks) if cut[b + 1] > cut[b]]
+        me = table.column(0)[0].as_py()
+        return pa.table([pa.array(full, pa.int32()), pa.array([me] * len(full), pa.int32()), pa.array([low[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "chunk", "body"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        got = table.column(2).to_pylist()
+        wide = np.zeros((sum(map(len, got)) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(got), np.uint8).reshape(-1, 5)
+        key = wide.view("<u8").ravel()
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        again = np.zeros(len(k), bool)
+        again[1:] = k[1:] == k[:-1]
+        again[:-1] |= again[1:]
+        flag = np.empty(len(k), bool)
+        flag[order] = again
+        cut = np.cumsum([0, *(len(x) // 5 for x in got)]).tolist()
+        return pa.table([table.column(1), table.column(0), pa.array([np.packbits(flag[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["chunk", "bucket", "body"])
+
+    def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int32())], ["key", "id", "comp", "tab"])
+        key, u, count, cut = keys_of(table)
+        again = count > 1
+        for b, body in zip(answers.column(1).to_pylist(), answers.column(2).to_pylist(), strict=True):
+            again[cut[b] : cut[b + 1]] |= np.unpackbits(np.frombuffer(body, np.uint8), count=cut[b + 1] - cut[b]) > 0
+        live = np.sort(u[again])
+        if not len(live):
+            return tell(table.slice(0, 0), answers)
+        at = np.flatnonzero(live[np.minimum(np.searchsorted(live, key), len(live) - 1)] == key)
+        ids, comp = (np.asarray(table.column(x)) for x in (1, 2))
+        row = at % table.num_rows
+        return pa.table([pa.array(key[at].view(np.int64)), pa.array(ids[row]), pa.array(comp[row]), pa.array((at // table.num_rows).astype(np.int32))], ["key", "id", "comp", "tab"])
+
+    asked = dealt.groupBy("chunk").applyInArrow(tidy_group(ask), "bucket int, chunk int, body binary")
+    answers = asked.groupBy("bucket").applyInArrow(tidy_group(answer), "chunk int, bucket int, body binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy_groups(tell), "key long, id long, comp long, tab int")
+
+
+def _key_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def entry_stars(entries: DataFrame) -> DataFrame:
+    """star_links over entries (key, id, comp): the least id with the least of each other component."""
+    lead = entries.groupBy("key", "comp").agg(F.min("id").alias("id"))
+    least = lead.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("comps")).where("comps > 1")
+    return lead.join(least, "key").where("id <> a").select("a", F.col("id").alias("b"), "key")
+
+
+def cells(live: DataFrame, label: DataFrame, capacity: int) -> DataFrame:
+    """(cell, side, id, comp, tab): where the documents under each live key meet. live: (key, id, tab); label: (id, comp, n).
+
+    A key is one cell as long as its sets have no more than `capacity` shingles together. A larger one is dealt to parts by
+    a second hash, and each two parts meet in a cell: side 1 only with side 2, the cells of one part (side 0) within it.
+    Keys of a single component have no cell.
+    """
+    of_id = label.groupBy("id").agg(F.max("comp").alias("comp"), F.max("n").alias("n"))  # an id may have several texts
+    rows = durable(live.join(of_id, "id"))
+    weight = F.greatest("n", F.lit(LIGHTEST))
+    keys = rows.groupBy("key").agg(F.ceil(F.sum(weight) / capacity).cast("int").alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")
+    meet = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct(F.xxhash64("key", F.least("own", o), F.greatest("own", o)).alias("cell"), F.when(F.col("own") == o, 0).when(F.col("own") < o, 1).otherwise(2).alias("side")),
+    )
+    x = rows.join(keys.select("key", "parts"), "key").withColumn("own", own)
+    return x.select(F.explode(meet).alias("m"), "id", "comp", "tab").select("m.cell", "m.side", "id", "comp", "tab")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column in tables of about `most` bytes; a cell is never cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            table = pa.Table.from_batches(held)
+            key = np.asarray(table.column(0))
+            cut = int(np.argmax(key == key[-1]))
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of rows that share a cell, are not of one component nor of one side, and whose sizes allow the likeness. Rows
+    are sorted by cell and size; the d-th round pairs each row with the d-th after it, as long as sizes allow."""
+    end = np.searchsorted(cell, cell, "right")
+    i, d = np.arange(len(cell)), 1
+    while len(i):
+        i = i[i + d < end[i]]
+        i = i[100 * n[i] >= percent * n[i + d]]
+        for k in range(0, len(i), 1 << 16):
+            a = i[k : k + (1 << 16)]
+            b = a + d
+            ok = (comp[a] != comp[b]) & ((side[a] == 0) | (side[a] != side[b]))
+            if ok.any():
+                yield a[ok], b[ok]
+        d += 1
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray, own: np.ndarray, tab: np.ndarray) -> np.ndarray:
+    """Whether the table is the first that both share, by their collections: so a pair is looked at in one table alone."""
+    same = own[a] == own[b]
+    first, second = _FIRST_OF[tab[a]], _SECOND_OF[tab[a]]
+    return ((same & (_COLUMNS < second[:, None])).sum(1) == 1) & same[np.arange(len(a)), first]
+
+
+def _may_be_alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, sign: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """What the signatures allow; n[a] <= n[b]."""
+    out = np.zeros(len(a), bool)
+    words = np.diff(at)
+    kind = words[a] * 65_536 + words[b]
+    for u in np.unique(kind).tolist():
+        these = np.flatnonzero(kind == u)
+        few, many = u // 65_536, u % 65_536
+        for k in range(0, len(these), 1 << 13):
+            s = these[k : k + (1 << 13)]
+            x, y = sign[at[a[s]][:, None] + np.arange(few)], sign[at[b[s]][:, None] + np.arange(many)]
+            while y.shape[1] > few:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            out[s] = differ * (100 + percent) <= (n[a[s]] + n[b[s]]) * (100 - percent)
+    return out
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, some = np.zeros(BITS, bool), False
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                bits[_bit(np.frombuffer(x, np.int64)).astype(np.int64)] = some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["m"])
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = None
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                x = np.frombuffer(x, np.uint8)
-                every = x.copy() if every is None else every | x
-        if every is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([every.tobytes()], pa.binary())], ["m"])
-
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in lists.select("others").mapInArrow(tidy(own), "m binary").repartition(4).mapInArrow(tidy(unite), "m binary").collect():
-        out |= np.frombuffer(r["m"], np.uint8)
-    return out
+_AT_CELL = "cell long, side int, id long, comp long"
 
 
-def _among(sets: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """The rows (id, sets) whose id the bitmap may hold."""
-    sent = sets.sparkSession.sparkContext.broadcast(bitmap)
+def open_cells(met: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(cell, side, id, comp): what has a partner in the cell that sizes, first shared table and signature all allow; a row
+    for each document and cell, none for a pair. met: cells(); label: (id, n, keys, sign)."""
+    parts = partitions(met.sparkSession)
+    own = label.select("id", "n", F.substring("keys", 1, 4 * COLLECTIONS).alias("own"), "sign")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _smaller(batches, 4_000):
-            if batch.num_rows:
-                yield batch.filter(pa.array(_in_bitmap(sent.value, np.asarray(batch.column(0)).astype(np.int64))))
+        for table in _whole_cells(batches, 4 << 20):
+            cell, side, ids, comp, tab, n = (np.asarray(table.column(x)) for x in range(6))
+            order = np.lexsort((n, cell))
+            cell, side, ids, comp, tab, n = (x[order] for x in (cell, side, ids, comp, tab, n))
+            own = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint32).reshape(-1, COLLECTIONS)[order]
+            signs = table.column(7).to_pylist()
+            at = np.concatenate([[0], np.cumsum([len(signs[i]) // 8 for i in order.tolist()])])
+            sign = np.frombuffer(b"".join(signs[i] for i in order.tolist()), np.uint64)
+            open_ = np.zeros(len(cell), bool)
+            for a, b in _candidates(cell, side, comp, n, percent):
+                ok = _first_shared(a, b, own, tab)
+                a, b = a[ok], b[ok]
+                ok = _may_be_alike(a, b, n, sign, at, percent)
+                open_[a[ok]] = open_[b[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[open_]) for x in (cell, side, ids, comp)], ["cell", "side", "id", "comp"])
+
+    x = met.join(own, "id").select("cell", "side", "id", "comp", "tab", "n", "own", "sign")
+    return x.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(tidy(run), _AT_CELL)
+
+
+def cell_links(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the open cells, confirmed on full sets: each set goes to its cell once, and a cell gives no link
+    between what its links join already, so fewer links than documents."""
+    parts = partitions(opened.sparkSession)
 
-    return sets.select("id", "sets").mapInArrow(tidy(run), "id long, sets binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches, 8 << 20):
+            cell, side, ids, comp, n = (np.asarray(table.column(x)) for x in range(5))
+            order = np.lexsort((n, cell))
+            blobs = table.column(5).to_pylist()
+            sets = [np.frombuffer(blobs[i], np.uint64) for i in order.tolist()]
+            cell, side, ids, comp, n = (x[order] for x in (cell, side, ids, comp, n))
+            sign, at = signatures(np.concatenate(sets), n)
+            up: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def root(x: tuple[int, int]) -> tuple[int, int]:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            out: list[tuple[int, int]] = []
+            for a, b in _candidates(cell, side, comp, n, percent):
+                ok = _may_be_alike(a, b, n, sign, at, percent)
+                for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    x, y = root((cell[i], comp[i])), root((cell[j], comp[j]))
+                    if x != y and _alike(sets[i], sets[j], percent):
+                        up[max(x, y)] = min(x, y)
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
+
+    x = opened.join(sets, "id").select("cell", "side", "id", "comp", "n", "sets")
+    return x.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -293,100 +464,69 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inner >= percent * (len(x) + len(y) - inner)
 
 
-def confirm_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) among all_links. A document and its set go to the buckets of the others' ids, the others' sets go
-    to their bucket once, and only links come out: a block of queries against a block of rows, not a row for each pair."""
-    buckets = partitions(lists.sparkSession)
-    asked = lists.groupBy("id").agg(F.collect_list("others").alias("others"))
-    mine = _among(sets, bitmap_of(lists.select(F.col("id").alias("k"))))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, own, others in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
-                ids = np.frombuffer(b"".join(others), np.int64)
-                at = _bucket(ids, buckets)
-                order = np.argsort(at, kind="stable")
-                cut = np.searchsorted(at[order], np.arange(buckets + 1)).tolist()
-                full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([i] * len(full), pa.int64()), pa.array([own] * len(full), pa.binary()), pa.array([ids[order[cut[b] : cut[b + 1]]].tobytes() for b in full], pa.binary())], ["bucket", "id", "sets", "others"]
-                )
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                at = _bucket(np.asarray(batch.column(0)).astype(np.int64), buckets).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], ["bucket", "id", "sets"])
-
-    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        have = {i: np.frombuffer(x, np.uint64) for i, x in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)}
-        a: list[int] = []
-        b: list[int] = []
-        for batch in queries.to_batches():
-            for i, own, others in zip(*(batch.column(x).to_pylist() for x in (1, 2, 3)), strict=True):
-                x = np.frombuffer(own, np.uint64)
-                for o in np.frombuffer(others, np.int64).tolist():
-                    if o in have and _alike(x, have[o], percent):
-                        a.append(min(i, o))
-                        b.append(max(i, o))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    queries = asked.join(mine, "id").select("id", "sets", "others").mapInArrow(tidy(ask), "bucket int, id long, sets binary, others binary")
-    rows = _among(sets, _bitmap_of_lists(lists)).mapInArrow(tidy(deal), "bucket int, id long, sets binary")
-    return queries.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(meet, "a long, b long").distinct()
-
-
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * |A and B| >= percent * |A or B|. sets: (id, n, sets).
-
-    Only sets of documents in pairs are sent: a bitmap of fixed size sorts out most others where they are read.
-    """
-    some = _among(sets, bitmap_of(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))))
-    p = pairs.join(some.select(F.col("id").alias("a"), F.col("sets").alias("sa")), "a").join(some.select(F.col("id").alias("b"), F.col("sets").alias("sb")), "b")
+    """The pairs with 100 * |A and B| >= percent * |A or B|. sets: (id, sets), of the documents in pairs at least."""
+    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("sets").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _smaller(batches, 400):
-            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for part in _smaller([batch], 400):
+                keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return p.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def _of_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row per row of docs with an id; component_id is the least id reachable by links.
 
     doc is an integer column. Rows of one id are one document with several texts: each has the links of all of them and
     shows its own text's set size. Rows without id are left out. Texts are lower-cased in A-Z; null texts and texts
-    without words have no shingles and no links; a text of fewer than k words is one shingle. Texts with equal sets form
-    one class before any key is made, so copies cost nothing further. Then stars under the keys of a few tables, confirmed
-    and merged, stars of what is still apart under all keys, and at last all pairs of different components that still share a key, so that no link that shares one is lost.
+    without words have no shingles and no links; a text of fewer than k words is one shingle; an empty table gives an empty
+    one; very long texts are read whole, and sets travel only for documents with a candidate. Other columns take no part,
+    whatever their names. docs is read up to four times: give a table, not a costly plan.
+
+    Texts with equal sets form one class before any key is made, so copies cost nothing further. Then stars under the keys
+    of a few tables, confirmed and merged, stars of what is still apart under all keys that documents share, and at last,
+    under each key that still joins different components, all its documents in cells, so that no link that shares a key
+    is lost.
     """
-    rows = durable(sketch(docs.where(F.col(f"`{doc}`").isNotNull()).withColumn(doc, F.col(f"`{doc}`").cast("long")), doc, text, k))
-    classes = durable(rows.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")))
-    reps = durable(rows.where("n > 0").select("id", "print", "keys").join(classes.withColumnRenamed("rep", "id"), ["print", "id"], "left_semi").select("id", "keys"))
-    sets = rows.where("n > 0").select("id", "sets")
-    label, links, tried = reps.select("id", F.col("id").alias("comp"), "keys"), None, None
-    for tables in (FIRST, PAIRS):
-        found = durable(star_links(label, tables))
-        pairs = found.select("a", "b").distinct()
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs
-        good = durable(confirm(pairs, sets, percent))
-        links = good if links is None else links.unionByName(good)
-        comps = components(links)
-        label = reps.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "keys")
-    apart = _joined(found, comps).where("ca <> cb").select(F.col("key").alias("k"))
-    lists = durable(all_links(label, bitmap_of(apart)))
-    comps = components(links.unionByName(durable(confirm_lists(lists, sets, percent))))
+    docs = docs.where(F.col(f"`{doc}`").isNotNull()).withColumn(doc, F.col(f"`{doc}`").cast("long"))
+    rows = durable(sketch(docs, doc, text, k))
+    some = rows.where("n > 0")
+    classes = durable(some.groupBy("print").agg(F.min("id").alias("rep")))
+    reps = durable(some.join(classes.withColumnRenamed("rep", "id"), ["print", "id"], "left_semi").select("id", "n", "keys", "sign"))
+    sets = lambda ids: sets_of(docs, bitmap_of(ids), doc, text, k)
+    pairs = durable(star_links(reps.select("id", F.col("id").alias("comp"), "keys"), FIRST).select("a", "b").distinct())
+    first = durable(confirm(pairs, sets(_of_ends(pairs)), percent))
+    comps = components(first)
+    entries = durable(repeated_keys(_labelled(reps, comps), reps.count()))
+    found = durable(entry_stars(entries))
+    release(comps)
+    more = durable(found.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    links = durable(first.unionByName(confirm(more, sets(_of_ends(more)), percent)))
+    comps = components(links)
+    apart = durable(_joined(found, comps).where("ca <> cb").select("key").distinct())
+    release(pairs, first, more, found)
+    label = _labelled(reps, comps)
+    opened = durable(open_cells(cells(entries.join(apart, "key", "left_semi").select("key", "id", "tab"), label, CELL), label, percent))
+    release(entries, apart, comps)
+    last = durable(links.unionByName(cell_links(opened, sets(opened.select(F.col("id").alias("k"))), percent)))
+    comps = components(last)
+    release(links, opened, last, reps)
     out = rows.select("id", "print", F.col("n").alias("n_shingles")).join(classes, "print", "left")
     out = out.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     return out.select("id", "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id"))
 
 
+def _labelled(reps: DataFrame, comps: DataFrame) -> DataFrame:
+    return reps.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "keys", "sign")
+
+
 def _joined(found: DataFrame, comps: DataFrame) -> DataFrame:
     """Links with the components (ca, cb) of their ends."""
     a, b = (comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")

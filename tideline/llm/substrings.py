@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchored_runs, gram_sums, span_hash
+from .anchors import _BYTE, anchored_runs, gram_sums, span_hash
 from .bwt import least_holders
 from .common import partitions
-from .tokens import _BYTE, buffer_of, mix64, pieces
+from .tokens import buffer_of, mix64, pieces
 
 LENGTH, GRAM = 50, 24
 #: An anchor with more stretches than HOT is dealt out by single windows, so that no bucket gathers it.

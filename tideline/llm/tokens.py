@@ -8,11 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-_rng = np.random.Generator(np.random.PCG64(20_240_501))
-#: A random 64-bit value for each byte, and the odd base of the polynomial hash with its inverse modulo 2**64.
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,38 +38,48 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
-class Powers:
-    """Powers of the base and of its inverse, grown as needed and kept by the worker."""
+#: Hash values of a byte by its place in a span, for the first PLACES places; beyond, they are worked out.
+PLACES = 64
+_SALT = np.uint64(0xD6E8FEB86659FD93)
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
 
-    @classmethod
-    def to(cls, n: int) -> None:
-        if len(cls.up) < n:
-            n = int(n * 1.2) + 1024
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
+def _at_place(code: np.ndarray) -> np.ndarray:
+    """The value of 256 * place + byte, as if drawn for each place and byte anew: no pattern of bytes cancels out."""
+    return mix64(mix64(code.astype(np.uint64) + _SALT) ^ np.uint64(0x9E3779B97F4A7C15))
+
+
+_TABLE = _at_place(np.arange(PLACES * 256))
 
 
 def span_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of flat[begin:end], for ascending spans that do not overlap; equal bytes have equal hashes."""
+    """64-bit hashes of flat[begin:end], for ascending spans that do not overlap; equal bytes have equal hashes.
+
+    A span's hash is the mixed sum of what each byte is worth at its place.
+    """
     out = np.empty(len(begin), np.uint64)
+    size = end - begin
     k = 0
-    while k < len(begin):  # in pieces, so that sums and powers stay small
-        lo = int(begin[k])
-        m = max(k + 1, int(np.searchsorted(end, lo + step, "right")))
-        hi = int(end[m - 1])
-        n = hi - lo
-        if n > step:  # one long span
-            Powers.to(n + 1)
-        Powers.to(step + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[flat[lo:hi]] * Powers.up[:n], out=total[1:])
-        b, e = begin[k:m] - lo, end[k:m] - lo
-        out[k:m] = mix64((total[e] - total[b]) * Powers.down[b] + (e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    while k < len(begin):  # in pieces, so that arrays stay small
+        m = max(k + 1, int(np.searchsorted(end, int(begin[k]) + step, "right")))
+        n = size[k:m]
+        if m == k + 1 and n[0] > step:  # one long span
+            sums = np.zeros(1, np.uint64)
+            for a in range(0, int(n[0]), step):
+                b = min(a + step, int(n[0]))
+                sums += _at_place(np.arange(a, b) * 256 + flat[begin[k] + a : begin[k] + b]).sum(dtype=np.uint64)
+        else:
+            at = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(at, n)
+            code = place * 256 + flat[np.repeat(begin[k:m], n) + place]
+            if len(n) and int(n.max()) <= PLACES:
+                value = _TABLE[code]
+            else:
+                value = np.where(place < PLACES, _TABLE[np.minimum(code, PLACES * 256 - 1)], 0)
+                far = np.flatnonzero(place >= PLACES)
+                value[far] = _at_place(code[far])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+            sums = total[at + n] - total[at]
+        out[k:m] = mix64(sums + n.astype(np.uint64) * _SALT)
         k = m
     return out
 
@@ -121,7 +126,9 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             has = words.count[short] > j
             few[has] = mix64(few[has] + h[words.first[short[has]] + j] + np.uint64(77))
         doc, out = np.concatenate([doc, short]), np.concatenate([out, few])
-    order = np.lexsort((out, doc))
+    order = np.argsort(out)
+    by_doc = doc[order]
+    order = order[np.argsort(by_doc.astype(np.uint16) if len(words.count) <= 1 << 16 else by_doc, kind="stable")]
     doc, out = doc[order], out[order]
     new = np.ones(len(out), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (out[1:] != out[:-1])
@@ -151,6 +158,28 @@ def tidy(run):
     return tidied
 
 
+def tidy_group(run):
+    """The same for a function of a group's table."""
+
+    def tidied(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return tidied
+
+
+def tidy_groups(run):
+    """The same for a function of the tables of two groups."""
+
+    def tidied(left, right):
+        out = run(left, right)
+        give_back()
+        return out
+
+    return tidied
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in slices of about `most` bytes of text, whole rows always, so that arrays of a slice stay small."""
     col = batch.column(batch.schema.get_field_index(column))
