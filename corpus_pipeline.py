@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, decoded_sha256): ids as little-endian unsigned 32-bit integers."""
     slim = docs.select("doc_id", "source", "text")
-    x = bpe.decode_column(bpe.encode_column(slim, RANKS, public_tokenizers.PATTERN).drop("text"), RANKS, public_tokenizers.PATTERN)
-    return x.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    x = bpe.round_trip_column(slim, RANKS, public_tokenizers.PATTERN)
+    return x.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("quality rules", keep_quality), ("line dedup", drop_repeated_lines), ("near-dedup", keep_one_of_each), ("mixing", mix_sources), ("byte-level BPE", encode)]
