@@ -148,8 +148,8 @@ def test_sign_tail():
 
 
 def test_largest_component():
-    assert detectors.largest_component(np.array([[1, 0, 1], [1, 1, 0], [0, 0, 1]])) == 3
-    assert detectors.largest_component(np.zeros((2, 2))) == 0
+    assert detectors.largest_region(np.array([[1, 0, 1], [1, 1, 0], [0, 0, 1]])) == 3
+    assert detectors.largest_region(np.zeros((2, 2))) == 0
 
 
 def test_recall_finds_parts_of_words(spark):

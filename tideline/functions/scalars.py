@@ -30,11 +30,14 @@ def eta(done: Column, total: Column, resumed_from: Column, elapsed: Column) -> C
 
 
 def progress_bar(done: Column, total: Column, resumed_from: Column, elapsed: Column, state: Column, width: int = 24) -> Column:
+    """One line: state, bar, percent, clocks of audio, time taken, time left, speed. Halves go to the even number."""
     f = fraction(done, total)
     full = F.least(F.lit(width), F.greatest(F.lit(0), F.floor(f * width))).cast("int")
-    bar = F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full), F.lit("]"))
-    v = F.format_string("%.1fx", speed(done, resumed_from, elapsed))
-    return F.concat_ws(" ", bar, F.format_string("%5.1f%%", f * 100), F.concat(clock(done), F.lit("/"), clock(total)), v, F.concat(F.lit("eta "), clock(eta(done, total, resumed_from, elapsed))), state)
+    return F.format_string(
+        "%10s [%s%s] %3.0f%%  %s/%s audio  elapsed %s  eta %s  %.1fx",
+        state, F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full), F.bround(f * 100), clock(done), clock(total), clock(elapsed), clock(eta(done, total, resumed_from, elapsed)),
+        F.bround(speed(done, resumed_from, elapsed), 1),
+    )
 
 
 def samples_to_seconds(samples: Column, rate: int) -> Column:

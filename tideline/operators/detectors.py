@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,12 +43,16 @@ def keep_changed(hashes: DataFrame, threshold: int) -> DataFrame:
     return x.select("rec_id", F.explode(kept).alias("f")).select("rec_id", "f.frame_ix", "f.h")
 
 
-def tile_activity(frames: DataFrame, delta: int = 8) -> DataFrame:
-    """(rec_id, tile_ix, activity): the share of frame pairs in which a tile changes."""
+def _activity(frames: DataFrame, delta: int) -> DataFrame:
     before = F.lag("tiles").over(Window.partitionBy("rec_id").orderBy("frame_ix"))
     d = frames.withColumn("before", before).where("before is not null")
     flags = F.zip_with("before", "tiles", lambda x, y: (F.abs(x - y) > delta).cast("int"))
-    return d.select("rec_id", F.posexplode(flags).alias("tile_ix", "changed")).groupBy("rec_id", "tile_ix").agg(F.round(F.avg("changed"), 9).alias("activity"))
+    return d.select("rec_id", F.posexplode(flags).alias("tile_ix", "changed")).groupBy("rec_id", "tile_ix").agg(F.avg("changed").alias("activity"))
+
+
+def tile_activity(frames: DataFrame, delta: int = 8) -> DataFrame:
+    """(rec_id, tile_ix, activity): the share of frame pairs in which a tile changes."""
+    return _activity(frames, delta).withColumn("activity", F.round("activity", 9))
 
 
 def row_activity(activity: DataFrame, width: int = 8) -> DataFrame:
@@ -57,12 +60,12 @@ def row_activity(activity: DataFrame, width: int = 8) -> DataFrame:
 
 
 def noise_mask(activity: DataFrame, most: float, cap: float = 0.25) -> DataFrame:
-    """(rec_id, noisy, masked): the share of tiles busier than most, and whether few enough are to be masked."""
-    x = activity.groupBy("rec_id").agg(F.round(F.avg((F.col("activity") > most).cast("int")), 9).alias("noisy"))
-    return x.withColumn("masked", F.col("noisy") <= cap)
+    """(rec_id, noisy, masked): the share of tiles as busy as `most` or busier, and whether few enough are to be masked."""
+    x = activity.groupBy("rec_id").agg(F.avg((F.col("activity") >= most).cast("int")).alias("noisy"))
+    return x.withColumn("masked", F.col("noisy") <= cap).withColumn("noisy", F.round("noisy", 9))
 
 
-def largest_component(mask: np.ndarray) -> int:
+def largest_region(mask: np.ndarray) -> int:
     """Cells of the largest 4-connected group of set cells."""
     left, best = {(int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)}, 0
     while left:
@@ -92,19 +95,20 @@ def component_sizes(frames: DataFrame, width: int = 8, delta: int = 8, masked: D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [largest_component(np.array(x, np.int8).reshape(-1, width)) for x in batch.column(2).to_pylist()]
+            sizes = [largest_region(np.array(x, np.int8).reshape(-1, width)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], ["rec_id", "i", "size"])
 
     return d.select("rec_id", "i", "changed").mapInArrow(run, f"rec_id {frames.schema['rec_id'].dataType.simpleString()}, i int, size int")
 
 
-def region_marks(frames: DataFrame, width: int = 8, delta: int = 8, most: float = 0.2, least: int = 3, cap: float = 0.25) -> DataFrame:
+def region_marks(frames: DataFrame, width: int = 8, delta: int = 8, most: float = 0.2, least: int = 3, cap: float = 0.25, sizes: bool = False) -> DataFrame:
     """(rec_id, frame_ix): frames after changes with a connected region of `least` tiles, busy tiles masked. A detector
-    that is known to do badly, to compare with."""
-    activity = tile_activity(frames, delta)
+    that is known to do badly, to compare with. With sizes, also the size of the region."""
+    activity = _activity(frames, delta)
     ok = noise_mask(activity, most, cap).where("masked").select("rec_id")
-    masked = activity.where(F.col("activity") > most).join(ok, "rec_id", "left_semi").groupBy("rec_id").agg(F.collect_set("tile_ix").alias("tiles"))
-    return component_sizes(frames, width, delta, masked).where(F.col("size") >= least).select("rec_id", (F.col("i") + 1).alias("frame_ix"))
+    masked = activity.where(F.col("activity") >= most).join(ok, "rec_id", "left_semi").groupBy("rec_id").agg(F.collect_set("tile_ix").alias("tiles"))
+    found = component_sizes(frames, width, delta, masked).where(F.col("size") >= least)
+    return found.select("rec_id", (F.col("i") + 1).alias("frame_ix"), *(["size"] if sizes else []))
 
 
 def coarsen(frames: DataFrame, width: int, factor: int) -> DataFrame:
@@ -118,19 +122,28 @@ def coarsen(frames: DataFrame, width: int, factor: int) -> DataFrame:
     return b.groupBy("rec_id", "frame_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda z: z["v"]).alias("tiles"))
 
 
-def sweep(frames: DataFrame, deltas: list[int], masks: list[float], sizes: list[int], width: int = 8) -> DataFrame:
-    """(delta, most, least, rec_id, n_marks) of region_marks for all combinations over frames that are read once."""
-    frames = frames.persist()
-    out = None
-    for d in deltas:
-        for m in masks:
-            for s in sizes:
-                x = region_marks(frames, width, d, m, s).groupBy("rec_id").agg(F.count("*").alias("n_marks")).select(F.lit(d).alias("delta"), F.lit(m).alias("most"), F.lit(s).alias("least"), "rec_id", "n_marks")
+def sweep(frames: DataFrame, deltas: list[int], masks: list[float], sizes: list[int], width: int = 8, factors: Sequence[int] = (1,)) -> DataFrame:
+    """(config_ix, factor, delta, most, least, rec_id, n_marks) of region_marks for all combinations: grids coarsened by each
+    factor, changes by delta, busy tiles masked from `most` on, regions of `least` tiles.
+
+    Changes and regions are worked out once for each grid, delta and mask, and the sizes are counted on them. Numbers run in
+    the order of the arguments; a recording without a mark has a row of 0.
+    """
+    every, out = frames.select("rec_id").distinct(), None
+    for f, factor in enumerate(factors):
+        grid, wide = (frames, width) if factor == 1 else (coarsen(frames, width, factor), width // factor)
+        for d, delta in enumerate(deltas):
+            for m, most in enumerate(masks):
+                regions = region_marks(grid, wide, delta, most, 1, sizes=True)
+                base = ((f * len(deltas) + d) * len(masks) + m) * len(sizes)
+                counts = regions.groupBy("rec_id").agg(*[F.count_if(F.col("size") >= least).alias(f"n{k}") for k, least in enumerate(sizes)])
+                rows = F.array(*[F.struct(F.lit(base + k).alias("config_ix"), F.lit(factor).alias("factor"), F.lit(delta).alias("delta"), F.lit(float(most)).alias("most"), F.lit(least).alias("least"), F.coalesce(F.col(f"n{k}"), F.lit(0)).cast("long").alias("n_marks")) for k, least in enumerate(sizes)])
+                x = every.join(counts, "rec_id", "left").select("rec_id", F.inline(rows))
                 out = x if out is None else out.unionByName(x)
-    return out
+    return out.select("config_ix", "factor", "delta", "most", "least", "rec_id", "n_marks")
 
 
-def best_config(results: pd.DataFrame, hit: str = "hit") -> dict | None:
-    """The first configuration with the fewest marks among those that hit; None if none does."""
-    ok = results[results[hit]]
-    return None if ok.empty else ok.sort_values("n_marks", kind="stable").iloc[0].to_dict()
+def best_config(results: DataFrame, hit: str = "hit") -> DataFrame:
+    """The configuration (config_ix, n_marks, ...) with the fewest marks among those that hit, of equals the first; no row
+    if none hits."""
+    return results.where(F.col(hit)).orderBy("n_marks", "config_ix").limit(1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,21 @@ def to_text(docs: DataFrame) -> DataFrame:
     return docs.select("rec_id", F.to_json("document").alias("json"))
 
 
+def append_lines(rows: DataFrame, folder: str) -> None:
+    """Adds rows as JSON lines to what the folder holds."""
+    rows.write.mode("append").json(folder)
+
+
+def write_twice(path: str, base: dict[str, Any], label: Callable[[dict[str, Any]], dict[str, Any] | None]) -> dict[str, Any]:
+    """Writes the document without labels first, then with them: whatever the optional stage does, the base is there. None
+    from label leaves it as it is; errors of label go on, with the base written."""
+    write_text(path, json.dumps(base, ensure_ascii=False))
+    if (labelled := label(base)) is not None:
+        write_text(path, json.dumps(labelled, ensure_ascii=False))
+        return labelled
+    return base
+
+
 def size_overhead(docs: DataFrame, variants: dict[str, Column]) -> DataFrame:
     """(rec_id, variant, overhead): by how much each variant's JSON is longer than the document's."""
     base = F.length(F.to_json("document"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .changes import changed
 
@@ -93,12 +96,17 @@ def random_baseline(targets: DataFrame, spans: DataFrame, draws: int, budget: in
 
     spans: (rec_id, duration). Parity with other generators is of distribution, not of numbers.
     """
+    x = _random_distances(targets, spans, draws, budget, seed)
+    return x.groupBy("rec_id").agg(F.round(F.avg("distance"), 4).alias("mean_distance"))
+
+
+def _random_distances(targets: DataFrame, spans: DataFrame, draws: int, budget: int, seed: int) -> DataFrame:
+    """(rec_id, draw, distance) of each target to the nearest of a draw's marks."""
     d = spans.select("rec_id", "duration", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     m = d.select("rec_id", "draw", "duration", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))).alias("slot"))
     m = m.select(F.struct("rec_id", "draw").alias("rec_id"), (uniform(seed, F.col("rec_id"), F.col("draw"), F.col("slot")) * F.col("duration")).alias("t"))
     t = targets.select("rec_id", "t", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(F.struct("rec_id", "draw").alias("rec_id"), "t")
-    x = nearest_distance(m, t)
-    return x.groupBy(F.col("rec_id.rec_id").alias("rec_id")).agg(F.round(F.avg("distance"), 4).alias("mean_distance"))
+    return nearest_distance(m, t).select(F.col("rec_id.rec_id").alias("rec_id"), F.col("rec_id.draw").alias("draw"), "distance")
 
 
 def per_minute_budget(duration_s: Column, per_minute: float) -> Column:
@@ -125,13 +133,75 @@ def sign_test(pairs: DataFrame) -> tuple[int, int, float]:
     return r["n"], r["wins"], sign_tail(r["n"], r["wins"])
 
 
+def sign_test_row(pairs: DataFrame) -> DataFrame:
+    """paired_wins with p, the chance of so many wins or more; exact whole numbers, for the one row that is left."""
+    x = paired_wins(pairs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(p=[round(sign_tail(int(n), int(w)), 9) for n, w in zip(pdf["n"], pdf["wins"], strict=True)])
+
+    return x.mapInPandas(run, StructType([*x.schema.fields, StructField("p", DoubleType())]))
+
+
 def unstable_share(marks: DataFrame, seconds: DataFrame, top: float = 0.05) -> DataFrame:
-    """(rec_id, marks, unstable): marks in the top share of most unstable seconds (rec_id, second, instability)."""
-    limit = seconds.groupBy("rec_id").agg(F.round(F.percentile("instability", 1 - top), 9).alias("limit"))
-    m = marks.select("rec_id", F.col("t").cast("int").alias("second")).join(seconds, ["rec_id", "second"]).join(limit, "rec_id")
+    """(rec_id, marks, unstable): marks in the top share of most unstable seconds (rec_id, second, instability). A mark
+    before the first or after the last of these seconds counts as in the first or last."""
+    limit = seconds.groupBy("rec_id").agg(F.round(F.percentile("instability", 1 - top), 9).alias("limit"), F.min("second").alias("lo"), F.max("second").alias("hi"))
+    at = F.greatest("lo", F.least("hi", F.col("t").cast("int")))
+    m = marks.select("rec_id", "t").join(limit, "rec_id").select("rec_id", "limit", at.cast("int").alias("second")).join(seconds, ["rec_id", "second"])
     return m.groupBy("rec_id").agg(F.count("*").alias("marks"), F.count_if(F.col("instability") >= F.col("limit")).alias("unstable"))
 
 
+def random_screens(frames: DataFrame, marks: DataFrame, draws: int, delta: int = 8, seed: int = 0) -> DataFrame:
+    """(rec_id, draw, instability, coverage) of random seconds in place of marks: for each draw as many different seconds
+    from 1 to N - 2 as the recording has marks, or all; their mean instability and what they show of all seconds."""
+    steady = instability(frames, delta)
+    n = marks.groupBy("rec_id").agg(F.count("*").alias("n"))
+    every = steady.join(n, "rec_id").select("rec_id", "second", "instability", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    k = F.row_number().over(Window.partitionBy("rec_id", "draw").orderBy(uniform(seed, F.col("rec_id"), F.col("draw"), F.col("second")), "second"))
+    drawn = every.withColumn("k", k).where("k <= n")
+    still = drawn.groupBy("rec_id", "draw").agg(F.round(F.avg("instability"), 9).alias("instability"))
+    both = F.struct("rec_id", "draw").alias("rec_id")
+    t = F.col("second").cast("double")
+    points = every.select(both, t.alias("t"))
+    at = segment_of(points, drawn.select(both, t.alias("b"), t.alias("sample")))
+    pairs = at.select(F.col("rec_id.rec_id").alias("rec_id"), F.col("rec_id.draw").alias("draw"), F.col("sample").alias("a"), F.col("t").alias("b"))
+    shown = same_screen(frames, pairs, delta).groupBy("rec_id", "draw").agg(F.round(F.avg("same"), 9).alias("coverage"))
+    return still.join(shown, ["rec_id", "draw"])
+
+
+def sigma_above_random(ours: DataFrame, random: DataFrame, value: str) -> DataFrame:
+    """(rec_id, ours, random_mean, random_std, sigma): how many deviations (of the population) a recording's value lies
+    above its draws; no sigma where draws do not differ."""
+    r = random.groupBy("rec_id").agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
+    x = ours.select("rec_id", F.col(value).alias("ours")).join(r, "rec_id")
+    return x.select("rec_id", "ours", F.round("m", 6).alias("random_mean"), F.round("s", 6).alias("random_std"), F.round(F.when(F.col("s") > 0, (F.col("ours") - F.col("m")) / F.col("s")), 4).alias("sigma"))
+
+
+def distance_p(targets: DataFrame, marks: DataFrame, spans: DataFrame, draws: int, budget: int, seed: int = 0) -> DataFrame:
+    """(rec_id, ours, draws, closer, p): mean distance of targets to marks, and in how many draws random marks are as close
+    or closer."""
+    ours = nearest_distance(marks, targets).groupBy("rec_id").agg(F.round(F.avg("distance"), 6).alias("ours"))
+    r = _random_distances(targets, spans, draws, budget, seed).groupBy("rec_id", "draw").agg(F.round(F.avg("distance"), 6).alias("mean"))
+    x = ours.join(r, "rec_id").groupBy("rec_id", "ours").agg(F.count("*").alias("draws"), F.count_if(F.col("mean") <= F.col("ours")).alias("closer"))
+    return x.withColumn("p", F.round(F.col("closer") / F.col("draws"), 6))
+
+
+def usable_truth(truth: DataFrame, spans: DataFrame, least: int = 2, least_frames: int = 4) -> DataFrame:
+    """truth (rec_id, t) within its recording (rec_id, duration, n_frames), of recordings of least_frames frames or more that
+    keep `least` of them or more."""
+    x = truth.join(spans.where(F.col("n_frames") >= least_frames).select("rec_id", "duration"), "rec_id").where(F.col("t") <= F.col("duration"))
+    enough = x.groupBy("rec_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("rec_id")
+    return x.select(*truth.columns).join(enough, "rec_id", "left_semi")
+
+
+def usable_intervals(intervals: DataFrame, marks: DataFrame, least: int = 5) -> DataFrame:
+    """Intervals of recordings that have `least` of them or more, and a mark."""
+    enough = intervals.groupBy("rec_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("rec_id")
+    return intervals.join(enough, "rec_id", "left_semi").join(marks.select("rec_id").distinct(), "rec_id", "left_semi")
+
+
 def preceding_coverage(points: DataFrame, marks: DataFrame) -> DataFrame:
     """points (rec_id, t) with the age of the last mark before or at them."""
     s = segment_of(points, marks.select("rec_id", F.col("t").alias("b"), F.col("t").alias("sample")))
@@ -148,6 +218,14 @@ def first_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) ->
     return digest(a, "left_sha256").join(digest(b, "right_sha256"), keys, "full").where(~F.col("left_sha256").eqNullSafe(F.col("right_sha256")))
 
 
+def added_keys(before: DataFrame, after: DataFrame, document: str = "document") -> DataFrame:
+    """(rec_id, added, removed): keys at the top of JSON documents (rec_id, document) that only the later or only the earlier
+    one has; a change that adds and never takes away has nothing removed."""
+    keys = lambda df, as_: df.select("rec_id", F.coalesce(F.json_object_keys(document), F.array().cast("array<string>")).alias(as_))
+    j = keys(before, "was").join(keys(after, "is"), "rec_id")
+    return j.select("rec_id", F.array_sort(F.array_except("is", "was")).alias("added"), F.array_sort(F.array_except("was", "is")).alias("removed"))
+
+
 def arm_totals(grades: DataFrame) -> DataFrame:
     """(arm, correct, hedge, fabricate) of graded answers (arm, grade)."""
     return grades.groupBy("arm").agg(*[F.count_if(F.col("grade") == g).alias(g) for g in ("correct", "hedge", "fabricate")])

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of an item by which texts are looked up.
+#: Words of an item by which texts are looked up, and letters of a short one.
 PROBE = 3
+#: Items that are sent to the texts; some hundred bytes each.
+FEW_ITEMS = 20_000
 
 
 def normalize(text: Column) -> Column:
@@ -17,22 +19,49 @@ def normalize(text: Column) -> Column:
 def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the normalised text (doc_id, text) holds the normalised item (item_id, text).
 
-    Only an item's first and last word may be part of a longer one, so inner words are looked up whole: an item's second
-    to fourth word is joined with the three-word runs of texts, and what meets is compared. Items of fewer than five words
-    have no such run and are compared with every text, for which the side of these few items is sent to all if Spark
-    finds it small.
+    Only an item's first and last word may be part of a longer one, so inner words are looked up whole: the hash of an item's
+    second to fourth word is looked for among the three-word runs of a text, and what meets is compared. Items of fewer than
+    five words have no such run; of these the first three characters are looked for among a text's characters.
+
+    Items are counted first. Up to FEW_ITEMS of them go to where the texts are, with a bitmap of their hashes, so that texts
+    are read once and are not sent; more are joined by hash.
     """
-    t = texts.select("doc_id", normalize(F.col("text")).alias("body"))
-    i = items.select("item_id", normalize(F.col("text")).alias("want")).withColumn("w", F.split("want", " "))
-    gram = lambda w, k: F.concat_ws(" ", *[F.get(w, k + j) for j in range(PROBE)])
-    long = i.where(F.size("w") >= PROBE + 2).select("item_id", "want", gram(F.col("w"), F.lit(1)).alias("gram"))
+    t = texts.select("doc_id", F.coalesce(normalize(F.col("text")), F.lit("")).alias("body"))
+    i = items.select("item_id", normalize(F.col("text")).alias("want")).where("want <> ''").withColumn("w", F.split("want", " "))
+    gram = lambda w, k: F.xxhash64(*[F.get(w, k + j) for j in range(PROBE)])
+    is_long = F.size("w") >= PROBE + 2
+    n, n_long = i.agg(F.count("*"), F.count_if(is_long)).first()
+    long = i.where(is_long).select("item_id", "want", gram(F.col("w"), F.lit(1)).alias("gram"))
+    short = i.where(~is_long).select("item_id", "want", F.substring("want", 1, PROBE).alias("gram"))
     # the words are a column: inside the lambda they would be split anew for each run
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - PROBE, F.lit(0))), lambda k: gram(F.col("w"), k))
-    meets = t.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(grams).alias("gram")).join(long.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
-    hits = meets.join(long.select("item_id", "want"), "item_id").join(t, "doc_id").where(F.contains("body", "want"))
-    short = i.where(F.size("w") < PROBE + 2).where("want <> ''").select("item_id", "want")
-    few = t.join(short, F.contains("body", "want"))
-    return hits.select("item_id", "doc_id").unionByName(few.select("item_id", "doc_id"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - PROBE, F.lit(0))), lambda k: gram(F.col("w"), k))
+    found = []
+    if n_long and n <= FEW_ITEMS:
+        bits = 10 + max(0, (n_long - 1).bit_length() - 4)  # 64 bits an item at least, and 1024 words of 64
+        words = [0] * (1 << bits)
+        for r in long.select("gram").distinct().collect():  # no more than FEW_ITEMS
+            words[r["gram"] & ((1 << bits) - 1)] |= 1 << (r["gram"] >> bits & 63)
+        bitmap = F.lit([x - (1 << 64) if x >> 63 else x for x in words])
+        maybe = lambda g: F.getbit(F.get(bitmap, g.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.shiftright(g, bits).bitwiseAND(F.lit(63)).cast("int")) == 1
+        some = t.withColumn("w", F.split("body", " ")).select("doc_id", "body", F.explode(F.array_distinct(F.filter(runs, maybe))).alias("gram"))
+        meets = some.join(F.broadcast(long), "gram")
+        found.append(meets.where(F.contains("body", "want")).select("item_id", "doc_id"))
+    elif n_long:
+        meets = t.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(F.array_distinct(runs)).alias("gram")).join(long.select("item_id", "gram"), "gram")
+        hits = meets.select("doc_id", "item_id").distinct().join(long.select("item_id", "want"), "item_id").join(t, "doc_id")
+        found.append(hits.where(F.contains("body", "want")).select("item_id", "doc_id"))
+    if n > n_long:
+        at = F.sequence(F.lit(1), F.greatest(F.char_length("body"), F.lit(1)))
+        letters = F.array_distinct(F.flatten(F.array(*[F.transform(at, lambda k, m=m: F.substring(F.col("body"), k, F.lit(m))) for m in range(1, PROBE + 1)])))
+        few = F.broadcast(short) if n <= FEW_ITEMS else short
+        meets = t.select("doc_id", F.explode(letters).alias("gram")).join(few, "gram").select("doc_id", "item_id", "want")
+        found.append(meets.join(t, "doc_id").where(F.contains("body", "want")).select("item_id", "doc_id"))
+    if not found:
+        return i.join(t, F.lit(False)).select("item_id", "doc_id")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def missed_items(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -40,6 +69,16 @@ def missed_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("item_id").join(found_items(texts, items), "item_id", "left_anti")
 
 
+def lookup(wanted: DataFrame, known: DataFrame, on: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of wanted joined with what is known of them, rows of wanted that are skipped as nothing is known of them)."""
+    return wanted.join(known, on), wanted.join(known, on, "left_anti")
+
+
+def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by the columns of order."""
+    return df.orderBy(*order).limit(n)
+
+
 def recall_by_group(hits: DataFrame, items: DataFrame, group: str) -> DataFrame:
     """(group, hits, total, recall), and the total in the row of a null group; without items there is no recall."""
     h = hits.select("item_id").distinct().withColumn("hit", F.lit(1))

@@ -46,7 +46,8 @@ def token_votes(tokens: DataFrame, turns: DataFrame) -> DataFrame:
 
 def label_sentences(tokens: DataFrame, turns: DataFrame) -> DataFrame:
     """(rec_id, sent_ix, speaker): most votes; of equals whose first token comes first; without votes the turn nearest to
-    the sentence's first token. tokens: (rec_id, sent_ix, pos, t)."""
+    the sentence's first token. tokens: (rec_id, sent_ix, pos, t). Without any turn it is an error."""
+    require_turns(turns)
     w = Window.partitionBy("rec_id", "sent_ix").orderBy(F.desc("votes"), "first_t")
     won = token_votes(tokens, turns).withColumn("k", F.row_number().over(w)).where("k = 1").select("rec_id", "sent_ix", "speaker")
     start = tokens.groupBy("rec_id", "sent_ix").agg(F.min_by("t", "pos").alias("t"))
@@ -116,10 +117,18 @@ def overlap_labels(sentences: DataFrame, turns: DataFrame) -> DataFrame:
     return near.join(best, ["rec_id", "sent_ix"], "left").select("rec_id", "sent_ix", F.coalesce("speaker", "nearest").alias("speaker"))
 
 
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(rec_id, sent_ix, speaker, other) of two labellings (rec_id, sent_ix, speaker) of the same sentences; a sentence that
+    only one of them has is an error when its row is made."""
+    x = a.select("rec_id", "sent_ix", "speaker", F.lit(True).alias("in_a")).join(b.select("rec_id", "sent_ix", F.col("speaker").alias("other"), F.lit(True).alias("in_b")), ["rec_id", "sent_ix"], "full")
+    lacks = F.raise_error(F.concat(F.lit("one labelling lacks sentence "), F.concat_ws("/", "rec_id", "sent_ix"))).cast("int")
+    one = F.when(F.col("in_a").isNull() | F.col("in_b").isNull(), lacks)
+    return x.select("rec_id", "sent_ix", F.coalesce(one, F.col("speaker")).alias("speaker"), "other")
+
+
 def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
     """(rec_id, sentences, different) of two labellings; each sentence must be in both."""
-    j = a.join(b.withColumnRenamed("speaker", "other"), ["rec_id", "sent_ix"], "full")
-    return j.groupBy("rec_id").agg(F.count("*").alias("sentences"), F.count_if(~F.col("speaker").eqNullSafe(F.col("other"))).alias("different"))
+    return paired(a, b).groupBy("rec_id").agg(F.count("*").alias("sentences"), F.count_if(~F.col("speaker").eqNullSafe(F.col("other"))).alias("different"))
 
 
 def overlapping_turns(turns: DataFrame) -> DataFrame:

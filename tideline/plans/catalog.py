@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import changepoints, changes, chunks, detectors, evaluate, recall, speakers
+from ..operators import changepoints, changes, chunks, detectors, document, evaluate, recall, sentences, speakers, stitch
+from ..streaming import resume
 from . import adapters as A
 
 #: Change threshold, marks per recording and their spacing in the queries.
 DELTA, BUDGET, GAP = 16, 10, 3.0
+#: Draws of the random baselines: sets of random times, and of random seconds.
+DRAWS, SCREEN_DRAWS = 30, 30
+#: Grid factors, thresholds, masks and region sizes of the sweep.
+SWEEP = {"factors": (1, 2), "deltas": [16, 48], "masks": [0.5, 0.9], "sizes": [2, 6, 12]}
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
@@ -57,16 +62,21 @@ def _overlap(s: SparkSession, d: str) -> DataFrame:
     return speakers.overlap_labels(_sentence_spans(s, d), A.turns(s, d))
 
 
-def _event_sentences(s: SparkSession, d: str) -> DataFrame:
-    """Conversation turns as sentences: a token a word, 0.4 s each."""
-    c = A.table(s, d, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).alias("n"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return c.select("conv_id", "turn", F.round(at * 0.4, 6).alias("start"), F.round((at + F.col("n")) * 0.4, 6).alias("end"))
+def _word_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Words of a conversation as tokens, 0.4 s each, turn after turn."""
+    c = A.table(s, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.posexplode(F.split("text", " ")).alias("k", "w"), "turn")
+    pos = F.row_number().over(Window.partitionBy("rec_id").orderBy("turn", "k")) - 1
+    return c.select("rec_id", pos.alias("pos"), F.concat(F.lit(" "), "w").alias("text"), F.round(pos * 0.4, 6).alias("start"), F.lit(0.4).alias("duration"))
+
+
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    x = sentences.sentences(_word_tokens(s, d))
+    return x.select("rec_id", "sent_ix", "start", F.round("end", 6).alias("end"), "text", F.size("tokens").alias("n_tokens"))
 
 
 def _deictic(s: SparkSession, d: str) -> DataFrame:
-    return recall.pointing_sentences(A.table(s, d, "documents").where("lang = 'en'"))
+    """All languages: the words that point are English ones, and a sentence of another language that holds them counts."""
+    return recall.pointing_sentences(A.table(s, d, "documents"))
 
 
 def _progress(s: SparkSession, d: str) -> DataFrame:
@@ -78,21 +88,105 @@ def _progress(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _fingerprints(s: SparkSession, d: str) -> DataFrame:
-    """Documents whose stored record (text digest, length) still fits their text; every tenth record is stale."""
-    docs = A.table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.char_length("text").alias("n"))
-    stored = docs.select("doc_id", F.struct("sha", F.when(F.col("doc_id") % 10 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("n")).alias("was"))
-    j = docs.join(stored, "doc_id")
-    return j.select("doc_id", F.struct("sha", "n").eqNullSafe(F.col("was")).alias("valid"))
+def _bars(s: SparkSession, d: str) -> DataFrame:
+    e = A.table(s, d, "events").select("event_id", "value")
+    return e.select("event_id", scalars.progress_bar(F.col("value"), F.lit(4427.028), F.lit(2.0), F.col("event_id") / 100.0, F.lit("running")).alias("bar"))
+
+
+def _small(s: SparkSession, d: str) -> DataFrame:
+    """Small scalars over orders: samples to seconds, rounding, chunk paths, base names, frame rates, parsers, conversion."""
+    o = A.table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    rate = F.concat_ws("/", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 4).cast("string"))
+    lines = F.concat_ws("\n", F.lit("frame=1"), F.concat(F.lit("out_time_us="), F.when(F.col("o_orderkey") % 5 == 0, "N/A").otherwise((F.col("o_orderkey") * 1_000).cast("string"))), F.lit("progress=end"))
+    path = F.concat(F.lit("/media/"), F.col("o_orderstatus"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".mov"))
+    return o.select(
+        "o_orderkey", scalars.samples_to_seconds(F.col("o_orderkey"), 16_000).alias("seconds"), F.round(scalars.frame_rate(rate), 6).alias("rate"), scalars.out_seconds(lines).alias("out_s"),
+        scalars.base_name(path).alias("base"), scalars.checkpoint_path(path).alias("checkpoint"), scalars.needs_conversion(F.when(F.col("o_orderstatus") == "F", "pcm_s16le").otherwise("aac"), F.lit(16_000), (F.col("o_orderkey") % 2 + 1).cast("int")).alias("convert"),
+        evaluate.per_minute_budget(F.col("o_custkey"), 1.0).alias("budget"),
+    )
 
 
-def _stitched(s: SparkSession, d: str) -> DataFrame:
-    from ..operators.stitch import stitch
+def _fingerprints(s: SparkSession, d: str) -> DataFrame:
+    """Manifest rows of documents whose fingerprint (language, source, version) is the wanted one in every field; nulls equal nulls."""
+    docs = A.table(s, d, "documents").select("doc_id", F.struct("lang", "source", (F.col("doc_id") % 10).cast("int").alias("version")).alias("fingerprint"))
+    return resume.valid_rows(docs, {"lang": "en", "source": None, "version": 3}).unionByName(resume.valid_rows(docs, {"lang": "de", "source": "web", "version": 4})).select("doc_id")
+
 
+def _chunked(s: SparkSession, d: str) -> DataFrame:
+    """A user's events as tokens of overlapping chunks, 12 long and 8 apart."""
     e = A.events(s, d).select("rec_id", F.col("event_id").cast("int").alias("id"), F.concat(F.lit(" "), "event_type").alias("text"), F.col("i").cast("double").alias("start"))
     one = e.withColumns({"duration": F.lit(0.5), "confidence": F.lit(1.0)})
-    x = one.withColumn("chunk_ix", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("start") - 11) / 8)), F.floor(F.col("start") / 8)))).withColumn("pos", F.col("start").cast("int"))
-    return stitch(x, overlap_s=4.0)
+    return one.withColumn("chunk_ix", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("start") - 11) / 8)), F.floor(F.col("start") / 8)))).withColumn("pos", F.col("start").cast("int"))
+
+
+def _shifted(s: SparkSession, d: str) -> DataFrame:
+    """Tokens in their chunk's own time, moved to the recording's."""
+    x = _chunked(s, d).withColumn("chunk_start", F.col("chunk_ix") * 128_000).withColumn("start", F.col("start") - F.col("chunk_ix") * 8)
+    return chunks.shift_tokens(x).select("rec_id", "chunk_ix", "pos", "start")
+
+
+def _geometry(s: SparkSession, d: str) -> DataFrame:
+    return chunks.chunk_geometry(A.table(s, d, "documents").select(F.col("doc_id").alias("rec_id"), F.col("n_chars").alias("total")), rate=10, chunk_s=120.0, overlap_s=15.0, hop=16)
+
+
+def _spans(s: SparkSession, d: str) -> DataFrame:
+    return A.events(s, d).groupBy("rec_id").agg(F.count("*").cast("double").alias("duration"))
+
+
+def _screens(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.random_screens(A.frames(s, d), _marks(s, d), SCREEN_DRAWS, DELTA)
+
+
+def _truth(s: SparkSession, d: str) -> DataFrame:
+    """Purchases at twice their place, so that some lie beyond the recording."""
+    spans = A.events(s, d).groupBy("rec_id").agg(F.count("*").cast("double").alias("duration"), F.count("*").alias("n_frames"))
+    return evaluate.usable_truth(_purchases(s, d).withColumn("t", F.col("t") * 2), spans, 2, 8)
+
+
+def _intervals(s: SparkSession, d: str) -> DataFrame:
+    return changepoints.change_points(A.slides(s, d)).select("rec_id", F.col("lower_bound").alias("lo"), F.col("time").alias("hi"))
+
+
+def _outputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of two runs: every tenth differs, every seventh is missing from the second."""
+    a = A.table(s, d, "documents").select(F.col("doc_id").alias("rec_id"), "lang", "n_chars")
+    return a, a.where("rec_id % 7 <> 3").withColumn("n_chars", F.when(F.col("rec_id") % 10 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+
+
+def _differences(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.first_difference(*_outputs(s, d), ["rec_id"], "n_chars").select("rec_id", F.col("left_sha256").isNull().alias("left_missing"), F.col("right_sha256").isNull().alias("right_missing"))
+
+
+def _json(s: SparkSession, d: str) -> DataFrame:
+    a, _ = _outputs(s, d)
+    before = a.select("rec_id", F.to_json(F.struct("lang", "n_chars")).alias("document"))
+    after = a.select("rec_id", F.to_json(F.struct("lang", F.col("n_chars").alias("marks"), F.when(F.col("rec_id") % 2 == 0, F.col("n_chars")).alias("n_chars"))).alias("document"))
+    return evaluate.added_keys(before, after).select("rec_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+def _overhead(s: SparkSession, d: str) -> DataFrame:
+    x = A.table(s, d, "labels").select(F.col("doc_id").alias("rec_id"), F.struct(F.col("doc_id").alias("a"), F.col("quality").alias("b")).alias("document"))
+    wide = F.struct(F.col("document.a").alias("a"), F.col("document.b").alias("b"), F.lit("SPEAKER_00").alias("speaker"))
+    return document.size_overhead(x, {"speaker": wide, "same": F.col("document")})
+
+
+def _grades(s: SparkSession, d: str) -> DataFrame:
+    e = A.table(s, d, "events")
+    return evaluate.arm_totals(e.select((F.col("user_id") % 3).alias("arm"), F.when(F.col("event_type") == "view", "correct").when(F.col("event_type") == "click", "hedge").otherwise("fabricate").alias("grade")))
+
+
+def _sweep(s: SparkSession, d: str) -> DataFrame:
+    return detectors.sweep(A.frames(s, d), SWEEP["deltas"], SWEEP["masks"], SWEEP["sizes"], 8, SWEEP["factors"])
+
+
+def _best(s: SparkSession, d: str) -> DataFrame:
+    """Of configurations that mark every recording, the one with the fewest marks."""
+    x = _sweep(s, d).groupBy("config_ix").agg(F.sum("n_marks").alias("n_marks"), (F.min("n_marks") > 0).alias("hit"))
+    return detectors.best_config(x).select("config_ix", "n_marks")
+
+
+def _skips(s: SparkSession, d: str, which: int) -> DataFrame:
+    return recall.lookup(A.table(s, d, "documents").select("doc_id", "lang"), A.table(s, d, "labels").select("doc_id", "quality"), "doc_id")[which]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -115,21 +209,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_label": _overlap,
     "vote_overlap_disagreement": lambda s, d: speakers.disagreements(speakers.label_sentences(A.tokens(s, d), A.turns(s, d)), _overlap(s, d)),
     "turn_overlap_violations": lambda s, d: speakers.overlapping_turns(A.turns(s, d).withColumn("end", F.col("start") + A.TURN_SECONDS)),
-    "chunk_geometry": lambda s, d: chunks.chunk_geometry(A.table(s, d, "documents").select(F.col("doc_id").alias("rec_id"), F.col("n_chars").alias("total")), rate=10, chunk_s=120.0, overlap_s=15.0, hop=16),
-    "sentence_segments": _event_sentences,
+    "chunk_geometry": _geometry,
+    "chunks_remaining": lambda s, d: chunks.remaining(_geometry(s, d), 1_050).select("rec_id", "chunk_ix", "start"),
+    "chunks_reported": lambda s, d: chunks.reported_seconds(_geometry(s, d), 10),
+    "token_shift": _shifted,
+    "sentence_segments": _sentences,
     "changepoints": lambda s, d: changepoints.change_points(A.slides(s, d)),
     "changepoint_summary": lambda s, d: changepoints.recording_totals(A.slides(s, d)),
     "changepoint_corpus": lambda s, d: changepoints.corpus_totals(A.slides(s, d)),
     "nearest_distance": lambda s, d: evaluate.nearest_distance(_event_marks(s, d), _purchases(s, d)),
-    "interval_distance": lambda s, d: evaluate.interval_distance(_event_marks(s, d), changepoints.change_points(A.slides(s, d)).select("rec_id", F.col("lower_bound").alias("lo"), F.col("time").alias("hi"))),
-    "interval_hits": lambda s, d: evaluate.hit_summary(evaluate.interval_distance(_event_marks(s, d), changepoints.change_points(A.slides(s, d)).select("rec_id", F.col("lower_bound").alias("lo"), F.col("time").alias("hi")))),
+    "interval_distance": lambda s, d: evaluate.interval_distance(_event_marks(s, d), _intervals(s, d)),
+    "interval_hits": lambda s, d: evaluate.hit_summary(evaluate.interval_distance(_event_marks(s, d), _intervals(s, d))),
     "segment_coverage": lambda s, d: evaluate.coverage(A.frames(s, d), _marks(s, d), DELTA),
     "frame_instability": lambda s, d: evaluate.instability(A.frames(s, d), DELTA),
     "unstable_marks": lambda s, d: evaluate.unstable_share(_marks(s, d), evaluate.instability(A.frames(s, d), DELTA)),
     "preceding_mark_age": lambda s, d: evaluate.preceding_coverage(_purchases(s, d), _event_marks(s, d)),
     "noise_floor": lambda s, d: evaluate.noise_floor(_scores(s, d)),
-    "random_baseline": lambda s, d: evaluate.random_baseline(_purchases(s, d), A.events(s, d).groupBy("rec_id").agg(F.count("*").cast("double").alias("duration")), 5, BUDGET),
-    "sign_test": lambda s, d: evaluate.paired_wins(A.table(s, d, "labels").select(F.col("toxic").alias("ours"), F.col("quality").alias("theirs"))),
+    "random_baseline": lambda s, d: evaluate.random_baseline(_purchases(s, d), _spans(s, d), DRAWS, BUDGET),
+    "random_distance_p": lambda s, d: evaluate.distance_p(_purchases(s, d), _event_marks(s, d), _spans(s, d), DRAWS, BUDGET),
+    "random_screens": _screens,
+    "coverage_sigma": lambda s, d: evaluate.sigma_above_random(evaluate.coverage(A.frames(s, d), _marks(s, d), DELTA), _screens(s, d), "coverage"),
+    "usable_truth": _truth,
+    "usable_intervals": lambda s, d: evaluate.usable_intervals(_intervals(s, d), _event_marks(s, d)),
+    "sign_test": lambda s, d: evaluate.sign_test_row(A.table(s, d, "labels").select(F.col("toxic").alias("ours"), F.col("quality").alias("theirs"))),
     "recall_pairs": lambda s, d: recall.found_items(A.table(s, d, "documents"), A.table(s, d, "benchmark")),
     "recall_misses": lambda s, d: recall.missed_items(A.table(s, d, "documents"), A.table(s, d, "benchmark")),
     "recall_by_item": lambda s, d: recall.recall_by_group(recall.found_items(A.table(s, d, "documents"), A.table(s, d, "benchmark")), A.table(s, d, "benchmark").select("item_id", (F.col("item_id") % 5).cast("string").alias("grp")), "grp"),
@@ -140,10 +242,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hash_keep_last": lambda s, d: detectors.keep_changed(_hashes(s, d), 26).select("rec_id", "frame_ix"),
     "tile_activity": lambda s, d: detectors.tile_activity(A.frames(s, d), DELTA),
     "row_activity": lambda s, d: detectors.row_activity(detectors.tile_activity(A.frames(s, d), DELTA)),
-    "coarse_frames": lambda s, d: detectors.coarsen(A.frames(s, d), 8, 3),
+    "coarse_frames": lambda s, d: detectors.coarsen(A.frames(s, d), 8, 3).withColumn("tiles", F.array_join("tiles", ",")),
     "component_size": lambda s, d: detectors.component_sizes(A.frames(s, d), 8, DELTA),
     "region_marks": lambda s, d: detectors.region_marks(A.frames(s, d), 8, DELTA, most=0.5, least=8, cap=1.0),
-    "stitch_overlap": _stitched,
+    "sweep_marks": _sweep,
+    "best_config": _best,
+    "stitch_overlap": lambda s, d: stitch.stitch(_chunked(s, d), overlap_s=4.0),
     "progress_clock": _progress,
+    "progress_bar": _bars,
+    "scalars": _small,
+    "first_difference": _differences,
+    "added_keys": _json,
+    "size_overhead": _overhead,
+    "arm_totals": _grades,
+    "lookup_known": lambda s, d: _skips(s, d, 0),
+    "lookup_skipped": lambda s, d: _skips(s, d, 1),
+    "first_n": lambda s, d: recall.first_n(A.events(s, d).select("rec_id", "i", "value"), 25, "rec_id", "i"),
     "fingerprint_match": _fingerprints,
 }
