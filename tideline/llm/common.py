@@ -58,6 +58,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def chunks_for(df: DataFrame, most: int = 64 << 20, top: int = 100_000) -> int:
+    """Into how many chunks a table is dealt whose chunks are each worked on whole: as many as there are shuffle partitions,
+    or more where Spark's estimate of its size asks for it, so that chunks do not grow with the table. Spark gives a huge
+    number where it knows no size; that counts for nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(top, size // most) if size < 1 << 55 else 1)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that clash with no column of df."""
     have = {c.lower() for c in df.columns}

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from .anchors import _BYTE, anchored_runs, gram_sums, span_hash
 from .bwt import least_holders
-from .common import partitions
+from .common import chunks_for
 from .tokens import buffer_of, mix64, pieces
 
 LENGTH, GRAM = 50, 24
 #: An anchor with more stretches than HOT is dealt out by single windows, so that no bucket gathers it.
 HOT = 20_000
 #: Bytes of stretches whose transforms are merged at a time, and shards that they come in.
-COLLECTION, SHARDS = 1 << 20, 8
+COLLECTION, SHARDS = 1 << 17, 8
 _OTHER = mix64(_BYTE)
 
 
@@ -45,7 +45,7 @@ class Runs:
 
     def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, context, least doc) of the distinct entries by key and context; sets entry."""
-        order = np.lexsort((self.doc, self.context, self.key))
+        order = by_key(self.key, self.context, self.doc)
         k, c = self.key[order], self.context[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
@@ -54,10 +54,22 @@ class Runs:
         return k[new], c[new], self.doc[order][new]
 
 
+def by_key(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The order by key and then by `more`: a fast sort by key alone, and one by all of what has equal keys."""
+    order = np.argsort(key)
+    k = key[order]
+    tied = np.zeros(len(k), bool)
+    tied[1:] = k[1:] == k[:-1]
+    tied[:-1] |= tied[1:]
+    some = order[tied]
+    order[tied] = some[np.lexsort((*(m[some] for m in reversed(more)), key[some]))]
+    return order
+
+
 def _texts(table: pa.Table):
     """(ids, bytes, offsets) of a chunk in pieces."""
     for batch in table.to_batches():
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", 1 << 18):
             flat, offsets = buffer_of(part.column(2))
             yield np.asarray(part.column(1)).astype(np.int64), flat, offsets
 
@@ -123,10 +135,13 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
     """Runs finish(ids, bytes, offsets, covered) for the texts of each chunk, piece by piece; it gives a table of `schema`.
 
     docs: (id, text as binary), distinct ids. covered says of each byte whether it lies under a window of `length` bytes
-    that also starts in a document of smaller id. All is one plan, in which the texts are dealt to chunks once; messages
+    that also starts in a document of smaller id. Equal anchors and equal stretches are told by 64-bit hashes, both together
+    by 128 bits; what differs under an anchor is told by the merged transforms. All is one plan, in which the texts are dealt to chunks once; messages
     between chunks and buckets are arrays in binary columns.
     """
-    n = partitions(docs.sparkSession)
+    windows = length - min(GRAM, length) + 1  # that an anchor owns at most
+    width = -(-windows // 64)
+    n = chunks_for(docs)
     texts = docs.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("target"), "id", "text")
 
     def chunk_of(table: pa.Table) -> int:
@@ -137,7 +152,7 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
         key, _, _ = r.index()
         u, count = np.unique(key, return_counts=True)
         five = u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        full, blobs = _by_bucket(u, n, np.ascontiguousarray(five), np.minimum(count, 255).astype(np.uint8))
+        full, blobs = _by_bucket(u, n, np.ascontiguousarray(five), np.minimum(count, 65_535).astype(np.uint16))
         return _messages(full, chunk_of(table), KEYS, *blobs)
 
     def live(table: pa.Table) -> pa.Table:  # bucket: anchors of several chunks
@@ -146,9 +161,9 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
         wide = np.zeros((len(k), 8), np.uint8)
         wide[:, :5] = k
         _, inverse, chunks = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        stretches = np.bincount(inverse, weights=np.concatenate([np.frombuffer(b, np.uint8) for _, _, b, _ in got]))
+        stretches = np.bincount(inverse, weights=np.concatenate([np.frombuffer(b, np.uint16) for _, _, b, _ in got]))
         flag = ((chunks > 1) + 2 * (stretches > HOT)).astype(np.uint8)[inverse]
-        cut = np.cumsum([0, *(len(b) for _, _, b, _ in got)])
+        cut = np.cumsum([0, *(len(b) // 2 for _, _, b, _ in got)])
         bucket = chunk_of(table)
         return _messages([s for s, *_ in got], bucket, LIVE, [flag[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
 
@@ -187,7 +202,7 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
         if got:
             kind = [("key", "<u8"), ("context", "<u8"), ("doc", "<i8")]
             e = np.concatenate([np.frombuffer(a, kind) for _, a, _, _ in got])
-            order = np.lexsort((e["doc"], e["context"], e["key"]))
+            order = by_key(*(np.ascontiguousarray(e[x]) for x in ("key", "context", "doc")))
             s = e[order]
             new_key = np.append(True, s["key"][1:] != s["key"][:-1])
             new = new_key.copy()
@@ -241,7 +256,7 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
         flat = np.frombuffer(b"".join(b for _, _, b, _ in got), np.uint8)
         begin = np.cumsum(head["size"].astype(np.int64)) - head["size"]
         order = np.argsort(head["key"], kind="stable")
-        mask = np.zeros(len(head), np.uint64)
+        mask = np.zeros((len(head), width), np.uint64)  # a bit for each window of a stretch
         size = head["size"].astype(np.int64)[order]
         key = head["key"][order]
         total = np.cumsum(size)
@@ -266,9 +281,9 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
                 i = np.repeat(np.arange(len(g)), np.diff(bounds))
                 at = np.arange(len(i)) - bounds[:-1][i]
                 gone = least < owner[i]
-                np.bitwise_or.at(mask, g[i[gone]], np.uint64(1) << at[gone].astype(np.uint64))
+                np.bitwise_or.at(mask, (g[i[gone]], at[gone] >> 6), np.uint64(1) << (at[gone] & 63).astype(np.uint64))
             k = m
-        some = mask > 0
+        some = mask.any(1)
         out: dict[int, np.ndarray] = {int(s): np.flatnonzero(some & (sender == s)) for s in np.unique(sender[some])}
         return _messages(list(out), chunk_of(table), MASKS, [mask[i].tobytes() for i in out.values()], [np.ascontiguousarray(head["index"][i]).tobytes() for i in out.values()])
 
@@ -276,12 +291,12 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
         r = _runs(table, length, hot_of(replies))
         key, _, doc = r.index()
         least, _ = found(r, len(key), replies)
-        mask = np.zeros(len(key), np.uint64)
+        mask = np.zeros((len(key), width), np.uint64)
         for _, a, b, _ in _read(replies, MASKS):
-            mask[np.frombuffer(b, np.uint32)] |= np.frombuffer(a, np.uint64)
+            mask[np.frombuffer(b, np.uint32)] |= np.frombuffer(a, np.uint64).reshape(-1, width)
         out = []
         gone = r.doc > least[r.entry] if len(key) else np.zeros(0, bool)
-        part = (mask[r.entry] > 0) & ~gone if len(key) else gone
+        part = mask.any(1)[r.entry] & ~gone if len(key) else gone
         piece_cut = np.searchsorted(r.piece, np.arange(int(r.piece[-1]) + 2 if len(r.piece) else 1))
         for p, (ids, flat, offsets) in enumerate(_texts(table)):
             step = np.zeros(len(flat) + 1, np.int32)
@@ -291,9 +306,9 @@ def substring_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH)
                 np.add.at(step, r.first[whole], 1)
                 np.add.at(step, r.last[whole] + length, -1)
                 some = mine[part[mine]]
-                bits = mask[r.entry[some]] if len(some) else np.zeros(0, np.uint64)
-                for j in range(length):
-                    hit = (bits >> np.uint64(j)) & np.uint64(1) > 0
+                bits = mask[r.entry[some]] if len(some) else np.zeros((0, width), np.uint64)
+                for j in range(windows):
+                    hit = (bits[:, j >> 6] >> np.uint64(j & 63)) & np.uint64(1) > 0
                     if not hit.any():
                         continue
                     np.add.at(step, r.first[some[hit]] + j, 1)
@@ -354,7 +369,13 @@ def substring_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, kept, spans): the remaining bytes (which may cut a code point) and the removed ranges of bytes, by document."""
+    """(id, kept, spans): the remaining bytes (which may cut a code point) and the removed ranges of bytes, by document.
+
+    length is at least 1. A null text is empty, an empty one stays; rows without id are left out; rows of one id are one
+    document, so none of them loses what another of them holds, and each gives a row; of equal windows the smallest id
+    keeps, so there are no ties; texts of any length are read whole; an empty table gives an empty one; other columns take
+    no part, whatever their names.
+    """
 
     def kept(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray, covered: np.ndarray) -> pa.Table:
         rows, spans = [], []
