@@ -183,3 +183,15 @@ def test_document_adds_and_never_changes(spark, tmp_path):
     with pytest.raises(document.NotADocument):
         document.read_document(str(path))
     assert path.read_text() == "[1]" and len(list(tmp_path.iterdir())) == 1
+
+
+def test_recall_of_many_items_goes_by_a_join(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abé"), 2))
+    texts = [(k, " ".join(word() for _ in range(30))) for k in range(40)]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 6, 7] * 4)] + [(90, texts[5][1][7:40]), (91, ""), (92, "a"), (93, texts[7][1])]
+    want = sorted((i, d) for i, x in items for d, t in texts if x.strip() and x.strip() in t)
+    t, i = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for few in (20_000, 0):
+        monkeypatch.setattr(recall, "FEW_ITEMS", few)
+        assert sorted((r.item_id, r.doc_id) for r in recall.found_items(t, i).collect()) == want and len(want) > 20

@@ -13,6 +13,14 @@ def clock(seconds: Column) -> Column:
     return F.when(seconds.isNull(), "--:--").when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
 
 
+def clock_text(seconds: float | None) -> str:
+    """clock for a single number."""
+    if seconds is None:
+        return "--:--"
+    h, s = divmod(int(seconds), 3600)
+    return f"{h}:{s // 60:02d}:{s % 60:02d}" if h else f"{s // 60}:{s % 60:02d}"
+
+
 def fraction(done: Column, total: Column) -> Column:
     """done / total, not clamped; 0 for an empty total."""
     return F.coalesce(F.try_divide(done, F.when(total > 0, total)), F.lit(0.0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .streaming.resume import Unavailable
 
@@ -118,3 +121,44 @@ def diarize(paths: DataFrame, load: Callable[[], Diarizer]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["rec_id", "start", "end", "speaker"])
 
     return paths.select("rec_id", "path").mapInPandas(run, f"rec_id {kind}, start double, end double, speaker int")
+
+
+class Describer(Protocol):
+    """Says what a picture shows."""
+
+    def __call__(self, picture: bytes, prompt: str) -> str: ...
+
+
+def describe(pictures: DataFrame, load: Callable[[], Describer], prompt: str = "Copy out all text in this picture.") -> DataFrame:
+    """(rec_id, t, seconds, output) for (rec_id, t, picture); the model is loaded once per worker."""
+    kind = pictures.schema["rec_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for pdf in batches:
+            model = model or load()
+            rows = []
+            for r in pdf.itertuples():
+                began = time.monotonic()
+                rows.append((r.rec_id, r.t, model(r.picture, prompt), time.monotonic() - began))
+            yield pd.DataFrame(rows, columns=["rec_id", "t", "output", "seconds"])
+
+    return pictures.select("rec_id", F.col("t").cast("double"), "picture").mapInPandas(run, f"rec_id {kind}, t double, output string, seconds double")
+
+
+def log_mel(samples: np.ndarray, rate: int = 16_000, bands: int = 80, window_s: float = 0.025, hop_s: float = 0.010) -> np.ndarray:
+    """(frames, bands): logarithms of the energy in bands even on the mel scale, of Hann windows hop_s apart; what chunk
+    models read. Samples are numbers of 16 bits or floats from -1 to 1; fewer than a window give no frame."""
+    x = np.asarray(samples, np.float64) / (32_768.0 if np.issubdtype(np.asarray(samples).dtype, np.integer) else 1.0)
+    size, hop = int(window_s * rate), int(hop_s * rate)
+    if len(x) < size:
+        return np.zeros((0, bands))
+    bins = 1 << (size - 1).bit_length()
+    at = np.arange(0, len(x) - size + 1, hop)[:, None] + np.arange(size)
+    power = np.abs(np.fft.rfft(x[at] * np.hanning(size), bins)) ** 2
+    mel = lambda f: 2595.0 * np.log10(1.0 + f / 700.0)
+    edges = 700.0 * (10.0 ** (np.linspace(0.0, mel(rate / 2), bands + 2) / 2595.0) - 1.0)
+    f = np.fft.rfftfreq(bins, 1.0 / rate)
+    up = (f[:, None] - edges[:-2]) / (edges[1:-1] - edges[:-2])
+    down = (edges[2:] - f[:, None]) / (edges[2:] - edges[1:-1])
+    return np.log(power @ np.maximum(0.0, np.minimum(up, down)) + 1e-10)

@@ -41,7 +41,7 @@ def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
         words = [0] * (1 << bits)
         for r in long.select("gram").distinct().collect():  # no more than FEW_ITEMS
             words[r["gram"] & ((1 << bits) - 1)] |= 1 << (r["gram"] >> bits & 63)
-        bitmap = F.lit([x - (1 << 64) if x >> 63 else x for x in words])
+        bitmap = F.lit([x - (1 << 64) if x >> 63 else x for x in words]).cast("array<bigint>")
         maybe = lambda g: F.getbit(F.get(bitmap, g.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.shiftright(g, bits).bitwiseAND(F.lit(63)).cast("int")) == 1
         some = t.withColumn("w", F.split("body", " ")).select("doc_id", "body", F.explode(F.array_distinct(F.filter(runs, maybe))).alias("gram"))
         meets = some.join(F.broadcast(long), "gram")

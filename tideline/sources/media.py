@@ -5,11 +5,14 @@ The decoder is the edge to media tools. `ToolDecoder` runs them as child process
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
+import select
 import shutil
 import subprocess
+import tempfile
 import wave
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,7 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-WAIT_S = 30
+from ..schemas import KEYFRAMES
+
+#: Seconds that a tool may take to answer a probe or to end, and that it may be silent while it decodes.
+WAIT_S, SILENT_S = 30, 600
 
 
 class MediaFailure(RuntimeError):
@@ -104,12 +110,19 @@ class ToolDecoder:
         return json.loads(run.stdout)
 
     def _pipe(self, args: list[str], step: int) -> Iterator[bytes]:
-        with subprocess.Popen([self._tool(0), "-v", "error", *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as p:
+        """What the tool writes, up to `step` bytes at a time. Its errors go to a file, as a pipe that nobody reads would stop
+        it once full; it has no input to wait for; and one that is silent for too long is ended."""
+        with tempfile.TemporaryFile() as errors, subprocess.Popen([self._tool(0), "-nostdin", "-v", "error", *args], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=errors) as p:
             try:
-                while got := p.stdout.read(step):
+                while True:
+                    if not select.select([p.stdout], [], [], SILENT_S)[0]:
+                        raise MediaFailure(f"{self.names[0]} was silent for {SILENT_S} s")
+                    if not (got := os.read(p.stdout.fileno(), step)):
+                        break
                     yield got
                 if p.wait(WAIT_S):
-                    raise MediaFailure(p.stderr.read().decode(errors="replace")[-500:])
+                    errors.seek(0)
+                    raise MediaFailure(errors.read().decode(errors="replace")[-500:])
             finally:
                 if p.poll() is None:
                     p.kill()
@@ -119,9 +132,11 @@ class ToolDecoder:
         return self._pipe(["-i", path, "-an", "-vf", f"fps={fps},scale={width}:{height},format=gray", "-f", "rawvideo", "-"], width * height * 64)
 
     def audio(self, path: str, out: str, rate: int, on_progress: Callable[[float], None] | None = None) -> None:
-        for lines in self._pipe(["-y", "-i", path, "-vn", "-ac", "1", "-ar", str(rate), "-c:a", "pcm_s16le", "-progress", "-", out], 4096):
-            for line in lines.decode(errors="replace").splitlines():
-                key, _, value = line.partition("=")
+        rest = b""
+        for got in self._pipe(["-y", "-i", path, "-vn", "-ac", "1", "-ar", str(rate), "-c:a", "pcm_s16le", "-progress", "-", out], 4096):
+            *lines, rest = (rest + got).split(b"\n")  # a line may come in two reads
+            for line in lines:
+                key, _, value = line.decode(errors="replace").strip().partition("=")
                 if key == "out_time_us" and on_progress and (v := _number(value)) is not None:
                     on_progress(v / 1e6)
 
@@ -142,20 +157,25 @@ def probe(path: str, decoder: Decoder) -> AudioStream:
     return audio_of(decoder.probe(path))
 
 
-def grid(path: str, decoder: Decoder, fps: float, width: int, height: int) -> Iterator[bytes]:
-    """Frames of width x height bytes. A frame cut short is an error, no frame at all is none."""
+def grid(path: str, decoder: Decoder, fps: float, width: int, height: int, on_progress: Callable[[float], None] | None = None, drop_partial: bool = False) -> Iterator[bytes]:
+    """Frames of width x height bytes. A last frame cut short is an error, or left out with drop_partial; no frame at all is
+    none. on_progress is told the seconds that have been read, after each read that ends a frame."""
     if not fps > 0 or width <= 0 or height <= 0:
         raise ValueError("fps and grid must be above zero")
     _present(path)
     if not has_video(decoder.probe(path)):
         raise NoVideo(path)
-    step, rest = width * height, b""
+    step, rest, n = width * height, bytearray(), 0
     for got in decoder.grid_bytes(path, fps, width, height):
         rest += got
-        while len(rest) >= step:
-            yield rest[:step]
-            rest = rest[step:]
-    if rest:
+        whole = len(rest) // step
+        for k in range(whole):
+            yield bytes(rest[k * step : (k + 1) * step])
+        del rest[: whole * step]
+        n += whole
+        if whole and on_progress:
+            on_progress(n / fps)
+    if rest and not drop_partial:
         raise MediaFailure(f"{path}: the last frame has {len(rest)} of {step} bytes")
 
 
@@ -178,7 +198,26 @@ def frame(path: str, t: float, decoder: Decoder, width: int | None = None) -> by
     raise MediaFailure(f"{path}: {t} s lies beyond its end at {d} s" if d is not None and t > d else f"{path}: no picture at {t} s")
 
 
-def frames(paths: DataFrame, decoder: Decoder, fps: float = 1.0, width: int = 128, height: int = 84) -> DataFrame:
+def frames_at(requests: DataFrame, decoder: Decoder, width: int | None = None) -> DataFrame:
+    """(rec_id, t, picture, error) for requests (rec_id, path, t): keyed lookup of single frames, each request by itself; one
+    that cannot be met has an error and no picture."""
+    kind = requests.schema["rec_id"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for rec_id, path, t in zip(pdf["rec_id"], pdf["path"], pdf["t"], strict=True):
+                try:
+                    row = (rec_id, t, frame(path, t, decoder, width), None)
+                except (MediaFailure, FileNotFoundError, ValueError) as e:
+                    row = (rec_id, t, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["rec_id", "t", "picture", "error"])
+
+    return requests.select("rec_id", "path", F.col("t").cast("double")).mapInPandas(run, f"rec_id {kind}, t double, picture binary, error string")
+
+
+def frames(paths: DataFrame, decoder: Decoder, fps: float = 1.0, width: int = 128, height: int = 84, drop_partial: bool = False) -> DataFrame:
     """(rec_id, frame_ix, tiles) for (rec_id, path): each recording is read by one task, frames leave as they come."""
     if not fps > 0 or width <= 0 or height <= 0:
         raise ValueError("fps and grid must be above zero")
@@ -190,7 +229,7 @@ def frames(paths: DataFrame, decoder: Decoder, fps: float = 1.0, width: int = 12
         for pdf in batches:
             for rec_id, path in zip(pdf["rec_id"], pdf["path"], strict=True):
                 rows: list[tuple[Any, int, bytes]] = []
-                for i, tiles in enumerate(grid(path, decoder, fps, width, height)):
+                for i, tiles in enumerate(grid(path, decoder, fps, width, height, drop_partial=drop_partial)):
                     rows.append((rec_id, i, tiles))
                     if len(rows) == 500:
                         yield pd.DataFrame(rows, columns=["rec_id", "frame_ix", "tiles"])
@@ -235,8 +274,11 @@ def seek_differences(full: DataFrame, part: DataFrame, shift: int) -> DataFrame:
     return j.groupBy("rec_id").agg(F.count("*").alias("frames"), F.count_if(~F.col("tiles").eqNullSafe(F.col("other"))).alias("different"))
 
 
-def cached_frames(spark: SparkSession, table: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Frames from a Parquet table, made and written once: decode once, sweep often."""
+def cached_frames(spark: SparkSession, table: str, make: Callable[[], DataFrame], of: dict[str, Any] | None = None) -> DataFrame:
+    """Frames from a Parquet table, made and written once: decode once, sweep often. `of` says what they are made of (paths,
+    rate, grid): each has a table of its own in the folder, so other frames are never taken for these."""
+    if of is not None:
+        table = f"{table}/{hashlib.sha256(json.dumps(of, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
@@ -280,6 +322,34 @@ def grid_source(decoder_type: Callable[[], Decoder] = ToolDecoder, name_: str =
     return Grid
 
 
+def keyframes_from_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(video_path, app, frame) of annotations, a JSON object a line."""
+    return spark.read.schema(KEYFRAMES).json(path).select("video_path", "app", F.explode("keyframes.frame").alias("frame"))
+
+
+def fetched(wanted: DataFrame, fetch: Callable[[str], bytes], tries: int = 3, most: int = 1 << 30) -> DataFrame:
+    """(url, content, error) for (url): what `fetch` gives after up to `tries` tries. Too much, or nothing after the last
+    try, is an error in the row, so what is missing is seen."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for url in pdf["url"]:
+                content, error = None, None
+                for _ in range(tries):
+                    try:
+                        content, error = fetch(url), None
+                        break
+                    except Exception as e:  # noqa: BLE001  any failure of a fetch is told in its row
+                        error = f"{type(e).__name__}: {e}"
+                if content is not None and len(content) > most:
+                    content, error = None, f"{len(content)} bytes are more than {most}"
+                yield pd.DataFrame([(url, content, error)], columns=["url", "content", "error"])
+
+    return wanted.select("url").mapInPandas(run, "url string, content binary, error string")
+
+
 def slides_from_table(df: DataFrame) -> DataFrame:
     """(time, slide, value) of a sentence-to-slide table whose time column is Time or Key."""
     have = set(df.columns)

@@ -11,10 +11,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.document import write_text
-from ..operators.stitch import Token, stitch_lists
+from ..operators.stitch import Token, stitch, stitch_lists
 
 SCHEMA = 1
 
@@ -71,7 +71,8 @@ def read_checkpoint(path: str, of: Fingerprint) -> tuple[int, list[Token]] | Non
 class Status:
     """A recording's state in a file: extracting, running, diarizing, done, or failed with the error."""
 
-    def __init__(self, path: str | None, total_s: float = 0.0, resumed_from_s: float = 0.0):
+    def __init__(self, path: str | None, total_s: float = 0.0, resumed_from_s: float = 0.0, listener: Callable[[dict[str, Any]], None] | None = None):
+        self.listener = listener
         self.path, self.total_s, self.resumed_from_s, self.began = path, total_s, resumed_from_s, time.monotonic()
         self.events: list[dict[str, Any]] = []
 
@@ -82,6 +83,8 @@ class Status:
         doc = {"state": state, "audio_done_s": done_s, "audio_total_s": self.total_s, "elapsed_s": took, "resumed_from_s": self.resumed_from_s, "fraction": round(part, 4), "speed": round(pace, 2)}
         doc["eta_s"] = (self.total_s - done_s) / pace if pace > 0 and self.total_s > 0 else None
         self.events.append(doc | more)
+        if self.listener:
+            self.listener(doc | more)
         if self.path:
             write_text(self.path, json.dumps(doc | more))
 
@@ -95,12 +98,13 @@ class Status:
 
 def run_chunks(
     decode: Callable[[int, int], list[Token]], total: int, of: Fingerprint | None = None, checkpoint: str | None = None, rate: int = 16_000, chunk_s: float = 120.0, overlap_s: float = 15.0, hop: int = 1,
-    status: Status | None = None, resume: bool = True,
+    status: Status | None = None, resume: bool = True, on_chunk: Callable[[int, int, list[Token]], None] | None = None, keep: bool = False,
 ) -> list[Token]:
     """Decodes chunks in order and stitches their tokens; after each the checkpoint is written before progress is told.
 
     decode(start, end) gives a chunk's tokens in its own time. What a resumed run gives equals an uninterrupted one; the
-    checkpoint goes when all is done. Without `resume` an old checkpoint is deleted first.
+    checkpoint goes when all is done. Without `resume` an old checkpoint is deleted first. on_chunk is told each chunk's
+    number, where the next begins and all tokens so far, once they are safe. With `keep` the checkpoint stays, for a caller that has yet to write the result.
     """
     chunk, stride = int(chunk_s * rate), int(chunk_s * rate) - int(overlap_s * rate)
     skip, tokens = 0, []
@@ -122,9 +126,11 @@ def run_chunks(
         following = starts[k + 1] if k + 1 < len(starts) else total
         if checkpoint and of:
             write_checkpoint(checkpoint, of, following, tokens)
+        if on_chunk:
+            on_chunk(k, following, tokens)
         if status:
             status.say("running", end / rate)
-    if checkpoint and os.path.exists(checkpoint):
+    if checkpoint and not keep and os.path.exists(checkpoint):
         os.unlink(checkpoint)
     return tokens
 
@@ -144,6 +150,38 @@ def stream_chunks(spark: SparkSession, manifests: str, schema: str, decode: Call
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_stitched(spark: SparkSession, manifests: str, schema: str, decode: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, of: Row | dict[str, Any] | None = None, overlap_s: float = 15.0) -> DataFrame:
+    """stream_chunks to its end, then (rec_id, pos, id, text, start, duration, confidence) stitched per recording.
+
+    With `of`, only chunks of manifests with that fingerprint are decoded; others are of another source or model. Chunks that
+    an earlier run decoded are taken from `out`, so what a resumed run gives equals an uninterrupted one. decode gives tokens
+    (rec_id, chunk_ix, pos, id, text, start, duration, confidence) in the recording's time.
+    """
+    chosen = decode if of is None else lambda chunks: decode(valid_rows(chunks, of))
+    stream_chunks(spark, manifests, schema, chosen, out, checkpoint).awaitTermination()
+    return stitch(spark.read.parquet(out).drop("batch"), overlap_s)
+
+
+class ChunkProgress(StreamingQueryListener):
+    """Tells on_progress(batch, chunks) after each batch of a streaming query that had chunks."""
+
+    def __init__(self, on_progress: Callable[[int, int], None]):
+        self.on_progress = on_progress
+
+    def onQueryStarted(self, event: Any) -> None:
+        pass
+
+    def onQueryProgress(self, event: Any) -> None:
+        if event.progress.numInputRows:
+            self.on_progress(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
+
+
 class Unavailable(RuntimeError):
     """An optional stage cannot run here; the base result stands."""
 
