@@ -52,7 +52,8 @@ def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
         found.append(hits.where(F.contains("body", "want")).select("item_id", "doc_id"))
     if n > n_long:
         at = F.sequence(F.lit(1), F.greatest(F.char_length("body"), F.lit(1)))
-        letters = F.array_distinct(F.flatten(F.array(*[F.transform(at, lambda k, m=m: F.substring(F.col("body"), k, F.lit(m))) for m in range(1, PROBE + 1)])))
+        cut = lambda m: F.transform(at, lambda k: F.substring(F.col("body"), k, F.lit(m)))
+        letters = F.array_distinct(F.flatten(F.array(*[cut(m) for m in range(1, PROBE + 1)])))
         few = F.broadcast(short) if n <= FEW_ITEMS else short
         meets = t.select("doc_id", F.explode(letters).alias("gram")).join(few, "gram").select("doc_id", "item_id", "want")
         found.append(meets.join(t, "doc_id").where(F.contains("body", "want")).select("item_id", "doc_id"))
