@@ -8,8 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Hidden units, steps of a backpropagation window, streams side by side.
-HIDDEN, STEPS, STREAMS = 24, 16, 768
+#: Hidden units, least and most steps of a backpropagation window, streams side by side, and symbols that fill a window:
+#: where fewer streams go on, a window has more steps.
+HIDDEN, STEPS, MOST, STREAMS, FILL = 24, 16, 128, 512, 8_192
+#: A training window has LEAST symbols at least, up to FILL as long as a pass has STEPS_WANTED steps.
+LEAST, STEPS_WANTED = 1_024, 256
+#: Rows of the output layer that are worked on at a time.
+BLOCK = 1_536
 #: Ids of the two symbols that every vocabulary has; words follow by rank.
 UNK, END = 0, 1
 
@@ -31,11 +36,12 @@ class Shape:
 
     def sizes(self) -> list[tuple[str, tuple[int, ...]]]:
         h = HIDDEN
-        return [("x", (self.vocab, 3 * h)), ("u", (h, 3 * h)), ("cw", (h, self.classes)), ("cb", (self.classes,)), ("ww", (self.classes, h, self.width)), ("wb", (self.classes, self.width))]
+        return [("x", (self.vocab, 3 * h)), ("u", (h, 3 * h)), ("cw", (h + 1, self.classes)), ("ww", (self.classes, h + 1, self.width))]
 
 
 def split(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
-    """Views of the flat parameter vector: input table (embedding and gate bias in one), recurrent weights, class and word layers."""
+    """Views of the flat parameter vector: input table (embedding and gate bias in one), recurrent weights, class and word layers, whose
+    last rows are biases."""
     out, at = {}, 0
     for name, size in shape.sizes():
         n = int(np.prod(size))
@@ -53,9 +59,10 @@ def start(shape: Shape, frequency: np.ndarray) -> np.ndarray:
     f = np.full(shape.classes * shape.width, 1e-9)
     f[: shape.vocab] += frequency / frequency.sum()
     by_class = f.reshape(shape.classes, shape.width)
-    p["cb"][:] = np.log(by_class.sum(1))
-    p["wb"][:] = np.log(by_class / by_class.sum(1, keepdims=True))
-    p["wb"].reshape(-1)[shape.vocab :] = -30.0  # no symbol
+    p["cw"][-1] = np.log(by_class.sum(1))
+    bias = np.log(by_class / by_class.sum(1, keepdims=True))
+    bias.reshape(-1)[shape.vocab :] = -30.0  # no symbol
+    p["ww"][:, -1] = bias
     p["x"][:, :HIDDEN] += 1.0  # keep the state at first
     return flat
 
@@ -90,88 +97,148 @@ def forward(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, h:
     return hs, h, tape
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place. Logits are cut at 60 instead of shifted by their maximum, and sums are products: rows are short."""
-    np.minimum(x, 60.0, out=x)
+def _odds(x: np.ndarray, small: bool) -> np.ndarray:
+    """exp of logits in place, cut at 60 instead of shifted by their maximum unless they are known to be small; gives the sums
+    of rows, by a product."""
+    if not small:
+        np.minimum(x, 60.0, out=x)
     np.exp(x, out=x)
-    x *= np.reciprocal(x @ np.ones(x.shape[1], x.dtype) + np.float32(1e-30))[:, None]
-    return x
+    return x @ np.ones(x.shape[1], x.dtype) + np.float32(1e-30)
 
 
 def output(p: dict[str, np.ndarray], shape: Shape, hs: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None):
-    """(log-probability of each target, gradient of hs or None). hs: (n, hidden); each class is dealt with in one product."""
-    cls, word = target // shape.width, target % shape.width
-    pc = _softmax(hs @ p["cw"] + p["cb"])
-    at = np.arange(len(target))
-    logp = np.log(np.maximum(pc[at, cls], 1e-30))
-    dh = None
-    if grads is not None:
-        pc[at, cls] -= 1
-        grads["cw"] += hs.T @ pc
-        grads["cb"] += pc.sum(0)
-        dh = pc @ p["cw"].T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(shape.classes + 1))
-    for c in range(shape.classes):
-        rows = order[cut[c] : cut[c + 1]]
-        if not len(rows):
+    """(log-probability of each target, gradient of hs or None). hs: (n, hidden).
+
+    Rows are sorted by class, so that each class is one product of neighbouring rows, and taken BLOCK at a time, so that
+    arrays stay in the cache. The softmax is not divided by its sums; the few columns that it is multiplied with are.
+    """
+    n = len(target)
+    # states lie between -1 and 1, so no logit is above the sum of its weights
+    small = max(np.abs(p["cw"]).sum(0).max(), np.abs(p["ww"]).sum(1).max()) < 60
+    cls = target // shape.width
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    cls, word = cls[order], target[order] % shape.width
+    x = np.ones((n, HIDDEN + 1), hs.dtype)
+    x[:, :-1] = hs[order]
+    logp, dx = np.empty(n, np.float64), None if grads is None else np.empty((n, HIDDEN), hs.dtype)
+    for a in range(0, n, BLOCK):
+        rows = slice(a, min(a + BLOCK, n))
+        c, w, y = cls[rows], word[rows], x[rows]
+        at = np.arange(len(c))
+        pc = y @ p["cw"]
+        total = _odds(pc, small)
+        hit = pc[at, c]
+        here = np.flatnonzero(np.append(True, c[1:] != c[:-1])).tolist()
+        parts = [(int(c[i]), slice(i, j)) for i, j in zip(here, [*here[1:], len(c)], strict=True)]
+        pw = np.empty((len(c), shape.width), y.dtype)
+        for k, part in parts:
+            np.matmul(y[part], p["ww"][k], out=pw[part])
+        inner = _odds(pw, small)
+        logp[rows] = np.log(np.maximum(hit / total, 1e-30)) + np.log(np.maximum(pw[at, w] / inner, 1e-30))
+        if grads is None:
             continue
-        x = hs[rows]
-        pw = _softmax(x @ p["ww"][c] + p["wb"][c])
-        k = np.arange(len(rows))
-        logp[rows] += np.log(np.maximum(pw[k, word[rows]], 1e-30))
-        if grads is not None:
-            pw[k, word[rows]] -= 1
-            grads["ww"][c] += x.T @ pw
-            grads["wb"][c] += pw.sum(0)
-            dh[rows] += pw @ p["ww"][c].T
-    return logp, dh
-
-
-def backward(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, tape: list, dhs: np.ndarray, grads: dict[str, np.ndarray]) -> None:
-    """Backpropagation through the window; what comes from beyond it is cut off."""
+        pc[at, c] -= total
+        pw[at, w] -= inner
+        share = y / total[:, None]
+        grads["cw"] += share.T @ pc
+        d = pc @ p["cw"][:-1].T
+        d /= total[:, None]
+        np.divide(y, inner[:, None], out=share)
+        e = np.empty_like(d)
+        for k, part in parts:
+            grads["ww"][k] += share[part].T @ pw[part]
+            np.matmul(pw[part], p["ww"][k][:-1].T, out=e[part])
+        e /= inner[:, None]
+        d += e
+        dx[rows] = d
+    out = np.empty(n, np.float64)
+    out[order] = logp
+    if grads is None:
+        return out, None
+    dh = np.empty_like(dx)
+    dh[order] = dx
+    return out, dh
+
+
+def backward(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, tape: list, dhs: np.ndarray, grads: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Backpropagation through the window; what comes from beyond it is cut off. Gives the gradient of the input table as
+    (symbols, rows), as only symbols of the window have one; it is added to grads where they have the table."""
     steps, n = tokens.shape
-    dx = np.empty((steps, n, 3 * HIDDEN), np.float32)
+    dx, du = (np.empty((steps, n, 3 * HIDDEN), np.float32) for _ in range(2))
     dh = np.zeros((n, HIDDEN), np.float32)
     for t in range(steps - 1, -1, -1):
         h, zr, hun, c = tape[t]
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         dh = dh + dhs[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        g = dx[t]
-        g[:, :HIDDEN] = dh * (h - c) * z * (1 - z)
-        g[:, HIDDEN : 2 * HIDDEN] = dc * hun * r * (1 - r)
+        g, gu = dx[t], du[t]
+        keep = 1 - zr
+        dc = dh * keep[:, :HIDDEN] * (1 - c * c)
+        g[:, :HIDDEN] = dh * (h - c)
+        g[:, HIDDEN : 2 * HIDDEN] = dc * hun
+        keep *= zr
+        g[:, : 2 * HIDDEN] *= keep
         g[:, 2 * HIDDEN :] = dc
-        du = g.copy()
-        du[:, 2 * HIDDEN :] *= r
-        grads["u"] += h.T @ du
-        dh = dh * z + du @ p["u"].T
-        dh[first[t]] = 0
+        gu[:, : 2 * HIDDEN] = g[:, : 2 * HIDDEN]
+        np.multiply(dc, r, out=gu[:, 2 * HIDDEN :])
+        dh = dh * z + gu @ p["u"].T
+        if first[t].any():
+            dh[first[t]] = 0
+    grads["u"] += np.concatenate([x[0] for x in tape]).T @ du.reshape(-1, 3 * HIDDEN)
     flat = tokens.reshape(-1)
     order = np.argsort(flat.astype(np.uint16) if len(p["x"]) <= 1 << 16 else flat, kind="stable")
     ids = flat[order]
     edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    grads["x"][ids[edge]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], edge, axis=0)
+    ids, rows = ids[edge], np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], edge, axis=0)
+    if "x" in grads:
+        grads["x"][ids] += rows
+    return ids, rows
 
 
 class Adam:
-    """Adam over the flat vector."""
+    """Adam over the flat vector. Of the input table, with which it begins, only the rows that a window touches move, so a
+    step costs what the window holds, whatever the vocabulary."""
 
     def __init__(self, n: int, rate: float):
         self.m, self.v, self.t, self.rate = np.zeros(n, np.float32), np.zeros(n, np.float32), 0, rate
 
-    def step(self, flat: np.ndarray, grad: np.ndarray) -> None:
+    def step(self, flat: np.ndarray, grad: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """grad: of what follows the table, used up; rows: of the table's rows ids."""
         self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
-        flat -= self.rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
-
-
-def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        size = self.rate / (1 - 0.9**self.t)
+        even = np.float32(1 / (1 - 0.99**self.t))
+        k, wide = len(flat) - len(grad), (-1, 3 * HIDDEN)
+        m, v = self.m[k:], self.v[k:]
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * grad
+        v *= np.float32(0.99)
+        grad *= grad
+        grad *= np.float32(0.01)
+        v += grad
+        np.multiply(v, even, out=grad)
+        np.sqrt(grad, out=grad)
+        grad += np.float32(1e-8)
+        np.divide(m, grad, out=grad)
+        grad *= np.float32(size)
+        flat[k:] -= grad
+        table, m, v = flat[:k].reshape(wide), self.m[:k].reshape(wide), self.v[:k].reshape(wide)
+        m_new, v_new = m[ids], v[ids]
+        m_new += 0.1 * (rows - m_new)
+        v_new += 0.01 * (rows * rows - v_new)
+        m[ids], v[ids] = m_new, v_new
+        table[ids] -= size * m_new / (np.sqrt(v_new * even) + 1e-8)
+
+
+def fill_of(tokens: int) -> int:
+    """Symbols of a training window: a share of what a task has, so that few symbols still make many steps of the optimiser."""
+    return max(LEAST, min(FILL, tokens // STEPS_WANTED))
+
+
+def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS, fill: int = FILL) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """(before, target, first, doc, active) windows over documents dealt to streams, the longest first to the least full.
 
     tokens[bounds[d]:bounds[d + 1]] is document d, which ends with END and lies whole and in order in one stream. Rows
     are streams by falling length; only those that go on are given, so `active` falls. doc is -1 beyond a stream's end.
+    Memory is that of the tokens and of one window, however long a document is.
     """
     size = np.diff(bounds)
     n = min(streams, len(size))
@@ -184,28 +251,37 @@ def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS) -> I
         heapq.heapreplace(heap, (load + int(size[d]), s))
     loads = sorted(((load, s) for load, s in heap), reverse=True)
     length = np.array([load for load, _ in loads])
-    where = np.full((n, -(-int(length[0]) // STEPS) * STEPS), -1, np.int32)  # place in tokens, by stream and step
-    for k, (load, s) in enumerate(loads):
-        d = np.array(dealt[s])
-        m = size[d]
-        where[k, :load] = np.arange(load) + np.repeat(bounds[d] - (np.cumsum(m) - m), m)
-    begins = np.zeros(len(tokens) + 1, bool)
-    begins[bounds[:-1]] = True
-    doc_of = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    for at in range(0, where.shape[1], STEPS):
+    docs = np.concatenate([dealt[s] for _, s in loads]).astype(np.int64)
+    m = size[docs]
+    place = np.arange(len(tokens)) + np.repeat(bounds[docs] - (np.cumsum(m) - m), m)  # in tokens, stream after stream
+    doc_of = np.repeat(docs.astype(np.int32), m)
+    begins = np.zeros(len(tokens), bool)
+    begins[np.cumsum(m) - m] = True
+    offset = np.cumsum(length) - length
+    at = 0
+    while at < length[0]:
         active = int(np.count_nonzero(length > at))
-        i = np.ascontiguousarray(where[:active, at : at + STEPS].T)
-        real = i >= 0
+        steps = min(int(length[0]) - at, max(STEPS, min(MOST, fill // active)))
+        step = at + np.arange(steps)[:, None]
+        real = step < length[:active]
+        i = np.where(real, offset[:active] + step, 0)
         first = begins[i] & real
-        before = np.where(real & ~first, tokens[i - 1], END).astype(np.int32)
-        yield before, np.where(real, tokens[i], END).astype(np.int32), first, np.where(real, doc_of[i], -1), active
+        here = place[i]
+        before = np.where(real & ~first, tokens[here - 1], END).astype(np.int32)
+        yield before, np.where(real, tokens[here], END).astype(np.int32), first, np.where(real, doc_of[i], -1), active
+        at += steps
 
 
 def train(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: np.ndarray, adam: Adam) -> None:
     """One pass over the documents, a step of the optimiser per window."""
-    p, grad = split(flat, shape), np.zeros_like(flat)
-    grads, h = split(grad, shape), None
-    for before, target, first, doc, active in windows(tokens, bounds):
+    fill = fill_of(len(tokens))
+    p, grad, h = split(flat, shape), np.zeros(len(flat) - shape.vocab * 3 * HIDDEN, np.float32), None
+    grads, at = {}, 0
+    for name, size in shape.sizes()[1:]:
+        n = int(np.prod(size))
+        grads[name] = grad[at : at + n].reshape(size)
+        at += n
+    for before, target, first, doc, active in windows(tokens, bounds, fill // STEPS, fill):
         h = np.zeros((active, HIDDEN), np.float32) if h is None else h[:active]
         hs, h, tape = forward(p, before, first, h, True)
         real = doc.reshape(-1) >= 0
@@ -216,12 +292,13 @@ def train(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: np.ndarray
         else:
             dh = np.zeros_like(flat_hs)
             dh[real] = output(p, shape, flat_hs[real], target.reshape(-1)[real], grads)[1]
-        backward(p, before, first, tape, dh.reshape(hs.shape), grads)
-        grad /= max(1, int(real.sum()))
-        norm = float(np.sqrt(np.dot(grad, grad)))
-        if norm > 1.0:
-            grad *= 1.0 / norm
-        adam.step(flat, grad)
+        ids, rows = backward(p, before, first, tape, dh.reshape(hs.shape), grads)
+        scale = 1 / max(1, int(real.sum()))
+        norm = scale * float(np.sqrt(np.dot(grad, grad) + np.einsum("ij,ij->", rows, rows)))
+        scale *= min(1.0, 1.0 / max(norm, 1e-30))
+        grad *= np.float32(scale)
+        rows *= np.float32(scale)
+        adam.step(flat, grad, ids, rows)
 
 
 def log_likelihood(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -230,7 +307,10 @@ def log_likelihood(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: n
     for before, target, first, doc, active in windows(tokens, bounds):
         h = np.zeros((active, HIDDEN), np.float32) if h is None else h[:active]
         hs, h, _ = forward(p, before, first, h, False)
-        real = doc.reshape(-1) >= 0
-        logp, _ = output(p, shape, hs.reshape(-1, HIDDEN)[real], target.reshape(-1)[real])
-        total += np.bincount(doc.reshape(-1)[real], weights=logp, minlength=len(total))
+        doc, target, flat_hs = doc.reshape(-1), target.reshape(-1), hs.reshape(-1, HIDDEN)
+        real = doc >= 0
+        if not real.all():
+            doc, target, flat_hs = doc[real], target[real], flat_hs[real]
+        logp, _ = output(p, shape, flat_hs, target)
+        total += np.bincount(doc, weights=logp, minlength=len(total))
     return total

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import durable, partitions
-from .tokens import Words, pieces
+from .common import chunks_for, durable, partitions
+from .tokens import Words, pieces, tidy, tidy_group, tidy_groups
 
 #: Least number of words in the recurrent model's vocabulary; beyond, it grows with the training tokens.
 VOCABULARY = 2_046
@@ -28,9 +28,9 @@ END_HASH = np.uint64(0x1234567890ABCDEF)
 _ENTRY = "bucket int, chunk int, hash binary, n binary"
 
 
-def vocabulary_size(tokens: int) -> int:
+def vocabulary_size(tokens: int, least: int | None = None) -> int:
     """Words that the recurrent model tells apart, the most frequent; the others share a symbol."""
-    return max(VOCABULARY, int(np.sqrt(tokens)))
+    return max(VOCABULARY if least is None else least, int(np.sqrt(tokens)))
 
 
 def _chunk_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -78,8 +78,8 @@ def counts(docs: DataFrame) -> DataFrame:
         hashes = [*(x.tobytes() for x in asked), h[held].tobytes(), b""]
         return pa.table([pa.array(chunk, pa.int32()), pa.array(hashes, pa.binary()), pa.array([*got, n[held].tobytes(), np.array([n.sum(), held.sum()]).tobytes()], pa.binary())], ["chunk", "hash", "n"])
 
-    asked = docs.groupBy("chunk").applyInArrow(ask, _ENTRY)
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk int, hash binary, n binary")
+    asked = docs.groupBy("chunk").applyInArrow(tidy_group(ask), _ENTRY)
+    return asked.groupBy("bucket").applyInArrow(tidy_group(answer), "chunk int, hash binary, n binary")
 
 
 def _sum(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def _sum(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
 
 
-def vocabulary(counted: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+def vocabulary(counted: DataFrame, least: int | None = None) -> tuple[int, int, np.ndarray, np.ndarray]:
     """(training tokens, distinct ones, hashes of the vocabulary, their counts); as many words as vocabulary_size says."""
     unpack = lambda want, most=0: lambda batches: (_rows(b, want, most) for b in batches if b.num_rows)
 
@@ -100,7 +100,7 @@ def vocabulary(counted: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(h[top]), pa.array(n[top])], ["hash", "n"])
 
     sums = counted.where("chunk = -2").mapInArrow(unpack("sums"), "hash long, n long").agg(F.sum("hash"), F.sum("n")).first()
-    size = vocabulary_size(int(sums[0] or 0))
+    size = vocabulary_size(int(sums[0] or 0), least)
     top = counted.where("chunk = -1").mapInArrow(unpack("top", size), "hash long, n long").orderBy(F.desc("n"), "hash").limit(size + 1).collect()
     h = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in top], np.int64)
@@ -122,6 +122,11 @@ class Coder:
         return np.where(self.known[at] == h, self.ids[at], gru.UNK).astype(np.int32)
 
 
+def _by_word(coder: Coder, tokens: np.ndarray) -> np.ndarray:
+    words, which = np.unique(tokens, return_inverse=True)
+    return coder(words)[which]
+
+
 def _gathered(coded: Iterator[tuple[np.ndarray, np.ndarray]], most: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(symbols, bounds) of pieces put together up to `most` symbols: streams that end far apart leave few side by side."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -142,14 +147,14 @@ def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     """Parameters after one pass over the training documents. docs: (id, held, text).
 
-    Each task starts a part from the common parameters, and what comes out is averaged by its number of tokens; means are
-    made in a few tasks first, so the driver receives a few vectors however many tasks there are.
+    Each task starts a part from the common parameters, and what comes out is averaged by its number of tokens, in a few
+    tasks first and then in one, so the driver receives one vector however many tasks there are.
     """
     sc = docs.sparkSession.sparkContext
     shape = gru.Shape.of(len(frequency))
     flat = gru.start(shape, np.maximum(frequency, 1).astype(float))
     coder = sc.broadcast(Coder(hashes))
-    slot = F.coalesce(F.pmod(F.xxhash64("id", F.lit("part")), F.lit(16)), F.lit(0))
+    slot = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text")), F.lit("part")), F.lit(16))
     lo = 0
     for width, rate in PARTS:
         now = sc.broadcast(flat)
@@ -157,7 +162,7 @@ def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarra
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             mine, seen = now.value.copy(), 0
             adam = gru.Adam(len(mine), rate)
-            coded = ((coder.value(tokens), bounds) for batch in batches for piece in pieces(batch, "text") for _, tokens, bounds in [_chunk_words(piece.column(0))])
+            coded = ((_by_word(coder.value, tokens), bounds) for batch in batches for piece in pieces(batch, "text") for _, tokens, bounds in [_chunk_words(piece.column(0))])
             for tokens, bounds in _gathered(coded):
                 gru.train(mine, shape, tokens, bounds, adam)
                 seen += len(tokens)
@@ -175,28 +180,33 @@ def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["mean", "n"])
 
         part = docs.where(~F.col("held") & (slot >= lo) & (slot < lo + width)).select("text")
-        rows = part.mapInArrow(learn, "mean binary, n long").repartition(8).mapInArrow(add, "mean binary, n long").collect()
-        if rows:
-            flat = (sum(np.frombuffer(r["mean"], np.float32) * np.float64(r["n"]) for r in rows) / sum(r["n"] for r in rows)).astype(np.float32)
+        mean = part.mapInArrow(tidy(learn), "mean binary, n long")
+        for tasks in (16, 1):
+            mean = mean.repartition(tasks).mapInArrow(tidy(add), "mean binary, n long")
+        for r in mean.collect():  # one row, none without training documents
+            flat = np.frombuffer(r["mean"], np.float32).copy()
         lo += width
     return flat
 
 
-def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabulary_words: int | None = None) -> DataFrame:
     """The digest columns of the contract: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     score is the log10 probability of the document under the recurrent model; a word outside its vocabulary has the
     probability of the shared symbol times (c + 1) / (M + U + 1), where c is its training count and M and U are tokens and
     distinct words outside the vocabulary. Null texts are empty (one end); rows without id are trained on and scored like
-    others; repeated rows count as often as they stand; without training rows all counts are zero.
+    others; repeated rows count as often as they stand; without training rows all counts are zero; an empty table gives an
+    empty one; texts of any length are scored whole, state carried throughout; other columns take no part. The recurrent
+    vocabulary has vocabulary_words words (VOCABULARY if None) or more, see vocabulary_size. What a task learns before averaging depends on how
+    the rows are dealt to tasks, so scores agree between runs only over the same files and settings.
     """
     spark = docs.sparkSession
-    chunks = partitions(spark)
+    chunks = chunks_for(docs)
     held = F.coalesce(F.crc32(F.col(f"`{doc}`").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     slim = docs.select(F.col(f"`{doc}`").cast("long").alias("id"), held.alias("held"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    dealt = slim.select(F.coalesce(F.pmod(F.xxhash64("id"), F.lit(chunks)), F.lit(0)).cast("int").alias("chunk"), "id", "held", "text")
+    dealt = slim.select(F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(chunks)).cast("int").alias("chunk"), "id", "held", "text")
     counted = durable(counts(dealt))
-    n, distinct, hashes, frequency = vocabulary(counted)
+    n, distinct, hashes, frequency = vocabulary(counted, vocabulary_words)
     ends = int(slim.where(~F.col("held")).count())
     inside = int(frequency.sum())
     other_n, other_v = n - ends - inside, distinct - len(hashes) - bool(ends)
@@ -217,12 +227,12 @@ def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
         for batch in texts.to_batches():
             for piece in pieces(batch, "text"):
                 _, tokens, bounds = _chunk_words(piece.column(3))
-                count = c[np.searchsorted(h, tokens)]
-                ids = coder(tokens)
-                total = lambda v: np.add.reduceat(v, bounds[:-1])
+                words, which = np.unique(tokens, return_inverse=True)  # all that is known of a word is looked up once
+                count, ids = c[np.searchsorted(h, words)], coder(words)
+                total = lambda v: np.add.reduceat(v[which], bounds[:-1])
                 base = total(np.log10((count + 1.0) / (n + 1.0 * (distinct + 1))))
                 rests.append(total(np.where(ids == gru.UNK, np.log10((count + 1.0) / (other_n + other_v + 1.0)), 0.0)))
-                coded.append((ids, bounds))
+                coded.append((ids[which], bounds))
                 rows = len(bounds) - 1
                 out.append(pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), pa.array(np.diff(bounds)), pa.array(total((count > 0).astype(np.int64))), pa.array(np.full(rows, n, np.int64)), pa.array(base)], names[:-1]))
         mine = [gru.log_likelihood(flat, shape, *x) for x in _gathered(iter(coded))]
@@ -234,4 +244,4 @@ def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(x, pa.int64()) for x in names[2:5]], *[(x, pa.float64()) for x in names[5:]]])
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(counted.where("chunk >= 0").groupBy("chunk")).applyInArrow(score, kinds)
+    return dealt.groupBy("chunk").cogroup(counted.where("chunk >= 0").groupBy("chunk")).applyInArrow(tidy_groups(score), kinds)

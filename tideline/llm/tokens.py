@@ -180,7 +180,7 @@ def tidy_groups(run):
     return tidied
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """The batch in slices of about `most` bytes of text, whole rows always, so that arrays of a slice stay small."""
     col = batch.column(batch.schema.get_field_index(column))
     if not len(col):
@@ -192,5 +192,4 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
         m = max(k + 1, int(np.searchsorted(at, at[k] + most, "right")) - 1)
         yield batch.slice(k, m - k)
         k = m
-    give_back()
 
