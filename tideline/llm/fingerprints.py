@@ -91,21 +91,22 @@ def fingerprint_report(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     near_next.
 
     A null text is empty. Rows without id are left out, rows of one id are one document with the least of their texts. Of
-    a single document the next is itself. Texts cross the network once, by id; what goes to the document before is the
-    prefix that it needs and a fingerprint.
+    a single document the next is itself. Texts of any length are read whole, an empty table gives an empty one, and other
+    columns take no part. Texts cross the network once, by id, and so does the prefix that the document before needs; a
+    fingerprint is made once and travels alone.
     """
     slim = docs.where(F.col(f"`{doc}`").isNotNull()).select(F.col(f"`{doc}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     if not slim.groupBy("id").count().where("count > 1").isEmpty():
         slim = slim.groupBy("id").agg(F.min("text").alias("text"))
-    order = next_ids(slim.select("id", F.char_length("text").alias("n")))
+    order = durable(next_ids(slim.select("id", F.char_length("text").alias("n"))))
+    prints = durable(fingerprint(slim, "text", "print").select("id", "print"))  # 64 bytes each
+    pair = order.join(prints, "id").join(prints.select(F.col("id").alias("next"), F.col("print").alias("next_print")), "next").select("id", "print", "next_print")
     # by the one who comes next: what its forerunner needs of it
     asked = order.select(F.col("next").alias("id"), F.col("id").alias("fore"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    given = fingerprint(slim.join(asked, "id"), "text", "next_print")
-    given = given.select(F.col("fore").alias("id"), F.substring("text", F.lit(1), F.col("k")).alias("head"), "next_print")
-    x = slim.join(given, "id").withColumn("n_chars", F.char_length("text").cast("long"))
+    given = slim.join(asked, "id").select(F.col("fore").alias("id"), F.substring("text", F.lit(1), F.col("k")).alias("head"))
+    x = slim.join(given, "id").join(pair, "id").withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), F.col("head"))
-    x = x.withColumn("edited", edited).drop("head")
-    x = fingerprint(x, "text", "print").drop("text")
+    x = x.withColumn("edited", edited).drop("head", "text")
     x = x.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     x = fingerprint(x, "edited", "edited_print").drop("edited")
     return x.select(
