@@ -16,20 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
+from .tokens import pieces, tidy
 
 #: Labelled rows that a model is fitted on, about: beyond, rows are chosen by a hash of their id.
 SAMPLE = 40_000
-#: A term occurs in SUPPORT of the toxic rows and in 3 of them at least; at most CANDIDATES terms are weighed.
-SUPPORT, CANDIDATES = 0.005, 20_000
+#: A term occurs in SUPPORT of the toxic rows and in 3 of them at least, which bounds the terms that are weighed: a row of
+#: w words holds some 6 w terms, so there are no more than 6 w / SUPPORT of them.
+SUPPORT = 0.005
 #: Least share of toxic rows among those with a term; how many terms are to cover each toxic row; letters of a stem.
 PURITY, COVER, STEMS = 0.85, 3, range(4, 9)
 #: Words to each side of a match; rows that a context's prior weighs as much as.
 WINDOW, PRIOR = 5, 50.0
+#: Odds of abuse in quotation marks against those outside of them as long as no row shows them, and rows that this weighs as.
+QUOTED, QUOTED_ROWS = 0.2, 8.0
 #: Weight of a match with errors that no training row shows.
 FUZZY = 0.6
 #: A match with a lower chance than this is none.
 LEAST = 0.45
 QUOTES = "\"“”„«»‹›"
+_KIND = {c: k for k, kind in enumerate(('"', "“”„", "«»", "‹›")) for c in kind}
 EDGE = QUOTES + ".,;:!?'()[]{}…*$&%#|<>-_/`~"
 KEEP, KEEP_STATES = 200_000, 50_000
 
@@ -194,11 +199,12 @@ class Model:
     def score(self, text: str | None) -> float:
         """Noisy-or over the terms that are met, each at its best match, shifted by that match's context."""
         best: dict[int, float] = {}
-        words = None
+        words = inside = None
         for i, p, term, _ in self.hits(text or ""):
             words = words or words_of(text)
+            inside = quoted(words) if inside is None else inside
             p = min(max(p, 1e-4), 1 - 1e-4)
-            near = window(words, i)
+            near = window(words, i, inside)
             known = [self.context[c] for c in near if c != QUOTES and c in self.context]
             shift = (sum(known) / len(known) if known else 0.0) + (self.context.get(QUOTES, 0.0) if QUOTES in near else 0.0)
             odds = math.log(p / (1 - p)) + max(-4.0, min(4.0, shift))
@@ -209,15 +215,32 @@ class Model:
         return 1.0 - keep
 
 
-def window(words: list[str], i: int) -> set[str]:
-    """The words around a match, and QUOTES for one that stands in quotation marks that open within the window."""
+def quoted(words: list[str]) -> bytearray:
+    """Which words stand in quotation marks, however far apart the marks are. A mark before a word's letters opens, one
+    after them closes what its kind has open; one that is never closed quotes nothing, and of two that open one kind the
+    later counts."""
+    out, begun = bytearray(len(words)), {}
+    for i, word in enumerate(words):
+        if not any(c in _KIND for c in word):
+            continue
+        letters = [k for k, c in enumerate(word) if c.isalnum()]
+        for k, c in enumerate(word):
+            if (kind := _KIND.get(c)) is None or letters and letters[0] < k < letters[-1]:
+                continue
+            opens = k < letters[0] if letters else kind not in begun
+            if opens:
+                begun[kind] = i
+            elif kind in begun:
+                at = begun.pop(kind)
+                out[at : i + 1] = b"\1" * (i + 1 - at)
+    return out
+
+
+def window(words: list[str], i: int, inside: bytearray) -> set[str]:
+    """The words around a match, and QUOTES for one that stands in quotation marks."""
     lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
     out = {w.strip(EDGE) for w in words[lo:i] + words[i + 1 : hi]} - {""}
-    before, after = " ".join(words[lo:i]), " ".join(words[i + 1 : hi])
-    own = words[i]
-    left = sum(before.count(q) for q in QUOTES) + sum(own[: len(own) // 2].count(q) for q in QUOTES)
-    right = sum(after.count(q) for q in QUOTES) + sum(own[len(own) // 2 :].count(q) for q in QUOTES)
-    if left % 2 and right:
+    if inside[i]:
         out.add(QUOTES)
     return out
 
@@ -228,8 +251,9 @@ def _count(df: DataFrame, of, kind: str = "term") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, n = Counter(), Counter()
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (t if toxic else n).update(of(text or ""))
+            for part in pieces(batch, "text", 1 << 20):
+                for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    (t if toxic else n).update(of(text or ""))
             every = list(t.keys() | n.keys())
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([t[x] for x in every], pa.int64()), pa.array([n[x] for x in every], pa.int64())], [kind, "t", "n"])
 
@@ -257,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n_bad:
         return Model([], [], base=0.02)
     often = _count(bad, lambda text: terms_of(set(words_of(text)))).where(F.col("t") >= max(3 if n_bad > 10 else 1, int(SUPPORT * n_bad)))
-    found = {r["term"]: r["t"] for r in often.orderBy(F.desc("t"), "term").limit(CANDIDATES).collect()}
+    found = {r["term"]: r["t"] for r in often.collect()}
     clean = {r["term"]: r["n"] for r in _count(good, lambda text: terms_of(set(words_of(text))) & found.keys()).collect()}
     rate = n_bad / (n_bad + n_good)
     purity = {x: (t + rate) / (t + clean.get(x, 0) + 1) for x, t in found.items()}
@@ -277,12 +301,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return model
 
     def seen(text: str) -> set[str]:
-        words, out = words_of(text), set()
+        words, out, inside = words_of(text), set(), None
         for i, _, term, form in model.hits(text):
+            inside = quoted(words) if inside is None else inside
             out.add("hit")
             if form:
                 out.add(f"form {term} {form}")
-            out.update("near " + w for w in window(words, i))
+            out.update("near " + w for w in window(words, i, inside))
         return out
 
     counts = {r["term"]: (r["t"], r["n"]) for r in _count(rows, seen).where((F.col("n") > 0) | (F.col("t") >= 10) | F.col("term").startswith("form ")).collect()}
@@ -296,13 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rare[int(term)][0] += t
             rare[int(term)][1] += t + n
     model.fuzzy = [a / b for a, b in rare]
-    for x, (t, m) in counts.items():
-        if x.startswith("near ") and (t + m >= 20 or x[5:] == QUOTES):
-            share = (t + m) / (hit_t + hit_n)
-            model.context[x[5:]] = math.log((t + PRIOR * share) / (hit_t + PRIOR)) - math.log((m + PRIOR * share) / (hit_n + PRIOR))
+    def apart(t: int, m: int) -> float:
+        """Log odds of what stands by t toxic and m clean matches."""
+        share = (t + m) / (hit_t + hit_n)
+        return math.log((t + PRIOR * share) / (hit_t + PRIOR)) - math.log((m + PRIOR * share) / (hit_n + PRIOR))
+
+    model.context = {x[5:]: apart(t, m) for x, (t, m) in counts.items() if x.startswith("near ") and x[5:] != QUOTES and t + m >= 20}
     t, m = counts.get("near " + QUOTES, (0, 0))
-    # a quotation is taken for half as likely abuse until rows tell otherwise
-    model.context[QUOTES] = math.log((t + 2.0) / (m + 2.0 + 8.0)) - math.log((hit_t + 2.0) / (hit_n + 2.0)) if hit_n >= 20 else math.log((t + 2.0) / (t + m + 10.0))
+    model.context[QUOTES] = (apart(t, m) if t + m else 0.0) + math.log(QUOTED) * QUOTED_ROWS / (QUOTED_ROWS + t + m)
     model.known.clear()
     return model
 
@@ -339,15 +365,17 @@ def _choose(held: list[list[set[str]]], purity: dict[str, float]) -> tuple[list[
 
 
 def score_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(id..., score): docs is (id, text); every whole text is scored, a null like an empty one."""
+    """(id, score): docs is (id, text); every whole text is scored, some MB at a time, a null like an empty one. Repeated rows
+    are scored each; an empty table gives an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(x) for x in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
+            for part in pieces(batch, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.score(x) for x in part.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
-    return docs.select("id", F.col(text).alias("text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double")
+    return docs.select("id", F.col(text).alias("text")).mapInArrow(tidy(run), f"id {docs.schema['id'].dataType.simpleString()}, score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
