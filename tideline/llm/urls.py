@@ -1,8 +1,10 @@
 """URL filters by a path-template tree learnt per host from rule-labelled urls.
 
-Per host, path segments are generalised level by level: digit runs become `#`, a level whose segments are mostly
-distinct becomes `*`, and sibling branches whose label rates do not differ from those of all siblings together are merged
-into `~`. A template is rejected when its smoothed labelled purity, backed off from branch to host to corpus, is low.
+Per host, path segments are generalised level by level, down to the last segment that any path has: digit runs become `#`, a
+level whose segments are mostly distinct becomes `*`, and sibling branches of statistically similar label rates are merged:
+those that do not differ from all siblings together into `~`, and of the others those above the common rate that do not
+differ from each other into `~+`, those below it into `~-`. A template is rejected when its smoothed labelled purity, backed
+off from branch to host to corpus, is low.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ from .common import UPPER, ascii_lower, durable
 
 #: (verdict, host, path). A rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Levels of the tree; what lies deeper in a path is one `**`.
-LEVELS = 3
 #: A level with at least VARIABLE_ROWS urls, more than half of them in distinct segments, is variable.
 VARIABLE_ROWS = 8
-#: Chi-square with one degree of freedom at 5 %: a branch below it does not differ from all siblings together.
+#: Chi-square with one degree of freedom at 5 %: a branch below it does not differ from what it is compared with.
 DIFFERS = 3.84
 #: Weight of the prior in a smoothed purity, in labelled urls.
 PRIOR = 2.0
+#: Levels that the SQL spells out, as it cannot take their number from the data.
+SQL_LEVELS = 5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -54,44 +56,56 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
     host, path = split_url(F.col(f"`{url_col}`"))
     x = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    shape = lambda k: F.coalesce(F.regexp_replace(F.get(F.col("parts"), k), "[0-9]+", "#"), F.lit(""))
-    x = x.withColumns({"rule": rule, "label": verdict, "parts": parts})
-    x = x.withColumns({f"s{k}": shape(k) for k in range(LEVELS)} | {f"s{LEVELS}": F.when(F.size("parts") > LEVELS, "**").otherwise("")}).drop("parts")
-    raw = [f"s{k}" for k in range(LEVELS + 1)]
+    shape = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "#"))
+    x = x.withColumns({"rule": rule, "label": verdict, "seg": shape})
     # rows to shapes: what follows works on one row per host and shape
-    shapes = x.groupBy("host", *raw).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("b"), F.count_if(F.col("label") == "allow").alias("a"))
-    tree, above = durable(shapes), ["host"]
-    for k in range(LEVELS + 1):
-        kin = durable(tree.groupBy(*above, f"s{k}").agg(F.sum("n").alias("kn"), F.sum("b").alias("kb"), F.sum("a").alias("ka")))
-        total = kin.groupBy(*above).agg(F.sum("kn").alias("n_"), F.count("*").alias("d_"), F.sum("kb").alias("b_"), F.sum("ka").alias("a_"))
-        j = kin.join(total, above)
-        # (b/m - B/M)^2 m / (q (1 - q)) with q = B/M, in whole numbers: m (bM - Bm)^2 > DIFFERS m^2 A B
-        m, M = F.col("kb") + F.col("ka"), F.col("b_") + F.col("a_")
-        gap = (F.col("kb") * M - F.col("b_") * m).cast("double")
-        differs = gap * gap > F.lit(DIFFERS) * m.cast("double") * F.col("a_").cast("double") * F.col("b_").cast("double")
-        variable = (F.col("n_") >= VARIABLE_ROWS) & (F.col("d_") * 2 > F.col("n_"))
-        name = F.when(F.col(f"s{k}") == "", "").when(variable, "*").when((m > 0) & differs, F.col(f"s{k}")).when(F.col("d_") == 1, F.col(f"s{k}")).otherwise("~")
-        # written: each level is read three times, and a plan that holds all levels grows as a power of their number
-        tree = durable(tree.join(j.select(*above, f"s{k}", name.alias(f"t{k}")), [*above, f"s{k}"]))
-        above = [*above, f"t{k}"]
-    purity = _purity(tree, above)
-    out = tree.join(purity, above).select("host", *raw, F.concat_ws("/", *above).alias("template"), "purity")
-    # eqNullSafe is not needed: neither host nor shapes are ever null
-    j = x.join(out, ["host", *raw])
+    shapes = x.groupBy("host", "seg").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("b"), F.count_if(F.col("label") == "allow").alias("a"))
+    tree = durable(shapes)
+    every = tree.agg(F.sum("a"), F.sum("b"), F.max(F.size("seg"))).first()
+    allow, block, depth = (int(v or 0) for v in every)
+    tree = _smoothed(tree.withColumns({"node": F.col("host"), "p": F.lit(allow / (allow + block) if allow + block else 0.5)}))
+    ended = []
+    for k in range(depth):
+        ended.append(tree.where(F.size("seg") <= k))
+        # written: each level is read several times, and a plan that holds all levels grows as a power of their number
+        tree = durable(_smoothed(_named(tree.where(F.size("seg") > k).withColumn("s", F.get("seg", F.lit(k))))))
+    for t in ended:
+        tree = tree.unionByName(t)
+    out = _smoothed(tree).select("host", "seg", F.col("node").alias("template"), F.col("p").alias("purity"))
+    j = x.join(out, ["host", "seg"])
     final = F.coalesce("label", F.when(F.col("purity") < min_purity, "block").otherwise("allow"))
     return j.select("id", "host", "path", "rule", final.alias("verdict"), "template")
 
 
-def _purity(tree: DataFrame, above: list[str]) -> DataFrame:
-    """The smoothed share of allowed labels of each template: each node's own labels over its parent's share as prior."""
-    share = tree.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
-    at = durable(tree.groupBy(*above).agg(F.sum("a").alias(f"a{len(above)}"), F.sum("b").alias(f"b{len(above)}")))
-    p = at.crossJoin(F.broadcast(share.select(F.when(F.col("a") + F.col("b") > 0, F.col("a") / (F.col("a") + F.col("b"))).otherwise(F.lit(0.5)).alias("purity"))))  # one row
-    for k in range(1, len(above) + 1):
-        node = at.groupBy(*above[:k]).agg(F.sum(f"a{len(above)}").alias("na"), F.sum(f"b{len(above)}").alias("nb"))
-        p = p.join(node, above[:k]).withColumn("purity", (F.col("na") + F.lit(PRIOR) * F.col("purity")) / (F.col("na") + F.col("nb") + F.lit(PRIOR))).drop("na", "nb")
-    return p.select(*above, "purity")
+def _differs(b: Column, a: Column, of_b: Column, of_a: Column) -> Column:
+    """Whether the block share of b and a differs from that of_b and of_a: chi-square, multiplied out to whole numbers, as
+    (b/m - B/M)^2 m / (q (1 - q)) with q = B/M is m (bM - Bm)^2 > DIFFERS m^2 A B."""
+    m = b + a
+    gap = (b * (of_b + of_a) - of_b * m).cast("double")
+    return (m > 0) & (gap * gap > F.lit(DIFFERS) * m.cast("double") * of_a.cast("double") * of_b.cast("double"))
+
+
+def _named(tree: DataFrame) -> DataFrame:
+    """tree with each row's node taken down to the name of its segment `s` among its siblings."""
+    kin = tree.groupBy("host", "node", "s").agg(F.sum("n").alias("kn"), F.sum("b").alias("kb"), F.sum("a").alias("ka"))
+    total = kin.groupBy("host", "node").agg(F.sum("kn").alias("n_"), F.count("*").alias("d_"), F.sum("kb").alias("b_"), F.sum("ka").alias("a_"))
+    side = F.when(F.col("kb") * (F.col("b_") + F.col("a_")) > F.col("b_") * (F.col("kb") + F.col("ka")), "~+").otherwise("~-")
+    j = kin.join(total, ["host", "node"]).withColumn("side", F.when(_differs(F.col("kb"), F.col("ka"), F.col("b_"), F.col("a_")), side).otherwise("~"))
+    j = durable(j)
+    like = j.groupBy("host", "node", "side").agg(F.count("*").alias("sd"), F.sum("kb").alias("sb"), F.sum("ka").alias("sa"))
+    j = j.join(like, ["host", "node", "side"])
+    variable = (F.col("n_") >= VARIABLE_ROWS) & (F.col("d_") * 2 > F.col("n_"))
+    alone = (F.col("d_") == 1) | (F.col("side") != "~") & ((F.col("sd") == 1) | _differs(F.col("kb"), F.col("ka"), F.col("sb"), F.col("sa")))
+    name = F.when(variable, "*").when(alone, F.col("s")).otherwise(F.col("side"))
+    x = tree.join(j.select("host", "node", "s", name.alias("t")), ["host", "node", "s"])
+    return x.withColumn("node", F.concat_ws("/", "node", "t")).drop("s", "t")
+
+
+def _smoothed(tree: DataFrame) -> DataFrame:
+    """tree with p, the share of allowed labels, taken on to each row's node: its own labels over the share before as prior."""
+    node = tree.groupBy("host", "node").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    p = (F.col("na") + F.lit(PRIOR) * F.col("p")) / (F.col("na") + F.col("nb") + F.lit(PRIOR))
+    return tree.join(node, ["host", "node"]).withColumn("p", p).drop("na", "nb")
 
 
 def url_report(pages: DataFrame) -> DataFrame:
@@ -104,32 +118,33 @@ def oracle() -> str:
     fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
     rule = "case " + " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in rules) + " end"
     label = "case " + " ".join(f"when {fits(h, p)} then '{w}'" for w, h, p in rules) + " end"
-    raw = [f"s{k}" for k in range(LEVELS + 1)]
-    shapes = ", ".join([f"coalesce(regexp_replace(parts[{k + 1}], '[0-9]+', '#', 'g'), '') as s{k}" for k in range(LEVELS)] + [f"case when len(parts) > {LEVELS} then '**' else '' end as s{LEVELS}"])
+    raw = [f"s{k}" for k in range(SQL_LEVELS)]
+    shapes = ", ".join(f"coalesce(regexp_replace(parts[{k + 1}], '[0-9]+', '#', 'g'), '') as s{k}" for k in range(SQL_LEVELS))
+    differs = lambda b, a, B, A: f"({b} + {a} > 0 and power(({b} * ({B} + {A}) - {B} * ({b} + {a}))::double, 2) > {DIFFERS} * ({b} + {a})::double * {A}::double * {B}::double)"
+    smooth = lambda p: f"(na + {PRIOR} * {p}) / (na + nb + {PRIOR})"
     sql = f"""with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 v as (select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{UPPER.lower()}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 w as (select *, {rule} as rule, {label} as label, list_filter(string_split(path, '/'), lambda s: s <> '') as parts from v),
 x as (select page_id, host, path, rule, label, {shapes} from w),
-tree as (select host, {', '.join(raw)}, count(*) as n, count(*) filter (where label = 'block') as b, count(*) filter (where label = 'allow') as a from x group by all)"""
-    above, last = ["host"], "tree"
-    for k in range(LEVELS + 1):
-        keys = ", ".join(above)
+shapes as (select host, {', '.join(raw)}, count(*) as n, count(*) filter (where label = 'block') as b, count(*) filter (where label = 'allow') as a from x group by all),
+root as (select *, host as node, (select case when sum(a) + sum(b) > 0 then sum(a)::double / (sum(a) + sum(b)) else 0.5 end from shapes) as p0 from shapes),
+tree as (select root.* exclude (p0), {smooth('p0')} as p from root join (select host, node, sum(a) as na, sum(b) as nb from root group by all) using (host, node))"""
+    last = "tree"
+    for k in range(SQL_LEVELS):
         sql += f""",
-kin{k} as (select {keys}, s{k}, sum(n) as kn, sum(b) as kb, sum(a) as ka from {last} group by all),
-total{k} as (select {keys}, sum(kn) as n_, count(*) as d_, sum(kb) as b_, sum(ka) as a_ from kin{k} group by all),
-name{k} as (select {keys}, s{k}, case when s{k} = '' then '' when n_ >= {VARIABLE_ROWS} and d_ * 2 > n_ then '*'
-  when kb + ka > 0 and power(((kb * (a_ + b_)) - b_ * (kb + ka))::double, 2) > {DIFFERS} * (kb + ka)::double * a_::double * b_::double then s{k}
-  when d_ = 1 then s{k} else '~' end as t{k} from kin{k} join total{k} using ({keys})),
-tree{k} as (select * from {last} join name{k} using ({keys}, s{k}))"""
-        above, last = [*above, f"t{k}"], f"tree{k}"
-    p = "(select case when sum(a) + sum(b) > 0 then sum(a)::double / (sum(a) + sum(b)) else 0.5 end from tree)"
-    joins = ""
-    for k in range(1, len(above) + 1):
-        keys = ", ".join(above[:k])
-        sql += f",\nnode{k} as (select {keys}, sum(a) as na, sum(b) as nb from {last} group by all)"
-        joins += f" join node{k} using ({keys})"
-        p = f"((node{k}.na + {PRIOR} * {p}) / (node{k}.na + node{k}.nb + {PRIOR}))"
-    sql += f",\npure as (select {', '.join(above)}, {p} as purity from (select distinct {', '.join(above)} from {last}) {joins})"
+go{k} as (select * from {last} where s{k} <> ''),
+kin{k} as (select host, node, s{k}, sum(n) as kn, sum(b) as kb, sum(a) as ka from go{k} group by all),
+total{k} as (select host, node, sum(kn) as n_, count(*) as d_, sum(kb) as b_, sum(ka) as a_ from kin{k} group by all),
+side{k} as (select *, case when not {differs('kb', 'ka', 'b_', 'a_')} then '~' when kb * (b_ + a_) > b_ * (kb + ka) then '~+' else '~-' end as side from kin{k} join total{k} using (host, node)),
+like{k} as (select host, node, side, count(*) as sd, sum(kb) as sb, sum(ka) as sa from side{k} group by all),
+name{k} as (select host, node, s{k}, case when n_ >= {VARIABLE_ROWS} and d_ * 2 > n_ then '*'
+  when d_ = 1 or side <> '~' and (sd = 1 or {differs('kb', 'ka', 'sb', 'sa')}) then s{k} else side end as t from side{k} join like{k} using (host, node, side)),
+down{k} as (select go{k}.* exclude (node), concat_ws('/', node, t) as node from go{k} join name{k} using (host, node, s{k})),
+level{k} as (select d.* exclude (p), {smooth('d.p')} as p from down{k} d join (select host, node, sum(a) as na, sum(b) as nb from down{k} group by all) using (host, node)),
+tree{k} as (select * from level{k} union all by name select * from {last} where s{k} = '')"""
+        last = f"tree{k}"
+    sql += f""",
+pure as (select t.host, t.{', t.'.join(raw)}, t.node as template, {smooth('t.p')} as purity from {last} t join (select host, node, sum(a) as na, sum(b) as nb from {last} group by all) using (host, node))"""
     return sql + f"""
-select x.page_id, x.host, x.path, x.rule, coalesce(x.label, case when purity < 0.5 then 'block' else 'allow' end) as verdict, concat_ws('/', {', '.join(above)}) as template
-from x join {last} using (host, {', '.join(raw)}) join pure using ({', '.join(above)})"""
+select x.page_id, x.host, x.path, x.rule, coalesce(x.label, case when purity < 0.5 then 'block' else 'allow' end) as verdict, template
+from x join pure using (host, {', '.join(raw)})"""
