@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, partitions
 
 #: Modulus and number of candidate seeds of the Bernoulli draws; seed k multiplies by MULT[k] and adds ADD[k].
 PRIME = 2_147_483_647
@@ -24,24 +24,41 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with ix: its place by code point of source, null last, from 0. Sources are dealt by range, numbered within
+    their range, and moved on by what the ranges before hold, so no task sees all of them."""
+    spark = sizes.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    x = durable(sizes.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()))
+    counts = sorted((r["part"], r["n"]) for r in x.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each range
+    starts, n = [], 0
+    for part, k in counts:
+        starts.append((part, n))
+        n += k
+    offset = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return x.withColumn("inner", inner).join(offset, "part").withColumn("ix", F.col("start") + F.col("inner")).drop("part", "start", "inner")
+
+
 def source_targets(sizes: DataFrame, weights: list[int], cap: float) -> DataFrame:
-    """(source, source_size, target) by water filling. sizes: (source, source_size), a row per source.
+    """(source, source_size, target, ix) by water filling. sizes: (source, source_size), a row per source.
 
     Sources by code point, null last, take `weights` in turn. A target stops at cap times the source's size; what is
-    over goes to the others by weight. Sorting sources by cap / weight, the first k are capped, for the least k at which
-    the next one's cap holds its share of what the k leave. The windows run over one row per source.
+    over goes to the others by weight. The level, the target of a weight of 1, is that of the sources that are not capped;
+    raising it caps further sources, so it is worked out anew until none is added: a sum over sources each time.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("ix") % len(weights) + 1).cast("int"))
-    x = sizes.withColumn("ix", F.row_number().over(by_name) - 1).withColumn("w", weight)
-    x = x.withColumn("cap", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("cap") / F.col("w"))
-    order = Window.orderBy("ratio", "ix")
-    before, after, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    x = x.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    x = x.withColumn("level", F.col("left") / F.sum("w").over(after))
-    # the least level at which the source's own cap is not reached; none: every source is capped
-    x = x.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct(F.col("ratio"), F.col("ix"), F.col("level")))).over(every)["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("w")))
+    x = _numbered(sizes).withColumn("w", weight)
+    x = durable(x.withColumn("cap", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("cap") / F.col("w")))
+    level, capped = 0.0, -1.0
+    while True:
+        over = F.col("ratio") < F.lit(level)
+        r = x.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("capped"), F.sum(F.when(over, 0).otherwise(F.col("w"))).alias("w")).first()
+        if not r["w"] or r["capped"] == capped:  # no source or every source is capped; or nothing new is
+            break
+        capped = r["capped"]
+        level = (r["all"] - capped) / r["w"]
+    target = F.least(F.col("cap"), F.lit(float(level)) * F.col("w")) if r["w"] else F.col("cap")
     return x.select("source", "source_size", target.alias("target"), "ix")
 
 
@@ -61,7 +78,9 @@ def mix_rates(sizes: DataFrame, weights: list[int], cap: float) -> tuple[DataFra
 
     rate = target / source_size; whole is its floor and frac its fraction in units of 1 / PRIME. sizes has a row
     (id, source, size) per document. Of SEEDS fixed seeds a source takes the one whose copies come nearest to its target
-    (ties: the first), so a few very long documents cannot carry it far off, and reruns agree.
+    (ties: the first), so a few very long documents cannot carry it far off, and reruns agree. Under one seed a document's
+    chance of the extra copy is the fraction; a seed that is chosen by what it gives makes draws within a source depend on
+    each other a little, and the share of documents drawn stays near the fraction.
     """
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -84,7 +103,9 @@ def copies(doc_id: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights: list[int] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies), one row per row of docs."""
+    """(id, source, size, source_size, target, copies), one row per row of docs. Null texts count no words, null sources are
+    one source, null ids draw alike, repeated rows are documents each; sources of equal names cannot be, so there are no
+    ties; an empty table gives an empty one; texts of any length are counted whole; other columns take no part."""
     sizes = durable(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")))
     rates, small = mix_rates(sizes, list(weights), cap)
     out = sizes.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("t_source")))
