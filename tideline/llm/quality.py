@@ -32,7 +32,7 @@ def suffix_array(first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[n
     """
     n = len(key)
     end = np.repeat(first[1:], np.diff(first))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
@@ -47,7 +47,7 @@ def suffix_array(first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[n
         there = tied + h
         second = np.where(there < end[tied], rank[np.minimum(there, n)] + 1, 0)
         k = group * (n + 2) + second
-        o = np.argsort(k, kind="stable")
+        o = np.argsort(k)
         tied, k, group = tied[o], k[o], group[o]
         m = np.arange(len(tied))
         start = np.ones(len(tied), bool)
