@@ -74,6 +74,18 @@ def test_substring_spans_and_short_windows(docs, empty):
     assert subs.substring_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [24, 64, 65, 88, 120, 200])
+def test_substrings_of_any_length(spark, length):
+    rng = random.Random(length)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = {i: base[(a := rng.randrange(0, 300)) : a + rng.randrange(100, 400)] for i in range(12)}
+    texts |= {20: base[:250] + "X" + base[251:], 21: base[:330] + "Y" + base[331:], 22: base}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r for r in subs.substring_dedup(docs, length).collect()}
+    want = substrings(texts, length)
+    assert {i: (sum(b - a for a, b in r.spans), sha(bytes(r.kept))) for i, r in got.items()} == {i: (x[1], x[3]) for i, x in want.items()}
+
+
 @given(st.lists(st.lists(st.text("ab", max_size=12), min_size=1, max_size=4), min_size=1, max_size=3))
 @settings(max_examples=60, deadline=None)
 def test_merged_transforms_sort_all_suffixes(shards):
@@ -175,8 +187,26 @@ def test_bpe_columns(spark):
     df = spark.createDataFrame([(1, "ab cd", 5), (2, None, 6)], "doc_id long, text string, decoded_ int")
     x = bpe.decode_column(bpe.encode_column(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
     assert [(bytes(r.decoded), r.decoded_) for r in x.orderBy("doc_id").collect()] == [(b"ab cd", 5), (b"", 6)]
-    with pytest.raises(ValueError):
-        bpe.encode_column(df.withColumn("IDS", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    clash = bpe.encode_column(df.withColumn("IDS", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    assert clash.columns == ["doc_id", "text", "decoded_", "ids"] and clash.where("ids is null").count() == 0
+    clash = bpe.round_trip_column(df.withColumn("Ids", F.lit(1)).withColumn("decoded_sha256", F.lit(2)), RANKS, public_tokenizers.PATTERN)
+    assert {r.doc_id: r.decoded_sha256 for r in clash.collect()} == {1: sha("ab cd"), 2: sha("")}
+
+
+def test_bpe_side_by_side(monkeypatch):
+    """Many pieces in step, with small stores, against the library and against one piece at a time."""
+    ranks, rng = bpe.load_ranks(RANKS), random.Random(5)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    parts = [*"abcdefghijklmnop qrstuvwxyzéßж中🙂\n'1", "ing", "tion", "\x00", "\x01", "   ", "zz" * 40]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1_500)] + ["".join(map(chr, range(1, 40))), "x" * 9_000, "é" * 4_000]
+    want = [np.array(lib.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    for keep, pairs in ((250_000, 1 << 18), (50, 1 << 4)):
+        monkeypatch.setattr(bpe, "KEEP", keep)
+        monkeypatch.setattr(bpe, "KEEP_PAIRS", pairs)
+        coder = bpe.TextBpe(ranks, public_tokenizers.PATTERN)
+        got = [x for k in range(0, len(texts), 300) for x in coder.encode_batch(texts[k : k + 300])]
+        assert got == want and [coder.decode(x) for x in got] == [t.encode() for t in texts]
+        assert len(coder.known) <= max(keep, len({p for t in texts[-300:] for p in coder.findall(t)}))
 
 
 def test_fingerprints(docs, empty):
