@@ -34,13 +34,23 @@ def hamming_summary(steps: DataFrame) -> DataFrame:
 def keep_changed(hashes: DataFrame, threshold: int) -> DataFrame:
     """(rec_id, frame_ix, h) of frames further than threshold from the last one that was kept; the first is kept.
 
-    A fold in frame order, which a lag cannot express; hashes of a recording are an array of longs meanwhile.
+    A fold in frame order, which a lag cannot express: recordings are dealt to partitions, sorted, and stream by with the
+    last kept hash carried on.
     """
-    x = hashes.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("frame_ix", "h"))).alias("all"))
-    none = F.slice("all", 1, 0)
-    far = lambda acc, f: (F.size(acc) == 0) | (F.bit_count(F.coalesce(F.try_element_at(acc, F.lit(-1))["h"], F.lit(0).cast("long")).bitwiseXOR(f["h"])) > threshold)
-    kept = F.aggregate("all", none, lambda acc, f: F.when(far(acc, f), F.concat(acc, F.array(f))).otherwise(acc))
-    return x.select("rec_id", F.explode(kept).alias("f")).select("rec_id", "f.frame_ix", "f.h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, last = None, None
+        for batch in batches:
+            keep = []
+            for r, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                far = last is None or r != rec or ((h ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > threshold
+                if far:
+                    rec, last = r, h
+                keep.append(far)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    x = hashes.select("rec_id", "frame_ix", "h")
+    return x.repartition("rec_id").sortWithinPartitions("rec_id", "frame_ix").mapInArrow(run, x.schema)
 
 
 def _activity(frames: DataFrame, delta: int) -> DataFrame:

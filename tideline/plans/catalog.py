@@ -109,7 +109,7 @@ def _small(s: SparkSession, d: str) -> DataFrame:
 def _fingerprints(s: SparkSession, d: str) -> DataFrame:
     """Manifest rows of documents whose fingerprint (language, source, version) is the wanted one in every field; nulls equal nulls."""
     docs = A.table(s, d, "documents").select("doc_id", F.struct("lang", "source", (F.col("doc_id") % 10).cast("int").alias("version")).alias("fingerprint"))
-    return resume.valid_rows(docs, {"lang": "en", "source": None, "version": 3}).unionByName(resume.valid_rows(docs, {"lang": "de", "source": "web", "version": 4})).select("doc_id")
+    return resume.valid_rows(docs, {"lang": "en", "source": "src7", "version": 7}).unionByName(resume.valid_rows(docs, {"lang": "de", "source": "src4", "version": 4})).select("doc_id")
 
 
 def _chunked(s: SparkSession, d: str) -> DataFrame:

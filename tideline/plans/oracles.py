@@ -192,5 +192,5 @@ select event_id, printf('%10s [%s%s] %3.0f%%  %s/%s audio  elapsed %s  eta %s  %
     "lookup_skipped": "select doc_id, lang from documents where doc_id not in (select doc_id from labels)",
     "first_n": f"with {EV} select rec_id, i, value from ev order by rec_id, i limit 25",
     "progress_clock": f"select event_id, {CLOCK('value * 20')} as at, round(value / 4427.028, 6) as fraction, round(case when event_id / 100.0 > 0 then (value - 2.0) / (event_id / 100.0) else 0.0 end, 6) as speed, {CLOCK('(case when event_id > 0 and value - 2.0 > 0 then (4427.028 - value) / ((value - 2.0) / (event_id / 100.0)) end)')} as eta from events",
-    "fingerprint_match": "select doc_id from documents where lang = 'en' and source is null and doc_id % 10 = 3 or lang = 'de' and source = 'web' and doc_id % 10 = 4",
+    "fingerprint_match": "select doc_id from documents where lang = 'en' and source = 'src7' and doc_id % 10 = 7 or lang = 'de' and source = 'src4' and doc_id % 10 = 4",
 }
