@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -36,10 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where this application's tables are: they are read as long as a result may be, and removed when its driver ends."""
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone by now
+        return
+
+
+_made: set[str] = set()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and any executor may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)

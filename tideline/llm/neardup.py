@@ -535,7 +535,9 @@ def _joined(found: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that have a near duplicate of smaller id; rows without id stay."""
+    """docs without those that have a near duplicate of smaller id, with all their columns, whatever their names. Rows without
+    id stay, and so do those without words; rows of one id are one document and stay or go together; an empty table gives
+    an empty one."""
     (gone,) = fresh(docs, "gone")
     drop = near_duplicates(docs, k, percent, doc, text).where("component_id <> id").select(F.col("id").alias(gone))
     return docs.join(drop, F.col(f"`{doc}`") == F.col(gone), "left_anti")

@@ -154,7 +154,9 @@ def quality_report(docs: DataFrame, doc: str = "doc_id", text: str = "text", cov
 
 
 def quality_filter(docs: DataFrame, text: str = "text", covered_percent: int = COVERED, longest_words: int = LONGEST) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns, whatever their names. Null and empty texts fail; rows are
+    judged each, so repeated ones share their fate, and there are no ties; texts of any length are judged whole; an empty
+    table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
