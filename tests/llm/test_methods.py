@@ -272,6 +272,19 @@ def test_lm_of_one_very_long_text_beside_many(spark):
     assert len(got) == 4 and len({(r.doc_id, round(r.score, 6)) for r in got}) == 2
 
 
+def test_training_windows_hold_every_symbol_once():
+    rng = np.random.default_rng(3)
+    sizes = np.append(rng.integers(1, 60, 300), [30_000, 2_500])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = rng.integers(2, 50, bounds[-1]).astype(np.int32)
+    tokens[bounds[1:] - 1] = gru.END
+    cut = gru.segments(bounds, 1_000)
+    assert set(bounds) <= set(cut) and np.diff(cut).max() <= 1_000 and (np.diff(cut) > 0).all()
+    seen = [(int(b), int(t)) for before, target, _, doc, _ in gru.windows(tokens, cut, 32, 512, bounds[:-1]) for b, t, d in zip(before.ravel(), target.ravel(), doc.ravel(), strict=True) if d >= 0]
+    first = set(bounds[:-1].tolist())
+    assert sorted(seen) == sorted((gru.END if k in first else int(tokens[k - 1]), int(tokens[k])) for k in range(len(tokens)))
+
+
 def test_url_paths_of_any_depth_and_merged_branches(spark):
     rules_ = [("block", "h.com", "/a/b/c/d/bad"), ("allow", "h.com", "/a/b/c/d/good")]
     url = lambda leaf, i: f"http://h.com/a/b/c/d/{leaf}/{'q' if i % 2 else 'r'}{i}"

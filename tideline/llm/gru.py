@@ -233,11 +233,20 @@ def fill_of(tokens: int) -> int:
     return max(LEAST, min(FILL, tokens // STEPS_WANTED))
 
 
-def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS, fill: int = FILL) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+def segments(bounds: np.ndarray, longest: int) -> np.ndarray:
+    """Bounds of documents with even cuts in those of more than `longest` symbols."""
+    size = np.diff(bounds)
+    parts = -(-size // longest)
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.append(np.repeat(bounds[:-1], parts) + k * np.repeat(size, parts) // np.repeat(parts, parts), bounds[-1])
+
+
+def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS, fill: int = FILL, opens: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """(before, target, first, doc, active) windows over documents dealt to streams, the longest first to the least full.
 
     tokens[bounds[d]:bounds[d + 1]] is document d, which ends with END and lies whole and in order in one stream. Rows
-    are streams by falling length; only those that go on are given, so `active` falls. doc is -1 beyond a stream's end.
+    are streams by falling length; only those that go on are given, so `active` falls. doc is -1 beyond a stream's end. Where
+    bounds are those of segments, opens has the places at which documents begin.
     Memory is that of the tokens and of one window, however long a document is.
     """
     size = np.diff(bounds)
@@ -258,6 +267,8 @@ def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS, fill
     begins = np.zeros(len(tokens), bool)
     begins[np.cumsum(m) - m] = True
     offset = np.cumsum(length) - length
+    alone = np.zeros(len(tokens), bool)  # what has no symbol before it
+    alone[bounds[:-1] if opens is None else opens] = True
     at = 0
     while at < length[0]:
         active = int(np.count_nonzero(length > at))
@@ -267,21 +278,27 @@ def windows(tokens: np.ndarray, bounds: np.ndarray, streams: int = STREAMS, fill
         i = np.where(real, offset[:active] + step, 0)
         first = begins[i] & real
         here = place[i]
-        before = np.where(real & ~first, tokens[here - 1], END).astype(np.int32)
+        before = np.where(real & ~alone[here], tokens[here - 1], END).astype(np.int32)
         yield before, np.where(real, tokens[here], END).astype(np.int32), first, np.where(real, doc_of[i], -1), active
         at += steps
 
 
 def train(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: np.ndarray, adam: Adam) -> None:
-    """One pass over the documents, a step of the optimiser per window."""
+    """One pass over the documents, a step of the optimiser per window.
+
+    Documents much longer than a stream's share are cut, and the state begins anew at a cut: else the last windows would hold
+    little beside the longest text. Every symbol is learnt from, after the one that stands before it.
+    """
     fill = fill_of(len(tokens))
+    streams = fill // STEPS
+    cut = segments(bounds, max(LEAST, len(tokens) // streams))
     p, grad, h = split(flat, shape), np.zeros(len(flat) - shape.vocab * 3 * HIDDEN, np.float32), None
     grads, at = {}, 0
     for name, size in shape.sizes()[1:]:
         n = int(np.prod(size))
         grads[name] = grad[at : at + n].reshape(size)
         at += n
-    for before, target, first, doc, active in windows(tokens, bounds, fill // STEPS, fill):
+    for before, target, first, doc, active in windows(tokens, cut, streams, fill, bounds[:-1]):
         h = np.zeros((active, HIDDEN), np.float32) if h is None else h[:active]
         hs, h, tape = forward(p, before, first, h, True)
         real = doc.reshape(-1) >= 0
