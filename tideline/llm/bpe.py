@@ -24,7 +24,7 @@ from .tokens import pieces, tidy
 
 #: Matches of the split pattern whose ids a worker keeps beyond a batch, bytes of those it keeps at all, and pairs whose
 #: adjacency it keeps (a power of two). A full store goes on with what the last batch used, so stores stay bounded.
-KEEP, KEEP_LETTERS, KEEP_PAIRS = 250_000, 64, 1 << 18
+KEEP, KEEP_LETTERS, KEEP_PAIRS = 180_000, 64, 1 << 18
 #: Bytes that are encoded side by side; with FEW pieces left or fewer, each is encoded by itself.
 TOGETHER, FEW = 1 << 18, 48
 NEVER = 1 << 40
@@ -244,12 +244,13 @@ class TextBpe:
         split = [self.findall(t) for t in texts]
         pieces = set().union(*split)
         new = list(pieces.difference(self.known))
-        known = self.known | dict(zip(new, self.bpe.encode_all(new), strict=True)) if new else self.known
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
-        if new:
-            if len(known) > KEEP:
-                known = {p: known[p] for p in pieces}
-            self.known = {p: x for p, x in known.items() if len(p) <= KEEP_LETTERS} if any(len(p) > KEEP_LETTERS for p in new) else known
+        self.known.update(zip(new, self.bpe.encode_all(new), strict=True))
+        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        if len(self.known) > KEEP:
+            self.known = {p: self.known[p] for p in pieces}
+        for p in new:
+            if len(p) > KEEP_LETTERS:  # hardly comes again
+                del self.known[p]
         return out
 
     def encode(self, text: str) -> bytes:
