@@ -12,7 +12,7 @@ import numpy as np
 #: where fewer streams go on, a window has more steps.
 HIDDEN, STEPS, MOST, STREAMS, FILL = 24, 16, 128, 512, 8_192
 #: A training window has LEAST symbols at least, up to FILL as long as a pass has STEPS_WANTED steps.
-LEAST, STEPS_WANTED = 1_024, 256
+LEAST, STEPS_WANTED = 1_024, 192
 #: Rows of the output layer that are worked on at a time.
 BLOCK = 1_536
 #: Ids of the two symbols that every vocabulary has; words follow by rank.

@@ -51,10 +51,10 @@ def _at_place(code: np.ndarray) -> np.ndarray:
 _TABLE = _at_place(np.arange(PLACES * 256))
 
 
-def span_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def span_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int = 1 << 20, inside: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of flat[begin:end], for ascending spans that do not overlap; equal bytes have equal hashes.
 
-    A span's hash is the mixed sum of what each byte is worth at its place.
+    A span's hash is the mixed sum of what each byte is worth at its place. inside: which bytes lie in a span, if known.
     """
     out = np.empty(len(begin), np.uint64)
     size = end - begin
@@ -70,15 +70,17 @@ def span_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int
         else:
             at = np.cumsum(n) - n
             place = np.arange(int(n.sum())) - np.repeat(at, n)
-            code = place * 256 + flat[np.repeat(begin[k:m], n) + place]
-            if len(n) and int(n.max()) <= PLACES:
-                value = _TABLE[code]
-            else:
-                value = np.where(place < PLACES, _TABLE[np.minimum(code, PLACES * 256 - 1)], 0)
+            some = flat[np.repeat(begin[k:m], n) + place] if inside is None else flat[begin[k] : end[m - 1]][inside[begin[k] : end[m - 1]]]
+            code = (place << 8) | some
+            value = _TABLE.take(code, mode="clip")
+            if len(n) and int(n.max()) > PLACES:
                 far = np.flatnonzero(place >= PLACES)
                 value[far] = _at_place(code[far])
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-            sums = total[at + n] - total[at]
+            if len(n) and int(n.min()) > 0:
+                sums = np.add.reduceat(value, at)
+            else:
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+                sums = total[at + n] - total[at]
         out[k:m] = mix64(sums + n.astype(np.uint64) * _SALT)
         k = m
     return out
@@ -106,7 +108,7 @@ class Words:
         self.first = np.searchsorted(self.begin, self.offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), self.count)
-        self.hash = span_hashes(self.flat, self.begin, self.end) if hashes else None
+        self.hash = span_hashes(self.flat, self.begin, self.end, inside=inside[1:-1]) if hashes else None
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
