@@ -278,3 +278,49 @@ def test_progress_line(spark):
     r = spark.createDataFrame([(750.0, 4427.028, 0.0, 21.5)], "d double, t double, f double, e double")
     x = r.select(scalars.progress_bar(F.col("d"), F.col("t"), F.col("f"), F.col("e"), F.lit("running")).alias("x")).first().x
     assert x == "   running [####--------------------]  17%  12:30/1:13:47 audio  elapsed 0:21  eta 1:45  34.9x"
+
+
+def test_models_run_in_tasks(spark, tmp_path):
+    chunks = spark.createDataFrame([("r", 0, 0, 120, 80, "p"), ("r", 1, 80, 200, 160, "p")], "rec_id string, chunk_ix int, start long, end long, next_start long, path string")
+    got = models.decode_chunks(chunks, lambda: chunk_model, lambda path, a, b: np.arange(a, b), 10).orderBy("chunk_ix", "pos").collect()
+    assert [(r.chunk_ix, r.chunk_start, r.id, r.start) for r in got][:2] == [(0, 0, 0, 0.0), (0, 0, 1, 1.0)] and [(r.pos, r.id, r.start) for r in got if r.chunk_ix == 1][:2] == [(0, 8, 0.0), (1, 9, 1.0)]
+    paths = spark.createDataFrame([("r", "p")], "rec_id string, path string")
+    s = models.decode_files(paths, lambda: lambda path, language, prompt: [{"start": 0.0, "end": 1.0, "text": f"{path}{language}{prompt}", "words": None}], "ur", "x").first().segments
+    assert [(x.text, x.words) for x in s] == [("purx", None)]
+    assert [tuple(r) for r in models.diarize(paths, diarizer).orderBy("start").collect()] == [("r", 0.0, 10.0, 0), ("r", 10.0, 40.0, 1)]
+    assert models.diarize(paths, lambda: lambda path: None).count() == 0
+
+
+def test_probes_by_row_and_sheets(spark, tmp_path):
+    p = tmp_path / "v.mov"
+    p.write_bytes(b"m")
+    ask = spark.createDataFrame([("a", str(p)), ("b", str(p) + "x")], "rec_id string, path string")
+    a, b = media.audio_streams(ask, Decoder()).orderBy("rec_id").collect()
+    assert (a.codec, a.sample_rate, a.channels, a.duration_s, a.error) == ("aac", 48_000, 2, 30.0, None) and b.codec is None and b.error.startswith("FileNotFoundError")
+    assert media.duration_of({"streams": [{"duration": "N/A"}, {"duration": "4.5"}], "format": {"duration": "9"}}) == 4.5
+    assert media.duration_of({"streams": [{}], "format": {"duration": "9"}}) == 9.0 and media.duration_of({"streams": [{}]}) is None
+    assert not media.has_video({"streams": [{"codec_type": "audio"}]}) and media.audio_of({"streams": [{"codec_name": "x"}], "format": {"duration": "?"}}).duration_s == 0.0
+    sheet = spark.createDataFrame([(1.5, 2, "x")], "Key double, Slidenumber int, Value string")
+    assert tuple(media.slides_from_table(sheet).first()) == (1.5, 2, "x")
+    assert tuple(media.slides_from_table(sheet.withColumnRenamed("Key", "Time")).first()) == (1.5, 2, "x")
+    with pytest.raises(ValueError, match="Time or Key"):
+        media.slides_from_table(sheet.drop("Key"))
+
+
+def test_grids_as_a_source(spark, tmp_path):
+    paths = [tmp_path / f"{k}.mov" for k in range(2)]
+    for p in paths:
+        p.write_bytes(b"m")
+    spark.dataSource.register(media.grid_source(Decoder, "testgrid"))
+    df = spark.read.format("testgrid").option("paths", ",".join(map(str, paths))).option("width", 3).option("height", 2).load()
+    assert df.count() == 24 and {len(r.tiles) for r in df.collect()} == {6} and df.rdd.getNumPartitions() == 2
+
+
+def test_numbers_of_chunks(spark):
+    from tideline.operators import chunks
+
+    for total in (0, 1, 80, 81, 300, 1_680_000):
+        rows = chunks.chunk_geometry(spark.createDataFrame([("r", total)], "rec_id string, total long"), 10, 12.0, 4.0).count()
+        assert rows == chunks.n_chunks(total, 10, 12.0, 4.0)
+    assert chunks.n_chunks(5_760_000) == 4
+    assert spark.range(1).select(evaluate.per_minute_budget(F.lit(150.0), 1.0), evaluate.per_minute_budget(F.lit(10.0), 1.0), evaluate.per_minute_budget(F.lit(210.0), 1.0)).first()[:] == (2, 2, 4)
