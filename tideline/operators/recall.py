@@ -13,7 +13,7 @@ FEW_ITEMS = 20_000
 
 def normalize(text: Column) -> Column:
     """Asterisks, pipes, hashes and backticks become spaces, white space one space; trimmed and lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[*|#`]", " "), r"[ \t\n\r\x0b\x0c]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.translate(text, "*|#`", "    "), r"[ \t\n\r\x0b\x0c]+", " ")))
 
 
 def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
