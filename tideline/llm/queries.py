@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, lines, lm, mixing, neardup, quality, substrings, toxicity, urls
+from . import bpe, fingerprints, infill, lines, lm, mixing, neardup, quality, resampling, substrings, toxicity, urls, windows
 from .common import table
 
 #: The rank file of the byte-level BPE queries; the operator takes any path.
@@ -26,8 +26,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": lambda s, d: lines.line_report(table(s, d, "documents")),
         "op9_fingerprints": lambda s, d: fingerprints.fingerprint_report(table(s, d, "documents")),
         "op10_repetition_rules": lambda s, d: quality.quality_report(table(s, d, "documents")).drop("longest_repeat"),
+        "op11_importance_resampling": lambda s, d: resampling.resampling_report(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op12_fill_in_middle": lambda s, d: infill.fill_in_middle_report(table(s, d, "documents")),
+        "op13_window_dedup": lambda s, d: windows.window_report(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_templates": urls.oracle(), "op3_minhash_near_dedup": neardup.oracle(), "op4_mixing": mixing.oracle(), "op8_line_dedup": lines.ORACLE, "op10_repetition_rules": quality.oracle()}
+    return {
+        "op2_url_templates": urls.oracle(), "op3_minhash_near_dedup": neardup.oracle(), "op4_mixing": mixing.oracle(), "op8_line_dedup": lines.ORACLE, "op10_repetition_rules": quality.oracle(),
+        "op11_importance_resampling": resampling.ORACLE, "op12_fill_in_middle": infill.ORACLE, "op13_window_dedup": windows.ORACLE,
+    }
