@@ -328,3 +328,15 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     for f in (quality.quality_filter, line_ops.line_dedup, neardup.keep_one, mixing.mix):
         assert f(odd).columns == odd.columns
     assert len(shingles("a b", 2)) == 1
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_stretches_that_cancel_out_modulo_two_to_the_64(spark, monkeypatch, hot):
+    """Thue-Morse runs of two bytes collide under any polynomial modulo 2**64: a document that differs loses nothing."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    prefix = "".join(random.Random(5).choices("cdefghij", k=200))
+    one, other = (prefix + "".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    got = {r.id: len(r.kept) for r in substrings.substring_dedup(df, length=1224).collect()}
+    assert got == {1: 1224, 2: 1224, 3: 0}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .tokens import mix64
+from .tokens import mix64, span_hashes
 
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 #: A random 64-bit value for each byte, and the odd base of the polynomial hash with its inverse modulo 2**64.
@@ -42,6 +42,25 @@ def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix64((sums[end] - sums[begin]) * Powers.down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Spans of this many bytes or more are hashed byte by byte: a polynomial modulo 2**64 has pairs that no table of values parts
+#: (runs of two bytes in the order of Thue and Morse), from 1,024 bytes on.
+LONG = 512
+
+
+def whole_hash(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Hashes of flat[begin:end] in which each byte counts by its place; spans may overlap and are laid out in pieces."""
+    out = np.empty(len(begin), np.uint64)
+    total = np.concatenate([[0], np.cumsum(end - begin)])
+    k = 0
+    while k < len(begin):
+        m = max(k + 1, int(np.searchsorted(total, total[k] + step, "right")) - 1)
+        at = total[k : m + 1] - total[k]
+        laid = flat[np.repeat(begin[k:m] - at[:-1], np.diff(at)) + np.arange(at[-1])]
+        out[k:m] = span_hashes(laid, at[:-1], at[1:])
+        k = m
+    return out
+
+
 def anchored_runs(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, key, context, doc) of runs of windows that one anchor owns.
 
@@ -79,4 +98,5 @@ def anchored_runs(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int)
     first = np.flatnonzero(new & inside)
     stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
     doc = np.searchsorted(offsets, first, "right") - 1
-    return first, stop, h[anchor[first]], span_hash(sums, first, stop + length), doc
+    context = span_hash(sums, first, stop + length) if length < LONG else whole_hash(flat, first, stop + length)
+    return first, stop, h[anchor[first]], context, doc

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import _BYTE, anchored_runs, gram_sums, span_hash
+from .anchors import _BYTE, LONG, anchored_runs, gram_sums, span_hash, whole_hash
 from .bwt import least_holders
 from .common import chunks_for
 from .tokens import buffer_of, mix64, pieces
@@ -84,7 +84,11 @@ def _runs(table: pa.Table, length: int, hot: np.ndarray | None = None) -> Runs:
             if is_hot.any():
                 n = (last - first + 1)[is_hot]
                 start = np.repeat(first[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                k, c = (span_hash(gram_sums(flat, x), start, start + length) for x in (_BYTE, _OTHER))
+                if length < LONG:
+                    k, c = (span_hash(gram_sums(flat, x), start, start + length) for x in (_BYTE, _OTHER))
+                else:
+                    k = whole_hash(flat, start, start + length)
+                    c = mix64(whole_hash(flat, start + 1, start + length) + flat[start])
                 first, last = np.concatenate([first[~is_hot], start]), np.concatenate([last[~is_hot], start])
                 key, context, doc = np.concatenate([key[~is_hot], k]), np.concatenate([context[~is_hot], c]), np.concatenate([doc[~is_hot], np.repeat(doc[is_hot], n)])
         got.append((np.full(len(first), p, np.int32), first, last, key, context, ids[doc]))
