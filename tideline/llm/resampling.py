@@ -34,11 +34,12 @@ def literal_array(values: list[int], kind: str) -> Column:
 def bucketed(text: Column, longest: int, buckets: int) -> tuple[Column, Column]:
     """(words, buckets of all features: runs of 1 to `longest` words joined by a space, each as often as it occurs)."""
     words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    features = [words]
-    for k in range(2, longest + 1):
-        run = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))
-        features.append(F.when(F.size(words) >= k, run).otherwise(F.array().cast("array<string>")))
-    every = F.concat(*features) if longest > 1 else words
+
+    def runs(k: int) -> Column:
+        run = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(F.size(words) >= k, run).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(words, *map(runs, range(2, longest + 1))) if longest > 1 else words
     return words, F.transform(every, lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int"))
 
 
