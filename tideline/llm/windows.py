@@ -1,9 +1,8 @@
 """Dedup of repeated word windows across and within documents, by Rabin-Karp hashes.
 
-Every window of a fixed number of words has a polynomial hash. The distinct hashes of a chunk of documents are counted in
-buckets of the hash space; what more than one chunk holds is told apart by a second hash; and as chunks are ranges in the
-order of ids, the chunk that comes first keeps a window. Windows that start earlier elsewhere merge into maximal intervals
-of words to remove.
+Every window of a fixed number of words has polynomial hashes. The distinct ones of a chunk of documents meet those of all
+other chunks in buckets of the hash space; as chunks are ranges in the order of ids, the first chunk that holds a window
+keeps it. Windows that start earlier elsewhere merge into maximal intervals of words to remove.
 """
 
 from __future__ import annotations
@@ -25,12 +24,12 @@ WINDOW = 20
 CHUNK = 32 << 20
 #: The prime and base of the first hash, and the odd base of the second, which is modulo 2**64.
 PRIME, BASE, BASE64 = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1), 0x9E3779B97F4A7C15
-#: Bits of a hash that travel beside its bucket.
-LOW = 40
+#: Bits of the first and of the second hash that travel, beside those that the bucket stands for.
+LOW, MORE = 40, 32
 
 _MESSAGE = "target int, sender int, kind int, a binary, b binary"
 _NAMES = ["target", "sender", "kind", "a", "b"]
-KEYS, SEVERAL, ENTRIES, EARLIER = range(4)
+KEYS, EARLIER = range(2)
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -111,25 +110,23 @@ def _by_key(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """(order, new): by both hashes and then by place, and where another window begins in that order."""
     order = np.argsort(first)
     f = first[order]
-    tied = np.zeros(len(f), bool)
-    tied[1:] = f[1:] == f[:-1]
-    tied[:-1] |= tied[1:]
-    some = order[tied]
-    order[tied] = some[np.lexsort((some, second[some], first[some]))]
-    s = second[order]
     new = np.ones(len(f), bool)
-    new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+    new[1:] = f[1:] != f[:-1]
+    tied = ~new
+    tied[:-1] |= tied[1:].copy()
+    place = np.cumsum(new)[tied] * len(f) + order[tied]  # equal ones by place
+    place.sort()
+    order[tied] = place % len(f)
+    s = second[order]
+    if (s[1:] != s[:-1])[~new[1:]].any():  # one first hash, several second ones
+        order = np.lexsort((np.arange(len(first)), second, first))
+        f, s = first[order], second[order]
+        new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
     return order, new
 
 
-def _codes(first: np.ndarray, buckets: int) -> np.ndarray:
-    """A window's bucket and the low bits of its hash in one number."""
-    return (((first >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW)) | (first & np.uint64((1 << LOW) - 1))
-
-
-def _cuts(codes: np.ndarray, buckets: int) -> list[int]:
-    """Where each bucket begins in sorted codes."""
-    return np.searchsorted(codes, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(LOW)).tolist()
+def _bucket(first: np.ndarray, buckets: int) -> np.ndarray:
+    return (first >> np.uint64(LOW)) % np.uint64(buckets)
 
 
 def _messages(target: list[int], sender: int, kind: int, a: list[bytes], b: list[bytes] | None = None) -> pa.Table:
@@ -143,85 +140,50 @@ def _read(table: pa.Table, kind: int) -> list[tuple[int, bytes, bytes]]:
     return sorted(zip(*(some.column(x).to_pylist() for x in ("sender", "a", "b")), strict=True), key=lambda x: x[0])
 
 
-def _flags(replies: pa.Table, kind: int, cut: list[int]) -> np.ndarray:
-    """What the buckets say of entries that are sorted by bucket: a bit each."""
-    out = np.zeros(cut[-1], bool)
-    for bucket, a, _ in _read(replies, kind):
-        n = cut[bucket + 1] - cut[bucket]
-        out[cut[bucket] : cut[bucket + 1]] = np.unpackbits(np.frombuffer(a, np.uint8), count=n)
-    return out
-
-
 def _number_of(table: pa.Table) -> int:
     return table.column(0)[0].as_py()
 
 
-def _shared(first: np.ndarray, n: int, replies: pa.Table) -> np.ndarray:
-    """Which windows of a chunk have a code that other chunks hold too."""
-    codes = _codes(first, n)
-    distinct = np.unique(codes)
-    flag = _flags(replies, SEVERAL, _cuts(distinct, n))
-    return flag[np.searchsorted(distinct, codes)] if len(distinct) else np.zeros(0, bool)
-
-
-def _entries(first: np.ndarray, second: np.ndarray, shared: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, new, entry): windows by key, where a new one begins, and the chunk's first windows of shared keys in the
-    order in which they are sent: by bucket, then by key."""
+def _own(first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(later, own, cut): the windows that the chunk itself holds before, the first ones of all others in the order in which
+    they are sent, by bucket and then by key, and where each bucket begins among these."""
     order, new = _by_key(first, second)
     own = order[new]
-    own = own[shared[own]]
-    bucket = _codes(first[own], n) >> np.uint64(LOW)
-    return order, new, own[np.argsort(bucket, kind="stable")]
+    bucket = _bucket(first[own], n)
+    bucket = bucket.astype(np.uint16) if n <= 1 << 16 else bucket
+    own = own[np.argsort(bucket, kind="stable")]
+    cut = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=n))]).tolist()
+    return order[~new], own, cut
 
 
 def repeated_windows(docs: DataFrame, n: int, finish, schema: str, k: int) -> DataFrame:
     """Runs finish(ids, words, gone) for the texts of each chunk, piece by piece; it gives a table of `schema`.
 
-    docs: (target, id, body, text as binary), target being the chunk, below n: a range of (id, body). gone says of each word whether it
-    lies in a window that also starts earlier. Texts are dealt to chunks once; from chunk to bucket go 5 bytes for each
-    distinct window, and 16 for each that several chunks may hold; back comes a bit. A window that a third of all documents
-    hold is one entry a chunk. There are never more messages than windows, and no more than chunks times chunks.
+    docs: (target, id, body, text as binary), target being the chunk, below n: a range of (id, body). gone says of each word
+    whether it lies in a window that also starts earlier. Texts are dealt to chunks once; from chunk to bucket go 9 bytes for
+    each distinct window, and back comes a bit, which says whether a chunk before holds it too. A window that a third of all
+    documents hold is one entry a chunk. There are never more messages than windows, and no more than chunks times chunks.
     """
 
     def keys(table: pa.Table) -> pa.Table:  # chunk: its distinct windows
         me = _number_of(table)
-        distinct = np.unique(_codes(_hashes(_sorted(table), k)[0], n))
-        cut = _cuts(distinct, n)
-        five = np.ascontiguousarray(distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8])
-        full = [b for b in range(n) if cut[b + 1] > cut[b]]
-        return _messages(full, me, KEYS, [five[cut[b] : cut[b + 1]].tobytes() for b in full])
-
-    def several(table: pa.Table) -> pa.Table:  # bucket: which windows more than one chunk holds
-        got = _read(table, KEYS)
-        wide = np.zeros((sum(len(a) for _, a, _ in got) // (LOW // 8), 8), np.uint8)
-        wide[:, : LOW // 8] = np.frombuffer(b"".join(a for _, a, _ in got), np.uint8).reshape(-1, LOW // 8)
-        code = wide.view("<u8").ravel()
-        order = np.argsort(code)
-        c = code[order]
-        same = np.zeros(len(c), bool)
-        same[1:] = c[1:] == c[:-1]
-        same[:-1] |= same[1:]
-        flag = np.empty(len(c), bool)
-        flag[order] = same
-        cut = np.cumsum([0, *(len(a) // (LOW // 8) for _, a, _ in got)])
-        return _messages([s for s, *_ in got], _number_of(table), SEVERAL, [np.packbits(flag[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
-
-    def entries(table: pa.Table, replies: pa.Table) -> pa.Table:  # chunk: both hashes of these
-        if not table.num_rows:
-            return _messages([], 0, 0, [])
         first, second = _hashes(_sorted(table), k)
-        _, _, own = _entries(first, second, _shared(first, n, replies), n)
-        cut = _cuts(_codes(first[own], n) & ~np.uint64((1 << LOW) - 1), n)
+        _, own, cut = _own(first, second, n)
+        five = np.ascontiguousarray(first[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8])
+        four = second[own].astype(np.uint32)
         full = [b for b in range(n) if cut[b + 1] > cut[b]]
-        return _messages(full, _number_of(table), ENTRIES, *([x[own[cut[b] : cut[b + 1]]].tobytes() for b in full] for x in (first, second)))
+        return _messages(full, me, KEYS, *([x[cut[b] : cut[b + 1]].tobytes() for b in full] for x in (five, four)))
 
     def earlier(table: pa.Table) -> pa.Table:  # bucket: which of them a chunk before holds
-        got = _read(table, ENTRIES)
-        first, second = (np.frombuffer(b"".join(x[i] for x in got), np.uint64) for i in (1, 2))
-        order, new = _by_key(first, second)  # senders come in order
-        flag = np.empty(len(first), bool)
+        got = _read(table, KEYS)
+        wide = np.zeros((sum(len(b) for _, _, b in got) // 4, 8), np.uint8)
+        wide[:, : LOW // 8] = np.frombuffer(b"".join(a for _, a, _ in got), np.uint8).reshape(-1, LOW // 8)
+        more = np.frombuffer(b"".join(b for _, _, b in got), np.uint32)
+        low = wide.view("<u8").ravel()
+        order, new = _by_key((low << np.uint64(24)) | (more >> np.uint32(8)), more)  # senders come in order
+        flag = np.empty(len(low), bool)
         flag[order] = ~new
-        cut = np.cumsum([0, *(len(a) // 8 for _, a, _ in got)])
+        cut = np.cumsum([0, *(len(b) // 4 for _, _, b in got)])
         return _messages([s for s, *_ in got], _number_of(table), EARLIER, [np.packbits(flag[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
 
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:  # chunk: what goes
@@ -229,11 +191,14 @@ def repeated_windows(docs: DataFrame, n: int, finish, schema: str, k: int) -> Da
             return _nothing(schema)
         table = _sorted(table)
         first, second = _hashes(table, k)
-        order, new, own = _entries(first, second, _shared(first, n, replies), n)
+        later, own, cut = _own(first, second, n)
         again = np.zeros(len(first), bool)
-        again[order[~new]] = True  # the chunk itself holds it before
-        again[own] |= _flags(replies, EARLIER, _cuts(_codes(first[own], n) & ~np.uint64((1 << LOW) - 1), n))
-        del first, second, order, new, own
+        del first, second
+        again[later] = True
+        for bucket, flags, _ in _read(replies, EARLIER):
+            some = own[cut[bucket] : cut[bucket + 1]]
+            again[some] = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(some))
+        del later, own
         out, at = [], 0
         for ids, texts in _texts(table):
             words = Words(texts, hashes=False)
@@ -246,10 +211,8 @@ def repeated_windows(docs: DataFrame, n: int, finish, schema: str, k: int) -> Da
         return pa.concat_tables(out)
 
     by = lambda df: df.groupBy("target")
-    several_ = by(by(docs).applyInArrow(tidy_group(keys), _MESSAGE)).applyInArrow(tidy_group(several), _MESSAGE)
-    sent = by(docs).cogroup(by(several_)).applyInArrow(tidy_groups(entries), _MESSAGE)
-    earlier_ = by(sent).applyInArrow(tidy_group(earlier), _MESSAGE)
-    return by(docs).cogroup(by(several_.unionByName(earlier_))).applyInArrow(tidy_groups(cover), schema)
+    replies = by(by(docs).applyInArrow(tidy_group(keys), _MESSAGE)).applyInArrow(tidy_group(earlier), _MESSAGE)
+    return by(docs).cogroup(by(replies)).applyInArrow(tidy_groups(cover), schema)
 
 
 def _nothing(schema: str) -> pa.Table:
@@ -311,7 +274,7 @@ def window_dedup(docs: DataFrame, k: int = WINDOW, doc: str = "doc_id", text: st
     of a hash of their text, and of equal rows one keeps what the others lose. A null text has no words, and texts of fewer
     words than a window lose none. Texts of any length are read whole. An empty table gives an empty one. Ids may have any
     type that can be ordered and written as JSON. Other columns take no part, whatever their names. Equal windows are told by 125
-    bits of hash.
+    bits of hash within a chunk, across chunks by 72 and those that the number of buckets adds.
     """
     _check(k)
 
