@@ -26,9 +26,11 @@ def recording_totals(slides: DataFrame) -> DataFrame:
 
 
 def corpus_totals(slides: DataFrame) -> DataFrame:
-    """(kind, recordings, changes, hours): by kind, and over all kinds in the row `all`; hours of the recordings counted."""
-    last = slides.dropna(subset=["time", "slide"]).groupBy("rec_id").agg(F.max("time").alias("duration"))
-    per = change_points(slides).groupBy("rec_id", "kind").agg(F.count("*").alias("n")).join(last, "rec_id")
-    by_kind = per.groupBy("kind").agg(F.count("*").alias("recordings"), F.sum("n").alias("changes"), F.sum("duration").alias("s"))
-    every = per.groupBy("rec_id", "duration").agg(F.sum("n").alias("n")).agg(F.lit("all").alias("kind"), F.count("*").alias("recordings"), F.coalesce(F.sum("n"), F.lit(0)).alias("changes"), F.sum("duration").alias("s"))
+    """(kind, recordings, changes, hours): by kind, the recordings that have such a change, and in the row `all` every
+    recording, with its hours, also one that never changes."""
+    x = slides.dropna(subset=["time", "slide"])
+    last = x.groupBy("rec_id").agg(F.max("time").alias("duration"))
+    per = last.join(change_points(slides).groupBy("rec_id", "kind").agg(F.count("*").alias("n")), "rec_id", "left")
+    by_kind = per.where("kind is not null").groupBy("kind").agg(F.count("*").alias("recordings"), F.sum("n").alias("changes"), F.sum("duration").alias("s"))
+    every = per.groupBy("rec_id", "duration").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).agg(F.lit("all").alias("kind"), F.count("*").alias("recordings"), F.coalesce(F.sum("n"), F.lit(0)).alias("changes"), F.sum("duration").alias("s"))
     return by_kind.unionByName(every).select("kind", "recordings", "changes", F.round(F.col("s") / 3600.0, 6).alias("hours"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import differing, successive
+
 
 def guard(fps: float = 1.0, budget: int = 0, min_gap_s: float = 0.0, delta: int = 0) -> None:
     if not fps > 0:
@@ -30,54 +31,144 @@ def change_scores(frames: DataFrame, delta: int = 8) -> DataFrame:
 
 
 def change_scores_binary(frames: DataFrame, delta: int = 8) -> DataFrame:
-    """The same for tiles as BINARY, a byte per tile. Recordings are dealt to partitions and sorted, and frames are compared a
-    few hundred at a time as they stream by, the last one carried on, so a frame is sent once and none is kept."""
+    """The same for tiles as BINARY, a byte per tile: frames are compared where they are, and only those at the ends of batches
+    are sent on."""
     guard(delta=delta)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rec, last = None, None
-        for batch in batches:
-            recs, at, tiles = (batch.column(k).to_pylist() for k in range(3))
-            ids, where, scores = [], [], []
-            k = 0
-            while k < len(recs):
-                m = k + 1
-                while m < len(recs) and m < k + 256 and recs[m] == recs[k]:
-                    m += 1
-                some = ([last] if recs[k] == rec and last is not None else []) + tiles[k:m]
-                if len({len(x) for x in some}) > 1:
-                    raise ValueError("frames of one recording differ in size")
-                x = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1)
-                differ = np.maximum(x[1:], x[:-1]) - np.minimum(x[1:], x[:-1])  # of bytes, without widening them
-                scores += np.count_nonzero(differ > min(delta, 255), axis=1).tolist()
-                ids += recs[m - len(some) + 1 : m]
-                where += [i - 1 for i in at[m - len(some) + 1 : m]]
-                rec, last, k = recs[m - 1], tiles[m - 1], m
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(where, pa.int32()), pa.array(scores, pa.int32())], ["rec_id", "i", "score"])
-
-    dealt = frames.select("rec_id", F.col("frame_ix").cast("int"), "tiles").repartition("rec_id").sortWithinPartitions("rec_id", "frame_ix")
-    return dealt.mapInArrow(run, f"rec_id {frames.schema['rec_id'].dataType.simpleString()}, i int, score int")
-
-
-def select_marks(scores: DataFrame, fps: float = 1.0, budget: int | Column = 40, min_gap_s: float = 5.0) -> DataFrame:
+    def count(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.count_nonzero(differing(a, b, delta), axis=1), pa.int32())]
+
+    return successive(frames, count, "score int")
+
+
+#: Steps of a block of scores, and by how much blocks grow for what a smaller one leaves open.
+BLOCK_STEPS, GROWTH = 4_096, 64
+
+
+def _reach(fps: float, min_gap_s: float) -> int:
+    """The greatest distance in steps that is too near; a distance in seconds is steps times 1 / fps."""
+    n = max(0, int(min_gap_s * fps) - 2)
+    while (n + 1) * (1.0 / fps) < min_gap_s:
+        n += 1
+    return n
+
+
+def _spaced(i: np.ndarray, s: np.ndarray, taken: np.ndarray, lo: int | None, hi: int | None, reach: int) -> np.ndarray:
+    """1 for elements that the greedy choice takes, 2 for those that it leaves, 0 where that hangs on what lies outside of
+    places lo to hi (None: nothing does). i ascends; `taken` are known to be.
+
+    By falling score, equal ones by place: an element goes in unless one that is in, or may be, lies within reach.
+    """
+    out = np.zeros(len(i), np.int8)
+    base = int(i[0]) - reach if len(i) else 0
+    span = (int(i[-1]) - base + reach + 1) if len(i) else 0
+    dense = span <= 64 * len(i) + 4096
+    place = i - base if dense else None
+    left, right = np.searchsorted(i, i - reach, "left"), np.searchsorted(i, i + reach, "right")
+    near = np.zeros(span if dense else len(i), bool)  # one that is in lies within reach
+    doubt = np.zeros(span if dense else len(i), bool)  # one that may be in does, or what lies outside
+    spot = place if dense else np.arange(len(i))
+    if lo is not None:
+        doubt[spot[i - reach < lo]] = True
+    if hi is not None:
+        doubt[spot[i + reach > hi]] = True
+    spots, starts, ends = spot.tolist(), left.tolist(), right.tolist()
+
+    def mark(flags: np.ndarray, k: int) -> None:
+        if dense:
+            flags[spots[k] - reach if spots[k] > reach else 0 : spots[k] + reach + 1] = True
+        else:
+            flags[starts[k] : ends[k]] = True
+
+    for k in np.flatnonzero(taken).tolist():
+        out[k] = 1
+        mark(near, k)
+    for k in np.lexsort((i, -s)).tolist():
+        if out[k]:
+            continue
+        at = spots[k]
+        if near[at]:
+            out[k] = 2
+        elif doubt[at]:
+            mark(doubt, k)
+        else:
+            out[k] = 1
+            mark(near, k)
+    return out
+
+
+def _peeled(elements: DataFrame, steps: int | None, reach: int, kind: str) -> DataFrame:
+    """One round over blocks of `steps` (None: whole recordings): (rec_id, i, score, state) of elements that it takes (1), that
+    were taken before (2) or that are open still (0). elements: the same columns. Blocks also see their neighbours' elements
+    for some reaches beyond."""
+    halo = 8 * reach
+    width = max(steps, 4 * halo) if steps else None
+    if width:
+        block = F.expr(f"i div {width}L")
+        at = F.col("i") - block * width
+        near = F.array_compact(F.array(block, F.when(at < halo, block - 1), F.when(at >= width - halo, block + 1)))
+        x = elements.withColumn("block", F.explode(near))
+    else:
+        x = elements.withColumn("block", F.lit(0).cast("long"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[("i", "ascending")]))
+        i, s = (table.column(c).to_numpy() for c in ("i", "score"))
+        i, s = i.astype(np.int64), s.astype(np.int64)
+        block = table.column("block")[0].as_py()
+        a, b = (block * width, (block + 1) * width) if width else (None, None)
+        known = table.column("state").to_numpy() > 0
+        out = _spaced(i, s, known, a - halo if width and block else None, b + halo - 1 if width else None, reach)
+        own = (out < 2) & ((i >= a) & (i < b) if width else True)
+        return pa.table([table.column("rec_id").filter(pa.array(own)), table.column("i").filter(pa.array(own)), table.column("score").filter(pa.array(own)), pa.array(out[own] + known[own], pa.int8())], ["rec_id", "i", "score", "state"])
+
+    return x.groupBy("rec_id", "block").applyInArrow(run, f"rec_id {kind}, i int, score int, state tinyint")
+
+
+def spaced(scores: DataFrame, fps: float, min_gap_s: float, block_steps: int = BLOCK_STEPS) -> DataFrame:
+    """(rec_id, i, score) of all positive scores that the greedy choice takes: by falling score, equal ones by time, each if it
+    is min_gap_s or more from all taken before.
+
+    What is greatest within its reach is taken wherever it is, so blocks of a recording decide side by side, with some of
+    their neighbours' scores in view. What hangs on places further away, as along a slope that rises through a block, stays
+    open; blocks some times as long settle it, and whole recordings what they leave, with nothing else in them.
+    """
+    reach = _reach(fps, min_gap_s)
+    kind = scores.schema["rec_id"].dataType.simpleString()
+    x = scores.where("score > 0").select("rec_id", F.col("i").cast("int"), F.col("score").cast("int"), F.lit(0).cast("tinyint").alias("state"))
+    if not reach:
+        return x.drop("state")
+    out = None
+    for steps in (block_steps, block_steps * GROWTH, None):
+        done = _peeled(x, steps, reach, kind).withColumn("open", F.max(F.col("state") == 0).over(Window.partitionBy("rec_id")))
+        taken = done.where("state = 1").select("rec_id", "i", "score")
+        out = taken if out is None else out.unionByName(taken)
+        if steps:  # what is open may be near what was taken beyond its block's border, never near what was taken within
+            width = max(steps, 32 * reach)
+            border = F.least(F.expr(f"i % {width}"), width - 1 - F.expr(f"i % {width}")) < reach
+            x = done.where(F.col("open") & ((F.col("state") == 0) | border)).select("rec_id", "i", "score", (2 * F.least("state", F.lit(1))).cast("tinyint").alias("state"))
+    return out
+
+
+def select_marks(scores: DataFrame, fps: float = 1.0, budget: int | Column = 40, min_gap_s: float = 5.0, block_steps: int = BLOCK_STEPS) -> DataFrame:
     """(rec_id, t, score, look): the greatest scores that keep min_gap_s apart, in time order.
 
     scores: (rec_id, i, score). Scores are taken by falling value, equal ones by time, each if it is min_gap_s or more from
     all taken before (a distance is steps times 1 / fps). Zero scores are never taken, so budget is a ceiling; it may be a
-    column that is constant within a recording. look lies midway to the next mark, after the last one to the end.
+    column that is constant within a recording. look lies midway to the next mark, after the last one to the end. The budget
+    cuts the whole choice by rank, as taking one never hangs on lesser ones: first in blocks, then in recordings.
     """
     guard(fps, budget if isinstance(budget, int) else 0, min_gap_s)
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    step, gap = F.lit(1.0 / fps), F.lit(float(min_gap_s))
-    by = scores.groupBy("rec_id").agg(
-        F.count("*").alias("n"), F.max(limit).alias("budget"), F.array_sort(F.collect_list(F.when(F.col("score") > 0, F.struct((-F.col("score")).alias("s"), F.col("i").alias("i"))))).alias("ranked")
-    )
-    far = lambda acc, x: F.forall(acc, lambda p: F.abs(p["i"] - x["i"]).cast("double") * step >= gap)
-    none = F.array().cast("array<struct<s:int,i:int>>")
-    taken = F.aggregate("ranked", none, lambda acc, x: F.when((F.size(acc) < F.col("budget")) & far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    taken = by.select("rec_id", "n", F.explode(taken).alias("m"))
-    t = (F.col("m.i") + 1) / F.lit(float(fps))
-    marks = taken.select("rec_id", "n", t.alias("t"), (-F.col("m.s")).alias("score"))
+    of = scores.groupBy("rec_id").agg(F.count("*").alias("n"), F.max(limit).alias("budget"))
+    best = [F.desc("score"), F.col("i")]
+    taken = spaced(scores, fps, min_gap_s, block_steps).withColumn("block", F.expr(f"i div {block_steps}"))
+    taken = taken.withColumn("k", F.row_number().over(Window.partitionBy("rec_id", "block").orderBy(*best)))
+    if isinstance(budget, int):
+        taken = taken.where(F.col("k") <= budget)
+    taken = taken.join(of, "rec_id").where(F.col("k") <= F.col("budget"))
+    taken = taken.withColumn("k", F.row_number().over(Window.partitionBy("rec_id").orderBy(*best))).where(F.col("k") <= F.col("budget"))
+    marks = taken.select("rec_id", "n", ((F.col("i") + 1) / F.lit(float(fps))).alias("t"), "score")
     end = F.coalesce(F.lead("t").over(Window.partitionBy("rec_id").orderBy("t")), F.col("n") / F.lit(float(fps)))
     return marks.select("rec_id", "t", "score", ((F.col("t") + end) / 2).alias("look"))
 

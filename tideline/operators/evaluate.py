@@ -5,51 +5,38 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .changes import changed
+from .blocks import BLOCK_S, around
+from .pairs import chosen, differing, successive
 
 
-def segment_of(points: DataFrame, bounds: DataFrame) -> DataFrame:
+def segment_of(points: DataFrame, bounds: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
     """points (rec_id, t, ...) with segment and sample: the last bound (rec_id, b, sample) up to t, else the first one."""
-    w = Window.partitionBy("rec_id").orderBy("t", "side")
-    bound = F.struct(F.col("b").alias("b"), F.col("sample").alias("sample"))
-    p = points.select("rec_id", "t", F.lit(1).alias("side"), F.lit(None).cast("struct<b:double,sample:double>").alias("bound"), F.struct(*points.columns).alias("point"))
-    q = bounds.select("rec_id", F.col("b").alias("t"), F.lit(0).alias("side"), bound.alias("bound"), F.lit(None).cast(p.schema["point"].dataType).alias("point"))
-    u = p.unionByName(q)
-    last = F.last("bound", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("bound", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    u = u.withColumn("seg", F.coalesce(last, first)).where("side = 1 and seg is not null")
-    return u.select("point.*", F.col("seg.b").alias("segment"), F.col("seg.sample").alias("sample"))
-
-
-def nearest_distance(points: DataFrame, targets: DataFrame) -> DataFrame:
+    x = around(points, bounds.select("rec_id", "b", "sample"), "b", block_s).withColumn("prev", F.coalesce("prev", "next")).where("prev is not null")
+    return x.select(*[F.col(f"`{c}`") for c in points.columns], F.col("prev.b").cast("double").alias("segment"), F.col("prev.sample").cast("double").alias("sample"))
+
+
+def nearest_distance(points: DataFrame, targets: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
     """targets (rec_id, t) with distance to the nearest point (rec_id, t): the one before or the one after by one sort."""
-    w = Window.partitionBy("rec_id").orderBy("t", "side")
-    u = points.select("rec_id", "t", F.lit(0).alias("side")).unionByName(targets.select("rec_id", "t", F.lit(1).alias("side")))
-    p = F.when(F.col("side") == 0, F.col("t"))
-    u = u.withColumn("a", F.last(p, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("b", F.first(p, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return u.where("side = 1").select("rec_id", "t", F.least(F.col("t") - F.col("a"), F.col("b") - F.col("t")).alias("distance")).where("distance is not null")
+    x = around(targets.select("rec_id", "t"), points.select("rec_id", F.col("t").alias("m")), "m", block_s)
+    return x.select("rec_id", "t", F.least(F.col("t") - F.col("prev.m"), F.col("next.m") - F.col("t")).alias("distance")).where("distance is not null")
 
 
-def interval_distance(marks: DataFrame, intervals: DataFrame) -> DataFrame:
+def interval_distance(marks: DataFrame, intervals: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
     """intervals (rec_id, lo, hi) with distance: 0 if a mark (rec_id, t) lies in the closed interval, else to the nearer end.
 
     The mark nearest to an interval is inside, the last one before lo or the first one after hi; the last mark up to hi
     and the first one after it are enough.
     """
-    w = Window.partitionBy("rec_id").orderBy("t", "side")
-    u = marks.select("rec_id", "t", F.lit(0).alias("side"), F.lit(None).cast("double").alias("lo")).unionByName(intervals.select("rec_id", F.col("hi").alias("t"), F.lit(1).alias("side"), "lo"))
-    p = F.when(F.col("side") == 0, F.col("t"))
-    u = u.withColumn("a", F.last(p, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("b", F.first(p, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    before = F.when(F.col("a").isNotNull(), F.greatest(F.lit(0.0), F.col("lo") - F.col("a")))
-    d = F.least(before, F.col("b") - F.col("t"))
-    return u.where("side = 1").select("rec_id", "lo", F.col("t").alias("hi"), d.alias("distance")).where("distance is not null")
+    x = around(intervals.select("rec_id", "lo", F.col("hi").alias("t")), marks.select("rec_id", F.col("t").alias("m")), "m", block_s)
+    before = F.when(F.col("prev").isNotNull(), F.greatest(F.lit(0.0), F.col("lo") - F.col("prev.m")))
+    return x.select("rec_id", "lo", F.col("t").alias("hi"), F.least(before, F.col("next.m") - F.col("t")).alias("distance")).where("distance is not null")
 
 
 def hit_summary(distances: DataFrame, tolerance: float = 2.0) -> DataFrame:
@@ -57,22 +44,27 @@ def hit_summary(distances: DataFrame, tolerance: float = 2.0) -> DataFrame:
     return distances.groupBy("rec_id").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.round(F.avg((F.col("distance") <= tolerance).cast("int")), 6).alias("hit_rate"))
 
 
+def _share(a: np.ndarray, b: np.ndarray, delta: int) -> np.ndarray:
+    return np.count_nonzero(differing(a, b, delta), axis=1) / max(a.shape[1], 1)
+
+
 def instability(frames: DataFrame, delta: int = 8) -> DataFrame:
     """(rec_id, second, instability): mean share of tiles that change from the frame before and to the one after; seconds
-    without both are left out."""
-    w = Window.partitionBy("rec_id").orderBy("frame_ix")
-    x = frames.withColumns({"a": F.lag("tiles").over(w), "b": F.lead("tiles").over(w)}).where("a is not null and b is not null")
-    share = lambda o: changed(F.col("tiles"), F.col(o), delta) / F.size("tiles")
-    return x.select("rec_id", F.col("frame_ix").alias("second"), F.round((share("a") + share("b")) / 2, 9).alias("instability"))
+    without both are left out. Frames are compared once, and the shares, a number a pair, are put beside each other."""
+    shares = successive(frames, lambda a, b: [pa.array(_share(a, b, delta))], "share double")
+    following = F.lead("share").over(Window.partitionBy("rec_id").orderBy("i"))
+    x = shares.withColumn("following", following).where("following is not null")
+    return x.select("rec_id", (F.col("i") + 1).alias("second"), F.round((F.col("share") + F.col("following")) / 2, 9).alias("instability"))
 
 
 def same_screen(frames: DataFrame, pairs: DataFrame, delta: int = 8) -> DataFrame:
-    """pairs (rec_id, a, b, ...) with same: the share of tiles that agree within delta; indices beyond the last are the last."""
+    """pairs (rec_id, a, b, ...) with same: the share of tiles that agree within delta; indices beyond the last are the last.
+    Equal pairs are compared once, and a frame is sent once to each block of pairs that name it."""
     n = frames.groupBy("rec_id").agg(F.max("frame_ix").alias("n"))
     p = pairs.join(n, "rec_id").withColumns({"fa": F.least(F.col("a").cast("int"), F.col("n")), "fb": F.least(F.col("b").cast("int"), F.col("n"))})
-    f = lambda c, as_: frames.select("rec_id", F.col("frame_ix").alias(c), F.col("tiles").alias(as_))
-    j = p.join(f("fa", "ta"), ["rec_id", "fa"]).join(f("fb", "tb"), ["rec_id", "fb"])
-    return j.withColumn("same", 1 - changed(F.col("ta"), F.col("tb"), delta) / F.size("ta")).drop("n", "fa", "fb", "ta", "tb")
+    met = chosen(frames, p.select("rec_id", F.col("fa").alias("a"), F.col("fb").alias("b")), lambda a, b: [pa.array(1 - _share(a, b, delta))], "same double")
+    met = met.select("rec_id", F.col("a").alias("fa"), F.col("b").alias("fb"), "same")
+    return p.join(met, ["rec_id", "fa", "fb"]).select(*[F.col(c) for c in pairs.columns], "same")
 
 
 def coverage(frames: DataFrame, marks: DataFrame, delta: int = 8) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words of an item by which texts are looked up, and letters of a short one.
 PROBE = 3
-#: Items that are sent to the texts; some hundred bytes each.
-FEW_ITEMS = 20_000
+#: Items that are sent to the texts, and their characters, for each of which an automaton takes some fifty bytes in a worker.
+FEW_ITEMS, FEW_CHARS = 20_000, 2_000_000
 
 
 def normalize(text: Column) -> Column:
@@ -19,50 +24,61 @@ def normalize(text: Column) -> Column:
 def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the normalised text (doc_id, text) holds the normalised item (item_id, text).
 
-    Only an item's first and last word may be part of a longer one, so inner words are looked up whole: the hash of an item's
-    second to fourth word is looked for among the three-word runs of a text, and what meets is compared. Items of fewer than
-    five words have no such run; of these the first three characters are looked for among a text's characters.
-
-    Items are counted first. Up to FEW_ITEMS of them go to where the texts are, with a bitmap of their hashes, so that texts
-    are read once and are not sent; more are joined by hash.
+    Items are counted first. Up to FEW_ITEMS of them, of FEW_CHARS characters in all, go to where the texts are, as one
+    automaton that finds all of them in a text in one pass, so texts are read once and are not sent. More are joined by hash:
+    only an item's first and last word may be part of a longer one, so inner words are looked up whole, by the hash of an
+    item's second to fourth word among the three-word runs of a text, and what meets is compared. Items of fewer than five
+    words have no such run; of these the first three characters are looked for among a text's characters.
     """
     t = texts.select("doc_id", F.coalesce(normalize(F.col("text")), F.lit("")).alias("body"))
-    i = items.select("item_id", normalize(F.col("text")).alias("want")).where("want <> ''").withColumn("w", F.split("want", " "))
+    i = items.select("item_id", normalize(F.col("text")).alias("want")).where("want <> ''")
+    n, chars = i.agg(F.count("*"), F.coalesce(F.sum(F.char_length("want")), F.lit(0))).first()
+    return _by_automaton(t, i) if n <= FEW_ITEMS and chars <= FEW_CHARS else _by_hash(t, i.withColumn("w", F.split("want", " ")))
+
+
+def _by_automaton(t: DataFrame, i: DataFrame) -> DataFrame:
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for x, c in ((i, "item_id"), (t, "doc_id")))
+    wanted: dict[str, list[Any]] = {}
+    for item, want in i.collect():  # no more than FEW_ITEMS
+        wanted.setdefault(want, []).append(item)
+    held = t.sparkSession.sparkContext.broadcast(wanted) if wanted else None
+    if held is None:
+        return t.where(F.lit(False)).select(F.lit(None).cast(i.schema["item_id"].dataType).alias("item_id"), "doc_id")
+    item_type = to_arrow_type(i.schema["item_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        all_items = list(held.value.values())
+        automaton = ahocorasick.Automaton()
+        for k, want in enumerate(held.value):
+            automaton.add_word(want, k)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                for k in {k for _, k in automaton.iter(body)}:
+                    found += all_items[k]
+                    at += [row] * len(all_items[k])
+            yield pa.RecordBatch.from_arrays([pa.array(found, item_type), batch.column(0).take(pa.array(at, pa.int64()))], ["item_id", "doc_id"])
+
+    return t.mapInArrow(run, kinds)
+
+
+def _by_hash(t: DataFrame, i: DataFrame) -> DataFrame:
     gram = lambda w, k: F.xxhash64(*[F.get(w, k + j) for j in range(PROBE)])
     is_long = F.size("w") >= PROBE + 2
-    n, n_long = i.agg(F.count("*"), F.count_if(is_long)).first()
     long = i.where(is_long).select("item_id", "want", gram(F.col("w"), F.lit(1)).alias("gram"))
     short = i.where(~is_long).select("item_id", "want", F.substring("want", 1, PROBE).alias("gram"))
-    # the words are a column: inside the lambda they would be split anew for each run
+    # words and characters are columns: inside the lambda they would be split anew for each run
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - PROBE, F.lit(0))), lambda k: gram(F.col("w"), k))
-    found = []
-    if n_long and n <= FEW_ITEMS:
-        bits = 10 + max(0, (n_long - 1).bit_length() - 4)  # 64 bits an item at least, and 1024 words of 64
-        words = [0] * (1 << bits)
-        for r in long.select("gram").distinct().collect():  # no more than FEW_ITEMS
-            words[r["gram"] & ((1 << bits) - 1)] |= 1 << (r["gram"] >> bits & 63)
-        bitmap = F.lit([x - (1 << 64) if x >> 63 else x for x in words]).cast("array<bigint>")
-        maybe = lambda g: F.getbit(F.get(bitmap, g.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.shiftright(g, bits).bitwiseAND(F.lit(63)).cast("int")) == 1
-        some = t.withColumn("w", F.split("body", " ")).select("doc_id", "body", F.explode(F.array_distinct(F.filter(runs, maybe))).alias("gram"))
-        meets = some.join(F.broadcast(long), "gram")
-        found.append(meets.where(F.contains("body", "want")).select("item_id", "doc_id"))
-    elif n_long:
-        meets = t.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(F.array_distinct(runs)).alias("gram")).join(long.select("item_id", "gram"), "gram")
-        hits = meets.select("doc_id", "item_id").distinct().join(long.select("item_id", "want"), "item_id").join(t, "doc_id")
-        found.append(hits.where(F.contains("body", "want")).select("item_id", "doc_id"))
-    if n > n_long:
-        at = F.sequence(F.lit(1), F.greatest(F.char_length("body"), F.lit(1)))
-        cut = lambda m: F.transform(at, lambda k: F.substring(F.col("body"), k, F.lit(m)))
-        letters = F.array_distinct(F.flatten(F.array(*[cut(m) for m in range(1, PROBE + 1)])))
-        few = F.broadcast(short) if n <= FEW_ITEMS else short
-        meets = t.select("doc_id", F.explode(letters).alias("gram")).join(few, "gram").select("doc_id", "item_id", "want")
-        found.append(meets.join(t, "doc_id").where(F.contains("body", "want")).select("item_id", "doc_id"))
-    if not found:
-        return i.join(t, F.lit(False)).select("item_id", "doc_id")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    at = F.sequence(F.lit(1), F.greatest(F.size("c"), F.lit(1)))
+    cut = lambda m: F.transform(at, lambda k: F.array_join(F.slice("c", k, m), ""))
+    letters = F.array_distinct(F.flatten(F.array(*map(cut, range(1, PROBE + 1)))))
+    meets = t.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(F.array_distinct(runs)).alias("gram")).join(long.select("item_id", "gram"), "gram")
+    brief = t.withColumn("c", F.split("body", "")).select("doc_id", F.explode(letters).alias("gram")).join(short.select("item_id", "gram"), "gram")
+    hits = meets.unionByName(brief).select("doc_id", "item_id").distinct().join(i.select("item_id", "want"), "item_id").join(t, "doc_id")
+    return hits.where(F.contains("body", "want")).select("item_id", "doc_id")
 
 
 def missed_items(texts: DataFrame, items: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import changepoints, changes, chunks, detectors, document, evaluate, recall, sentences, speakers, stitch
-from ..streaming import resume
+from ..streaming import checkpoints, resume, stateful
 from . import adapters as A
 
 #: Change threshold, marks per recording and their spacing in the queries.
@@ -47,7 +47,11 @@ def _sentence_spans(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tv(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: f(A.tokens(s, d), A.turns(s, d))
+    return lambda s, d: f(A.tokens(s, d), A.turns(s, d), A.WEEK)
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return speakers.label_sentences(A.tokens(s, d), A.turns(s, d), A.WEEK)
 
 
 def _token_points(s: SparkSession, d: str) -> DataFrame:
@@ -59,7 +63,7 @@ def _hashes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _overlap(s: SparkSession, d: str) -> DataFrame:
-    return speakers.overlap_labels(_sentence_spans(s, d), A.turns(s, d))
+    return speakers.overlap_labels(_sentence_spans(s, d), A.turns(s, d), A.WEEK)
 
 
 def _word_tokens(s: SparkSession, d: str) -> DataFrame:
@@ -119,6 +123,30 @@ def _chunked(s: SparkSession, d: str) -> DataFrame:
     return one.withColumn("chunk_ix", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("start") - 11) / 8)), F.floor(F.col("start") / 8)))).withColumn("pos", F.col("start").cast("int"))
 
 
+def _stateful(s: SparkSession, d: str) -> DataFrame:
+    """The same chunks, in the order in which Spark hands them over, through keyed state."""
+    x = stitch.chunk_lists(_chunked(s, d))
+    n = F.count("*").over(Window.partitionBy("rec_id")).cast("int")
+    return stateful.stitched(stateful.stitch_log(x.select("rec_id", "chunk_ix", n.alias("n_chunks"), "tokens"), overlap_s=4.0))
+
+
+def _checkpoints(s: SparkSession, d: str) -> DataFrame:
+    """A checkpoint for each document, most of them void in one way or another, by its number; what each is judged."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 16
+    name = F.concat(F.lit("/media/"), F.coalesce("source", F.lit("none")))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    of = text('{"media": "', name, '", "size": ', F.when(k == 6, F.concat(i, F.lit(".0"))).when(k == 1, "-1").otherwise(i), F.when(k == 2, "").otherwise(', "chunk_s": 120'), F.when(k == 3, ', "more": 1').otherwise(""), "}")
+    start = F.when(k == 4, F.concat(F.lit('"'), i, F.lit('"'))).when(k == 5, F.concat(i, F.lit(".0"))).when(k == 7, "true").otherwise(i)
+    first = F.when(k == 8, '{"id": 1, "text": "a", "start": 0, "duration": 1}').when(k == 9, '{"id": 1.5, "text": "a", "start": 0, "duration": 1, "confidence": 1}').when(k == 10, "7").when(k == 11, '{"id": 1, "text": 2, "start": 0, "duration": 1, "confidence": 1}')
+    first = first.otherwise(text('{"id": ', i, ', "text": " a", "start": ', (F.col("doc_id") % 7).cast("string"), '.25, "duration": 1, "confidence": 0.5}'))
+    tokens = F.when(k == 12, '"nope"').when(k == 13, "[]").otherwise(text("[", first, ', {"id": 2, "text": "b", "start": 1, "duration": 0.5, "confidence": 1}]'))
+    doc = F.when(k == 14, "{").otherwise(text('{"fingerprint": ', of, ', "next_start": ', start, ', "tokens": ', tokens, "}"))
+    wanted = F.struct(name.alias("media"), F.col("doc_id").alias("size"), F.lit(120.0).alias("chunk_s"))
+    x = A.table(s, d, "documents").select(F.col("doc_id").alias("rec_id"), F.when(k != 15, doc).alias("document"), wanted.alias("fingerprint"))
+    seconds = F.aggregate("tokens", F.lit(0.0), lambda a, t: a + t["start"] + t["duration"])
+    return checkpoints.judged(x).select("rec_id", "void", "next_start", F.size("tokens").alias("n_tokens"), F.round(seconds, 6).alias("seconds"))
+
+
 def _shifted(s: SparkSession, d: str) -> DataFrame:
     """Tokens in their chunk's own time, moved to the recording's."""
     x = _chunked(s, d).withColumn("chunk_start", F.col("chunk_ix") * 128_000).withColumn("start", F.col("start") - F.col("chunk_ix") * 8)
@@ -197,17 +225,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mark_gaps": lambda s, d: changes.mark_gaps(_event_marks(s, d)),
     "mark_bucket_counts": lambda s, d: changes.marks_per_bucket(_event_marks(s, d), 20.0),
     "score_percentiles": lambda s, d: changes.score_percentiles(A.event_scores(s, d)),
-    "asof_speaker": lambda s, d: speakers.speaker_at(_token_points(s, d), A.turns(s, d)),
-    "nearest_speaker": lambda s, d: speakers.nearest_speaker(_token_points(s, d), A.turns(s, d)),
+    "asof_speaker": lambda s, d: speakers.speaker_at(_token_points(s, d), A.turns(s, d), A.WEEK),
+    "nearest_speaker": lambda s, d: speakers.nearest_speaker(_token_points(s, d), A.turns(s, d), A.WEEK),
     "speaker_vote": _tv(speakers.label_sentences),
     "vote_census": _tv(speakers.vote_census),
     "vote_margins": _tv(speakers.vote_margins),
     "speaker_wins": _tv(speakers.sentences_per_speaker),
     "speaker_totals": lambda s, d: speakers.seconds_per_speaker(A.turns(s, d)),
-    "speaker_runs": lambda s, d: speakers.speaker_runs(speakers.label_sentences(A.tokens(s, d), A.turns(s, d))),
+    "speaker_runs": lambda s, d: speakers.speaker_runs(_labels(s, d)),
     "label_encode": lambda s, d: speakers.encode_labels(A.table(s, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("role").alias("label"))),
     "overlap_label": _overlap,
-    "vote_overlap_disagreement": lambda s, d: speakers.disagreements(speakers.label_sentences(A.tokens(s, d), A.turns(s, d)), _overlap(s, d)),
+    "vote_overlap_disagreement": lambda s, d: speakers.disagreements(_labels(s, d), _overlap(s, d)),
     "turn_overlap_violations": lambda s, d: speakers.overlapping_turns(A.turns(s, d).withColumn("end", F.col("start") + A.TURN_SECONDS)),
     "chunk_geometry": _geometry,
     "chunks_remaining": lambda s, d: chunks.remaining(_geometry(s, d), 1_050).select("rec_id", "chunk_ix", "start"),
@@ -248,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sweep_marks": _sweep,
     "best_config": _best,
     "stitch_overlap": lambda s, d: stitch.stitch(_chunked(s, d), overlap_s=4.0),
+    "stitch_stateful": _stateful,
     "progress_clock": _progress,
     "progress_bar": _bars,
     "scalars": _small,
@@ -259,4 +288,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lookup_skipped": lambda s, d: _skips(s, d, 1),
     "first_n": lambda s, d: recall.first_n(A.events(s, d).select("rec_id", "i", "value"), 25, "rec_id", "i"),
     "fingerprint_match": _fingerprints,
+    "checkpoint_judged": _checkpoints,
 }

@@ -143,7 +143,7 @@ z as (select *, coalesce(sum(regexp_matches(text, '[.!?][ \t\n\x0b\x0c\r]*$')::i
 select rec_id, sent_ix, round(min(pos) * 0.4::double, 6) as start, round(max(pos) * 0.4::double + 0.4::double, 6) as "end", string_agg(text, '' order by pos) as text, count(*)::int as n_tokens from z group by 1, 2""",
     "changepoints": f"with {EV}, {SL} select * from cp",
     "changepoint_summary": f"with {EV}, {SL}, c as (select rec_id, count(*) as changes from cp group by 1) select sd.rec_id, count(*) as sentences, max(time) as duration, count(distinct slide) as slides, coalesce(any_value(changes), 0) as changes from sd left join c using (rec_id) group by 1",
-    "changepoint_corpus": f"with {EV}, {SL}, du as (select rec_id, max(time) as duration from sd group by 1), per as (select kind, rec_id, count(*) as n, any_value(duration) as duration from cp join du using (rec_id) group by all), al as (select rec_id, sum(n) as n, any_value(duration) as duration from per group by 1) select kind, count(*) as recordings, sum(n)::bigint as changes, round(sum(duration) / 3600.0, 6) as hours from per group by 1 union all select 'all', count(*), coalesce(sum(n), 0)::bigint, round(sum(duration) / 3600.0, 6) from al",
+    "changepoint_corpus": f"with {EV}, {SL}, du as (select rec_id, max(time) as duration from sd group by 1), per as (select kind, rec_id, count(*) as n, any_value(duration) as duration from cp join du using (rec_id) group by all) select kind, count(*) as recordings, sum(n)::bigint as changes, round(sum(duration) / 3600.0, 6) as hours from per group by 1 union all select 'all', (select count(*) from du), (select count(*) from cp), (select round(sum(duration) / 3600.0, 6) from du)",
     "nearest_distance": f"{EM}, {PU} select pu.rec_id, pu.t, min(abs(pu.t - mk.t)) as distance from pu join mk on pu.rec_id = mk.rec_id group by all",
     "interval_distance": f"{EM}, {SL}, {ID} select * from id",
     "interval_hits": f"{EM}, {SL}, {ID} select rec_id, count(*) as n, round(avg(distance), 6) as mean_distance, round(avg((distance <= 2.0)::int), 6) as hit_rate from id group by 1",
@@ -179,6 +179,7 @@ select w.*, (select round(coalesce(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamm
     "sweep_marks": f"{sweep_sql()} select * from every_config",
     "best_config": f"{sweep_sql()}, c as (select config_ix, sum(n_marks)::bigint as n_marks, min(n_marks) > 0 as hit from every_config group by 1) select config_ix, n_marks from c where hit order by n_marks, config_ix limit 1",
     "stitch_overlap": f"with {EV} select rec_id, i::int as pos, event_id::int as id, ' ' || event_type as text, i::double as start, 0.5::double as duration, 1.0::double as confidence from ev",
+    "stitch_stateful": f"with {EV} select rec_id, i::int as pos, event_id::int as id, ' ' || event_type as text, i::double as start, 0.5::double as duration, 1.0::double as confidence from ev",
     "progress_bar": f"""with p as (select event_id, value, greatest(0.0, value / 4427.028) as f, case when event_id / 100.0 > 0 then (value - 2.0) / (event_id / 100.0) else 0.0 end as v from events)
 select event_id, printf('%10s [%s%s] %3.0f%%  %s/%s audio  elapsed %s  eta %s  %.1fx', 'running', repeat('#', least(24, greatest(0, floor(value / 4427.028 * 24)))::int), repeat('-', 24 - least(24, greatest(0, floor(value / 4427.028 * 24)))::int),
   round_even(value / 4427.028 * 100, 0), {CLOCK('value')}, '1:13:47', {CLOCK('(event_id / 100.0)')}, {CLOCK('(case when v > 0 then (4427.028 - value) / v end)')}, round_even(v, 1) + 0.0::double) as bar from p""",
@@ -192,5 +193,22 @@ select event_id, printf('%10s [%s%s] %3.0f%%  %s/%s audio  elapsed %s  eta %s  %
     "lookup_skipped": "select doc_id, lang from documents where doc_id not in (select doc_id from labels)",
     "first_n": f"with {EV} select rec_id, i, value from ev order by rec_id, i limit 25",
     "progress_clock": f"select event_id, {CLOCK('value * 20')} as at, round(value / 4427.028, 6) as fraction, round(case when event_id / 100.0 > 0 then (value - 2.0) / (event_id / 100.0) else 0.0 end, 6) as speed, {CLOCK('(case when event_id > 0 and value - 2.0 > 0 then (4427.028 - value) / ((value - 2.0) / (event_id / 100.0)) end)')} as eta from events",
+    "checkpoint_judged": r"""with c as (select doc_id as rec_id, doc_id % 16 as k, '/media/' || coalesce(source, 'none') as media, doc_id::varchar as i,
+  '{"id": ' || doc_id::varchar || ', "text": " a", "start": ' || (doc_id % 7)::varchar || '.25, "duration": 1, "confidence": 0.5}' as tok from documents),
+d as (select rec_id, media, case k when 15 then null when 14 then '{' else '{"fingerprint": {"media": "' || media || '", "size": ' || case k when 6 then i || '.0' when 1 then '-1' else i end
+  || case k when 2 then '' else ', "chunk_s": 120' end || case k when 3 then ', "more": 1' else '' end || '}, "next_start": '
+  || case k when 4 then '"' || i || '"' when 5 then i || '.0' when 7 then 'true' else i end || ', "tokens": '
+  || case k when 12 then '"nope"' when 13 then '[]' else '[' || case k when 8 then '{"id": 1, "text": "a", "start": 0, "duration": 1}' when 9 then '{"id": 1.5, "text": "a", "start": 0, "duration": 1, "confidence": 1}'
+  when 10 then '7' when 11 then '{"id": 1, "text": 2, "start": 0, "duration": 1, "confidence": 1}' else tok end || ', {"id": 2, "text": "b", "start": 1, "duration": 0.5, "confidence": 1}]' end || '}' end as doc from c),
+j as (select *, try_cast(doc as json) as js from d),
+f as (select *, js->'$.fingerprint' as fp, json_extract(js, '$.tokens[*]') as toks from j),
+v as (select *, case when js is null or json_type(js) <> 'OBJECT' then 'json'
+  when not coalesce(list_sort(json_keys(fp)) = ['chunk_s', 'media', 'size'] and json_type(fp, '$.media') = 'VARCHAR' and fp->>'$.media' = media and json_type(fp, '$.size') in ('UBIGINT', 'BIGINT', 'DOUBLE')
+    and (fp->>'$.size')::double = rec_id and json_type(fp, '$.chunk_s') in ('UBIGINT', 'BIGINT', 'DOUBLE') and (fp->>'$.chunk_s')::double = 120, false) then 'fingerprint'
+  when coalesce(json_type(js, '$.next_start'), '') not in ('UBIGINT', 'BIGINT') then 'next_start'
+  when coalesce(json_type(js, '$.tokens'), '') <> 'ARRAY' or not coalesce(list_bool_and(list_transform(toks, lambda t: coalesce(json_type(t, '$.id') in ('UBIGINT', 'BIGINT') and json_type(t, '$.text') = 'VARCHAR'
+    and json_type(t, '$.start') in ('UBIGINT', 'BIGINT', 'DOUBLE') and json_type(t, '$.duration') in ('UBIGINT', 'BIGINT', 'DOUBLE') and json_type(t, '$.confidence') in ('UBIGINT', 'BIGINT', 'DOUBLE'), false))), true) then 'tokens' end as void from f)
+select rec_id, void, case when void is null then (js->>'$.next_start')::bigint end as next_start, case when void is null then len(toks)::int end as n_tokens,
+  case when void is null then round(coalesce(list_sum(list_transform(toks, lambda t: (t->>'$.start')::double + (t->>'$.duration')::double)), 0.0), 6) end as seconds from v""",
     "fingerprint_match": "select doc_id from documents where lang = 'en' and source = 'src7' and doc_id % 10 = 7 or lang = 'de' and source = 'src4' and doc_id % 10 = 4",
 }
