@@ -104,15 +104,13 @@ def plain(scores, fps, gap):
     return sorted(taken)
 
 
-def test_no_recording_is_gathered(spark):
-    """Blocks are groups; and what the last round sees of a recording is what the blocks left open."""
+def test_little_of_a_recording_comes_together(spark):
+    """Blocks are groups; what they leave of a recording is their budget, what is near borders and what is open."""
     rng = random.Random(1)
     df = spark.createDataFrame([("r", i, rng.randint(1, 1000)) for i in range(20_000)], "rec_id string, i int, score int")
-    reach = changes._reach(1.0, 5.0)
-    x = df.selectExpr("rec_id", "i", "score", "cast(0 as tinyint) as state")
-    done = changes._peeled(x, 1000, reach, "string")
+    done = changes._peeled(df, 1000, changes._reach(1.0, 5.0), 10, "string")
     states = {r.state: r["count"] for r in done.groupBy("state").count().collect()}
-    assert states.get(0, 0) < 100 < states[1]
+    assert states[1] == 200 and states.get(0, 0) < 40 and states.get(2, 0) < 80
     plan = changes.select_marks(df, 1.0, 40, 5.0)._jdf.queryExecution().analyzed().toString()
     assert "collect_list" not in plan
 

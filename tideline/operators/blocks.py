@@ -14,6 +14,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import group_starts, whole_groups
+
 #: Seconds of a block.
 BLOCK_S = 3_600.0
 
@@ -35,7 +37,7 @@ def around(points: DataFrame, things: DataFrame, at: str, block_s: float = BLOCK
     thing = F.struct(*[F.col(f"`{c}`") for c in fields])
     p = points.select("rec_id", F.col("t").cast("double").alias("at"), F.lit(1).alias("side"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("point"))
     q = things.where(F.col(at).isNotNull()).select("rec_id", F.col(at).cast("double").alias("at"), F.lit(0).alias("side"), thing.alias("thing"))
-    u = p.unionByName(q, allowMissingColumns=True).withColumn("block", block_of("at", block_s))
+    u = p.unionByName(q, allowMissingColumns=True).withColumn("block", block_of("at", block_s)).repartition("rec_id", "block")  # once, for both
     over = Window.partitionBy("rec_id").orderBy("block")
     ends = u.groupBy("rec_id", "block").agg(F.max("thing").alias("last"), F.min("thing").alias("first"))
     ends = ends.select(
@@ -72,26 +74,44 @@ def best_overlap(left: DataFrame, right: DataFrame, key: str, value: str, block_
     handed = wide.join(other, ["rec_id", "side"]).withColumn("block", F.explode(reach))
     every = u.withColumn("own", F.lit(True)).unionByName(handed.drop("blocks").withColumn("own", F.lit(False)))
     schema = f"rec_id {left.schema['rec_id'].dataType.simpleString()}, k {kind_k}, v {kind_v}, shared double, ts double, te double"
-    found = every.groupBy("rec_id", "block").applyInArrow(_sweep, schema)
+    found = every.select("rec_id", "block", "side", "own", "start", "end", "k", "v").repartition("rec_id", "block").sortWithinPartitions("rec_id", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 2):
+            yield from _sweep(table).to_batches()
+
+    found = found.mapInArrow(run, schema)
     first = F.min_by(F.struct("v"), F.struct((-F.col("shared")).alias("s"), F.col("ts"), F.col("te"), F.col("v")))["v"]
     return found.groupBy("rec_id", "k").agg(first.alias(value)).withColumnRenamed("k", key)
 
 
+def _count_before(group: np.ndarray, value: np.ndarray, of_group: np.ndarray, of_value: np.ndarray, equal: bool) -> np.ndarray:
+    """For each (of_group, of_value) how many (group, value) lie before it, in the order of groups and values; with `equal`
+    equal ones count."""
+    n, m = len(group), len(of_group)
+    last = np.concatenate([np.zeros(n, np.int8), np.full(m, 1 if equal else -1, np.int8)])
+    order = np.lexsort((last, np.concatenate([value, of_value]), np.concatenate([group, of_group])))
+    before = np.cumsum(order < n)
+    out = np.empty(n + m, np.int64)
+    out[order] = before
+    return out[n:]
+
+
 def _sweep(table: pa.Table) -> pa.Table:
-    """A block's best pair for each left interval. Pairs are runs of one side's starts within an interval of the other."""
-    side, own = (table.column(c).to_numpy() for c in ("side", "own"))
-    start, end = (table.column(c).to_numpy() for c in ("start", "end"))
+    """The best pair for each left interval of each block. Pairs are runs of one side's starts within an interval of the other."""
+    side, own, start, end = (table.column(c).to_numpy() for c in ("side", "own", "start", "end"))
+    group = np.cumsum(group_starts([table.column("rec_id"), table.column("block")]))
     v = table.column("v")
     rank = np.empty(len(v), np.int64)  # the order of values, of whatever kind
     rank[pa.compute.sort_indices(v).to_numpy()] = np.arange(len(v))
-    ordered = np.argsort(start, kind="stable")
+    ordered = np.lexsort((start, group))
     lefts, rights = (ordered[side[ordered] == s] for s in (0, 1))
     best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     # a right one that starts in a left one, ties to this, and a left one that starts after a right one did
-    for outer, inner, edge in ((lefts, rights, "left"), (rights, lefts, "right")):
+    for outer, inner, equal in ((lefts, rights, False), (rights, lefts, True)):
         inner = inner[own[inner]]  # the later start is this block's own
-        lo = np.searchsorted(start[inner], start[outer], edge)
-        hi = np.maximum(np.searchsorted(start[inner], end[outer], "left"), lo)
+        lo = _count_before(group[inner], start[inner], group[outer], start[outer], equal)
+        hi = np.maximum(_count_before(group[inner], start[inner], group[outer], end[outer], False), lo)
         for i, j in _pairs(hi - lo, lo):
             x, y = (outer[i], inner[j]) if outer is lefts else (inner[j], outer[i])
             best.append(_first_of(x, y, start, end, rank))

@@ -121,8 +121,7 @@ def chosen(frames: DataFrame, pairs: DataFrame, kernel: Kernel, fields: str, blo
     each: a frame travels as often as there are blocks that name it, not as often as there are pairs.
     """
     kind = frames.schema["rec_id"].dataType.simpleString()
-    p = pairs.select("rec_id", F.col("a").cast("int"), F.col("b").cast("int")).distinct()
-    p = p.withColumns({"ka": F.expr(f"a div {block}").cast("int"), "kb": F.expr(f"b div {block}").cast("int")})
+    p = pairs.select("rec_id", F.col("a").cast("int"), F.col("b").cast("int")).withColumns({"ka": F.expr(f"a div {block}").cast("int"), "kb": F.expr(f"b div {block}").cast("int")})
     need = p.select("rec_id", "ka", "kb", F.explode(F.array("a", "b")).alias("frame_ix")).distinct()
     sent = need.join(frames.select("rec_id", F.col("frame_ix").cast("int"), "tiles"), ["rec_id", "frame_ix"])
     sent = sent.select(*[F.col(c).alias(c) for c in ("rec_id", "ka", "kb", "frame_ix", "tiles")])  # columns of their own
@@ -137,7 +136,7 @@ def chosen(frames: DataFrame, pairs: DataFrame, kernel: Kernel, fields: str, blo
             raise ValueError("frames of one recording differ in size")
         ix = frames_.column("frame_ix").to_numpy()
         order = np.argsort(ix)
-        a, b = (pairs_.column(c).to_numpy() for c in ("a", "b"))
+        a, b = (x.astype(np.int32) for x in np.divmod(np.unique(pairs_.column("a").to_numpy().astype(np.int64) << 32 | pairs_.column("b").to_numpy()), 1 << 32))
         at = [np.minimum(np.searchsorted(ix[order], x), len(ix) - 1) for x in (a, b)]
         have = np.flatnonzero((ix[order][at[0]] == a) & (ix[order][at[1]] == b))
         got = []
