@@ -311,7 +311,8 @@ def bpe_report(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", te
     """The digest columns of the contract: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Each text is encoded, the ids are decoded again, and only digests leave the worker. Nulls count as empty, repeated
-    rows are encoded each, an empty table gives an empty one. Texts of any length are encoded whole, in linear time.
+    rows are encoded each, an empty table gives an empty one. Texts of any length are encoded whole, in linear time. doc is an
+    integer column; other columns take no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,7 @@ def line_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_cha
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the contract: doc_id, n_lines, n_dropped, kept_sha256."""
+    """The digest columns of the contract: doc_id, n_lines, n_dropped, kept_sha256. Odd rows and tables are as in line_dedup."""
     x = line_dedup(docs.select("doc_id", "text"), counts=True)
     return x.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

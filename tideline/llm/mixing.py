@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), cap: float = 3.0, id_co
 
 
 def mixing_report(docs: DataFrame, weights: list[int] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """The digest columns of the contract: doc_id, size, source_size, target, taken."""
+    """The digest columns of the contract: doc_id, size, source_size, target, taken. Odd rows and tables are as in plan_mix."""
     p = plan_mix(docs, weights, cap)
     return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

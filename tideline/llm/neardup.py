@@ -544,7 +544,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id"
 
 
 def neardup_report(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
-    """The digest columns of the contract: doc_id, n_shingles, component_id, kept."""
+    """The digest columns of the contract: doc_id, n_shingles, component_id, kept. Odd rows and tables are as in near_duplicates."""
     x = near_duplicates(docs, k, percent)
     return x.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 

@@ -138,7 +138,8 @@ def _judge(m: dict[str, np.ndarray], covered_percent: int, longest_words: int) -
 def quality_report(docs: DataFrame, doc: str = "doc_id", text: str = "text", covered_percent: int = COVERED, longest_words: int = LONGEST) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_covered, longest_repeat).
 
-    Nulls count as empty texts, which fail; repeated rows are judged each; an empty table gives an empty one.
+    Nulls count as empty texts, which fail; repeated rows are judged each, so there are no ties; texts of any length are judged
+    whole; an empty table gives an empty one; other columns take no part, whatever their names. doc is an integer column.
     """
     names = ["doc_id", *_LONGS[:5], "base_failed", "kept", *_LONGS[5:]]
 

@@ -382,7 +382,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> Data
     """The digest columns of the contract: doc_id, held_out, score, predicted.
 
     Only labels of rows that are not held out are learnt from. Null ids are not held out and have no label; repeated rows
-    are scored each; without any label nothing is toxic and all scores are the base rate.
+    are scored each; without any label nothing is toxic and all scores are the base rate. Null and empty texts have a score
+    too. Texts of any length are scored whole; an empty table gives an empty one; of terms that would add as much a whole
+    word is taken, then the longest, then the last by name, so there are no ties; columns other than doc_id, text and toxic take no part, whatever their names.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     texts = docs.select(F.col("doc_id").alias("id"), "text")

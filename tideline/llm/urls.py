@@ -51,7 +51,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
     url gets its template's verdict: block if the smoothed share of allowed labels is below min_purity. Without any
     labels the share is a half. Null urls and those without `://` have empty host and path and are templates of the
     empty host. Repeated rows are judged each, null ids are carried, an empty table gives an empty one, and other
-    columns take no part.
+    columns take no part. Of rules that fit, the longest wins, and no two can be as long and fit the same url. Urls of any
+    length are judged whole; a round of jobs is run for each segment of the longest path.
     """
     host, path = split_url(F.col(f"`{url_col}`"))
     x = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
@@ -109,6 +110,8 @@ def _smoothed(tree: DataFrame) -> DataFrame:
 
 
 def url_report(pages: DataFrame) -> DataFrame:
+    """The columns of the contract: page_id, host, path, rule, verdict, and the template. Odd rows and tables are as in
+    url_filter."""
     return url_filter(pages).withColumnRenamed("id", "page_id")
 
 
