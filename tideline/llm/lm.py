@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
+from .anchors import LONG, gram_sums, span_hash, whole_hash
 from .common import chunks_for, durable, partitions
 from .tokens import Words, pieces, tidy, tidy_group, tidy_groups
 
@@ -35,12 +36,15 @@ def vocabulary_size(tokens: int, least: int | None = None) -> int:
 
 def _chunk_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """(words, token hashes with an end after each document, bounds)."""
-    w = Words(texts, lower=True)
+    w = Words(texts, lower=True, hashes=False)
+    h = span_hash(gram_sums(w.flat), w.begin, w.end)
+    long = np.flatnonzero(w.end - w.begin >= LONG)
+    h[long] = whole_hash(w.flat, w.begin[long], w.end[long])
     n = len(w.offsets) - 1
     bounds = w.first + np.arange(n + 1)
-    tokens = np.empty(len(w.hash) + n, np.uint64)
+    tokens = np.empty(len(h) + n, np.uint64)
     tokens[bounds[1:] - 1] = END_HASH
-    tokens[np.arange(len(w.hash)) + w.doc] = w.hash
+    tokens[np.arange(len(h)) + w.doc] = h
     return w, tokens, bounds
 
 
@@ -109,22 +113,41 @@ def vocabulary(counted: DataFrame, least: int | None = None) -> tuple[int, int,
 
 
 class Coder:
-    """Hashes to symbols: 0 for other words, 1 for the end, then the vocabulary by rank."""
+    """Hashes to symbols: 0 for other words, 1 for the end, then the vocabulary by rank.
+
+    A slot of a table, some sixteen to thirty-two for each word, holds the one word whose hash begins with its number; words that share a slot
+    are searched for. Each worker makes the table for itself.
+    """
 
     def __init__(self, hashes: np.ndarray):
         known = np.concatenate([hashes, [END_HASH]]).astype(np.uint64)
         ids = np.concatenate([np.arange(len(hashes)) + 2, [gru.END]]).astype(np.int32)
         order = np.argsort(known)
-        self.known, self.ids = known[order], ids[order]
+        self.known, self.ids, self.table = known[order], ids[order], None
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.ids[at], gru.UNK).astype(np.int32)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
+    def _slots(self) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        bits = max(10, (16 * len(self.known)).bit_length())
+        shift = np.uint64(64 - bits)
+        slot = self.known >> shift
+        words, symbols = np.zeros(1 << bits, np.uint64), np.full(1 << bits, gru.UNK, np.int32)
+        words[slot], symbols[slot] = self.known, self.ids
+        symbols[slot[1:][slot[1:] == slot[:-1]]] = -1
+        return shift, words, symbols
 
-def _by_word(coder: Coder, tokens: np.ndarray) -> np.ndarray:
-    words, which = np.unique(tokens, return_inverse=True)
-    return coder(words)[which]
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        self.table = self.table or self._slots()
+        shift, words, symbols = self.table
+        slot = (h >> shift).astype(np.intp)
+        out = symbols[slot]
+        asked = np.flatnonzero(out < 0)
+        out[words[slot] != h] = gru.UNK
+        if len(asked):
+            at = np.minimum(np.searchsorted(self.known, h[asked]), len(self.known) - 1)
+            out[asked] = np.where(self.known[at] == h[asked], self.ids[at], gru.UNK)
+        return out
 
 
 def _gathered(coded: Iterator[tuple[np.ndarray, np.ndarray]], most: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,7 +185,7 @@ def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarra
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             mine, seen = now.value.copy(), 0
             adam = gru.Adam(len(mine), rate)
-            coded = ((_by_word(coder.value, tokens), bounds) for batch in batches for piece in pieces(batch, "text") for _, tokens, bounds in [_chunk_words(piece.column(0))])
+            coded = ((coder.value(tokens), bounds) for batch in batches for piece in pieces(batch, "text") for _, tokens, bounds in [_chunk_words(piece.column(0))])
             for tokens, bounds in _gathered(coded):
                 gru.train(mine, shape, tokens, bounds, adam)
                 seen += len(tokens)
@@ -198,7 +221,7 @@ def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
     others; repeated rows count as often as they stand; without training rows all counts are zero; an empty table gives an
     empty one; texts of any length are scored whole, state carried throughout; other columns take no part. The recurrent
     vocabulary has vocabulary_words words (VOCABULARY if None) or more, see vocabulary_size. What a task learns before averaging depends on how
-    the rows are dealt to tasks, so scores agree between runs only over the same files and settings.
+    the rows are dealt to tasks (doc is an integer column), so scores agree between runs only over the same files and settings.
     """
     spark = docs.sparkSession
     chunks = chunks_for(docs)
