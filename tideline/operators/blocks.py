@@ -36,7 +36,7 @@ def around(points: DataFrame, things: DataFrame, at: str, block_s: float = BLOCK
     fields = [at, *[c for c in things.columns if c not in ("rec_id", at)]]
     thing = F.struct(*[F.col(f"`{c}`") for c in fields])
     p = points.select("rec_id", F.col("t").cast("double").alias("at"), F.lit(1).alias("side"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("point"))
-    q = things.where(F.col(at).isNotNull()).select("rec_id", F.col(at).cast("double").alias("at"), F.lit(0).alias("side"), thing.alias("thing"))
+    q = things.where(F.col(at).isNotNull() & F.col("rec_id").isNotNull()).select("rec_id", F.col(at).cast("double").alias("at"), F.lit(0).alias("side"), thing.alias("thing"))
     u = p.unionByName(q, allowMissingColumns=True).withColumn("block", block_of("at", block_s)).repartition("rec_id", "block")  # once, for both
     over = Window.partitionBy("rec_id").orderBy("block")
     ends = u.groupBy("rec_id", "block").agg(F.max("thing").alias("last"), F.min("thing").alias("first"))
