@@ -5,6 +5,7 @@ import json
 import stat
 import wave
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tideline import cli, models, transcribe
 from tideline.functions import scalars
 from tideline.operators import detectors, document, evaluate, speakers
+from tideline.plans import catalog, oracles
 from tideline.sources import media
 from tideline.streaming import resume
 
@@ -280,6 +282,18 @@ def test_progress_line(spark):
     assert x == "   running [####--------------------]  17%  12:30/1:13:47 audio  elapsed 0:21  eta 1:45  34.9x"
 
 
+def test_progress_bar_rounds_as_its_sql(spark, tmp_path):
+    """Speeds that lie between two tenths, or are nearly there; below zero, none, and unknown."""
+    values = {20: 3.59, 40: 3.06, 60: 1.99, 80: 50.28, 100: 492.95, 140: 536.45, 540: 478.55, 1660: 558.93, 6880: 817.28, 13580: 171.75, 17180: 577.53, 22080: 167.6, 0: 9.0, 1: None}
+    spark.createDataFrame([*values.items(), (None, 9.0)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.QUERIES["progress_bar"](spark, str(tmp_path)).collect()
+    want = con.sql(f"select event_id, bar from ({oracles.SQL['progress_bar']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+    assert any(r.bar and r.bar.endswith(" 0.0x") for r in got if r.event_id == 60)
+
+
 def test_models_run_in_tasks(spark, tmp_path):
     chunks = spark.createDataFrame([("r", 0, 0, 120, 80, "p"), ("r", 1, 80, 200, 160, "p")], "rec_id string, chunk_ix int, start long, end long, next_start long, path string")
     got = models.decode_chunks(chunks, lambda: chunk_model, lambda path, a, b: np.arange(a, b), 10).orderBy("chunk_ix", "pos").collect()
