@@ -1,6 +1,7 @@
 """Exact values for the timeline operators, with controls that must give nothing."""
 
 import random
+import signal
 
 import numpy as np
 import pytest
@@ -147,6 +148,27 @@ def test_sign_tail():
     assert evaluate.sign_tail(10, 10) == 1 / 1024 and evaluate.sign_tail(0, 0) == 1.0 and evaluate.sign_tail(4, 0) == 1.0
 
 
+def test_sign_tail_of_large_tables():
+    """Adding whole numbers does not end in a minute at 400,000 tosses; a running sum of them gives the chances that must come out."""
+    stop = lambda *_: pytest.fail("still at work after 60 s")
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    try:
+        for n in (1_001, 5_002):
+            ways, chance, total = 1, {}, 0
+            for k in range(n, -1, -1):
+                total += ways
+                chance[k] = total / 2**n
+                ways = ways * k // (n - k + 1)
+            for w in (0, 1, n // 2 - 40, n // 2, n // 2 + 1, n // 2 + 40, n // 2 + 200, n // 2 + 400, n):
+                assert evaluate.sign_tail(n, w) == pytest.approx(chance[w], rel=1e-12, abs=1e-300)
+        assert evaluate.sign_tail(400_000, 304_000) == 0.0 and evaluate.sign_tail(400_000, 90_000) == 1.0
+        assert evaluate.sign_tail(400_001, 200_001) == pytest.approx(0.5, abs=1e-12)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_largest_component():
     assert detectors.largest_region(np.array([[1, 0, 1], [1, 1, 0], [0, 0, 1]])) == 3
     assert detectors.largest_region(np.zeros((2, 2))) == 0

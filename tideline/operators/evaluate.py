@@ -15,6 +15,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .blocks import BLOCK_S, around
 from .pairs import chosen, differing, successive
 
+#: Tosses up to which a sign test adds whole numbers.
+EXACT = 1_000
+
 
 def segment_of(points: DataFrame, bounds: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
     """points (rec_id, t, ...) with segment and sample: the last bound (rec_id, b, sample) up to t, else the first one."""
@@ -107,8 +110,20 @@ def per_minute_budget(duration_s: Column, per_minute: float) -> Column:
 
 
 def sign_tail(n: int, wins: int) -> float:
-    """Chance of so many wins or more in n fair tosses, exact."""
-    return sum(math.comb(n, k) for k in range(wins, n + 1)) / 2**n if n else 1.0
+    """Chance of so many wins or more in n fair tosses; by whole numbers up to EXACT tosses.
+
+    Beyond, each number of wins is weighed against the middle one: a neighbour's weight follows by one product, and what lies
+    20 roots of n or more from the middle weighs less than the least double. So the work grows with the root of n.
+    """
+    if n <= EXACT:
+        return sum(math.comb(n, k) for k in range(wins, n + 1)) / 2**n if n else 1.0
+    half = n // 2
+    if wins <= half:
+        return 1.0 - sign_tail(n, n - wins + 1)
+    k = np.arange(half, min(n, half + 20 * math.isqrt(n)), dtype=float)
+    weight = np.append(1.0, np.cumprod((n - k) / (k + 1)))
+    both = 2 * weight[1:].sum() + (n % 2 == 0)
+    return float(weight[wins - half :].sum() / both)
 
 
 def paired_wins(pairs: DataFrame) -> DataFrame:
@@ -126,7 +141,7 @@ def sign_test(pairs: DataFrame) -> tuple[int, int, float]:
 
 
 def sign_test_row(pairs: DataFrame) -> DataFrame:
-    """paired_wins with p, the chance of so many wins or more; exact whole numbers, for the one row that is left."""
+    """paired_wins with p, the chance of so many wins or more by sign_tail, for the one row that is left."""
     x = paired_wins(pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
