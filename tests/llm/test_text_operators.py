@@ -361,6 +361,31 @@ def test_lm_counts_and_score(docs, empty):
     assert lm.lm_report(empty).count() == 0
 
 
+def test_gru_steps_gate_by_gate():
+    """The parts that work on gates that lie together against plain ones: sums by symbol, tanh, and a whole training step."""
+    rng = np.random.default_rng(3)
+    ids = np.sort(np.concatenate([np.zeros(300, np.int64), np.full(8, 1), np.full(9, 2), rng.integers(3, 40, 60)]))
+    x = rng.standard_normal((len(ids), 3 * gru.HIDDEN))
+    edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    assert np.allclose(gru._sums(x, edge), np.add.reduceat(x, edge, axis=0), atol=1e-12)
+    assert np.allclose(gru._sums(x[:1], edge[:1]), x[:1])
+    v = np.array([-90.0, -3.0, -1e-4, 0.0, 0.5, 7.0, 90.0])
+    assert np.allclose(gru._tanh(v.copy()), np.tanh(v), atol=1e-15)
+    shape = gru.Shape.of(40)
+    flat = gru.start(shape, np.ones(40))
+    p, h = gru.split(flat, shape), rng.standard_normal((5, gru.HIDDEN)).astype(np.float32)
+    tokens, first = rng.integers(0, 40, (7, 5)), rng.random((7, 5)) < 0.2
+    hs, last, _ = gru.forward(p, tokens, first, h, False)
+    for t in range(7):
+        h = np.where(first[t][:, None], 0, h)
+        g, hu = p["x"][tokens[t]], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(g + hu)[:, k * gru.HIDDEN : (k + 1) * gru.HIDDEN])) for k in range(2))
+        c = np.tanh(g[:, 2 * gru.HIDDEN :] + r * hu[:, 2 * gru.HIDDEN :])
+        h = c + z * (h - c)
+        assert np.allclose(hs[t], h, atol=1e-5)
+    assert np.allclose(last, h, atol=1e-5)
+
+
 def test_gru_gradient_and_carried_state():
     shape = gru.Shape.of(7)
     flat = gru.start(shape, np.ones(7)).astype(np.float64)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def counts(docs: DataFrame) -> DataFrame:
             for piece in pieces(part, "text"):
                 _, tokens, bounds = _chunk_words(piece.column(3))
                 learnt = np.repeat(~np.asarray(piece.column(2)), np.diff(bounds))
-                h, inverse = np.unique(tokens, return_inverse=True)
+                inverse, h = pd.factorize(tokens)  # a table, where np.unique sorts
                 seen.append(h)
                 sums.append(np.bincount(inverse, weights=learnt, minlength=len(h)).astype(np.int64))
         h, n = _sum(np.concatenate(seen), np.concatenate(sums))
@@ -250,7 +251,7 @@ def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
         for batch in texts.to_batches():
             for piece in pieces(batch, "text"):
                 _, tokens, bounds = _chunk_words(piece.column(3))
-                words, which = np.unique(tokens, return_inverse=True)  # all that is known of a word is looked up once
+                which, words = pd.factorize(tokens)  # all that is known of a word is looked up once
                 count, ids = c[np.searchsorted(h, words)], coder(words)
                 total = lambda v: np.add.reduceat(v[which], bounds[:-1])
                 base = total(np.log10((count + 1.0) / (n + 1.0 * (distinct + 1))))
