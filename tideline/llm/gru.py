@@ -11,32 +11,58 @@ import numpy as np
 #: Hidden units, least and most steps of a backpropagation window, streams side by side, and symbols that fill a window:
 #: where fewer streams go on, a window has more steps.
 HIDDEN, STEPS, MOST, STREAMS, FILL = 24, 16, 128, 512, 8_192
+#: Symbols of a window where nothing is learnt: rows of a class lie together in longer runs.
+SCORED = 32_768
 #: A training window has LEAST symbols at least, up to FILL as long as a pass has STEPS_WANTED steps.
 LEAST, STEPS_WANTED = 1_024, 192
 #: Rows of the output layer that are worked on at a time.
 BLOCK = 1_536
+#: Vocabularies of fewer symbols have classes of equal width.
+EQUAL_BELOW = 1_024
+#: Share of a class in the sum of square roots of probability: 1 has the fewest logits, more has fewer products.
+SHARE = 2.0
+#: Parameters that the optimiser moves at a time, so that arrays stay in the cache.
+STRIDE = 16_384
 #: Ids of the two symbols that every vocabulary has; words follow by rank.
 UNK, END = 0, 1
 
 
 @dataclass
 class Shape:
-    """vocab symbols in classes of `width` consecutive ids: about the square root of their number."""
+    """vocab symbols in classes of consecutive ids; edges has where they begin, and the end of the last.
+
+    A symbol costs as many logits as there are classes and as its class is wide. Over a corpus that is least where a class
+    holds an equal share, SHARE, in the sum of square roots of probability: frequent symbols lie in narrow classes, the most frequent
+    alone, and rare ones in wide classes. Few symbols, and those of unknown frequency, lie in classes of equal `width`,
+    about the square root of their number; the last one is filled up.
+    """
 
     vocab: int
-    width: int
+    edges: np.ndarray
+    width: int | None
 
     @classmethod
-    def of(cls, vocab: int) -> Shape:
-        return cls(vocab, max(2, int(np.ceil(np.sqrt(vocab)))))
+    def of(cls, vocab: int, frequency: np.ndarray | None = None) -> Shape:
+        if frequency is None or vocab < EQUAL_BELOW:
+            width = max(2, int(np.ceil(np.sqrt(vocab))))
+            return cls(vocab, np.arange(-(-vocab // width) + 1) * width, width)
+        f = np.maximum(frequency.astype(float), 1)
+        root = np.sqrt(f / f.sum())
+        share = np.floor((np.cumsum(root) - root / 2) / SHARE)  # the class at a symbol's middle
+        return cls(vocab, np.append(np.flatnonzero(np.append(True, share[1:] != share[:-1])), vocab), None)
 
     @property
     def classes(self) -> int:
-        return -(-self.vocab // self.width)
+        return len(self.edges) - 1
 
     def sizes(self) -> list[tuple[str, tuple[int, ...]]]:
         h = HIDDEN
-        return [("x", (self.vocab, 3 * h)), ("u", (h, 3 * h)), ("cw", (h + 1, self.classes)), ("ww", (self.classes, h + 1, self.width))]
+        words = (h + 1, self.vocab) if self.width is None else (self.classes, h + 1, self.width)
+        return [("x", (self.vocab, 3 * h)), ("u", (h, 3 * h)), ("cw", (h + 1, self.classes)), ("ww", words)]
+
+    def words(self, ww: np.ndarray, k: int) -> np.ndarray:
+        """(hidden + 1, width): the part of the word layer that is class k's."""
+        return ww[:, self.edges[k] : self.edges[k + 1]] if self.width is None else ww[k]
 
 
 def split(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
@@ -56,13 +82,13 @@ def start(shape: Shape, frequency: np.ndarray) -> np.ndarray:
     n = sum(int(np.prod(s)) for _, s in shape.sizes())
     flat = (rng.standard_normal(n) * 0.08).astype(np.float32)
     p = split(flat, shape)
-    f = np.full(shape.classes * shape.width, 1e-9)
+    f = np.full(shape.edges[-1], 1e-9)
     f[: shape.vocab] += frequency / frequency.sum()
-    by_class = f.reshape(shape.classes, shape.width)
-    p["cw"][-1] = np.log(by_class.sum(1))
-    bias = np.log(by_class / by_class.sum(1, keepdims=True))
-    bias.reshape(-1)[shape.vocab :] = -30.0  # no symbol
-    p["ww"][:, -1] = bias
+    by_class = np.add.reduceat(f, shape.edges[:-1])
+    p["cw"][-1] = np.log(by_class)
+    bias = np.log(f / np.repeat(by_class, np.diff(shape.edges)))
+    bias[shape.vocab :] = -30.0  # no symbol
+    p["ww"][..., -1, :] = bias.reshape(p["ww"][..., -1, :].shape)
     p["x"][:, :HIDDEN] += 1.0  # keep the state at first
     return flat
 
@@ -118,27 +144,32 @@ def forward(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, h:
     return hs, h, tape
 
 
-def _odds(x: np.ndarray, small: bool) -> np.ndarray:
-    """exp of logits in place, cut at 60 instead of shifted by their maximum unless they are known to be small; gives the sums
-    of rows, by a product."""
+def _small(p: dict[str, np.ndarray]) -> bool:
+    """States lie between -1 and 1, so no logit is above the sum of its weights."""
+    return bool(max(np.abs(p["cw"]).sum(0).max(), np.abs(p["ww"]).sum(-2).max()) < 60)
+
+
+def _exp(x: np.ndarray, small: bool) -> None:
+    """exp of logits in place, cut at 60 instead of shifted by their maximum unless they are known to be small."""
     if not small:
         np.minimum(x, 60.0, out=x)
     np.exp(x, out=x)
-    return x @ np.ones(x.shape[1], x.dtype) + np.float32(1e-30)
 
 
-def output(p: dict[str, np.ndarray], shape: Shape, hs: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None):
+def output(p: dict[str, np.ndarray], shape: Shape, hs: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None, small: bool | None = None):
     """(log-probability of each target, gradient of hs or None). hs: (n, hidden).
 
     Rows are sorted by class, so that each class is one product of neighbouring rows, and taken BLOCK at a time, so that
-    arrays stay in the cache. The softmax is not divided by its sums; the few columns that it is multiplied with are.
+    arrays stay in the cache; words of a class lie side by side in `pw`, row after row. The softmax is not divided by its sums; the few columns that it is multiplied with are.
     """
     n = len(target)
-    # states lie between -1 and 1, so no logit is above the sum of its weights
-    small = max(np.abs(p["cw"]).sum(0).max(), np.abs(p["ww"]).sum(1).max()) < 60
-    cls = target // shape.width
+    small = _small(p) if small is None else small
+    wide = np.diff(shape.edges)
+    ones, tiny = np.ones(max(shape.classes, wide.max()), hs.dtype), np.float32(1e-30)  # rows are summed by products
+    cls = np.repeat(np.arange(shape.classes), wide)[target]
     order = np.argsort(cls.astype(np.uint16), kind="stable")
-    cls, word = cls[order], target[order] % shape.width
+    cls = cls[order]
+    word = target[order] - shape.edges[cls]
     x = np.ones((n, HIDDEN + 1), hs.dtype)
     x[:, :-1] = hs.take(order, axis=0)
     logp, dx = np.empty(n, np.float64), None if grads is None else np.empty((n, HIDDEN), hs.dtype)
@@ -147,28 +178,39 @@ def output(p: dict[str, np.ndarray], shape: Shape, hs: np.ndarray, target: np.nd
         c, w, y = cls[rows], word[rows], x[rows]
         at = np.arange(len(c))
         pc = y @ p["cw"]
-        total = _odds(pc, small)
+        _exp(pc, small)
+        total = pc @ ones[: shape.classes] + tiny
         hit = pc[at, c]
         here = np.flatnonzero(np.append(True, c[1:] != c[:-1])).tolist()
         parts = [(int(c[i]), slice(i, j)) for i, j in zip(here, [*here[1:], len(c)], strict=True)]
-        pw = np.empty((len(c), shape.width), y.dtype)
+        start_of = np.cumsum(wide[c]) - wide[c]  # of each row in pw
+        pw = np.empty(int(start_of[-1] + wide[c[-1]]), y.dtype)
+        layer = []
         for k, part in parts:
-            np.matmul(y[part], p["ww"][k], out=pw[part])
-        inner = _odds(pw, small)
-        logp[rows] = np.log(np.maximum(hit / total, 1e-30)) + np.log(np.maximum(pw[at, w] / inner, 1e-30))
+            i, m = int(start_of[part.start]), part.stop - part.start
+            layer.append((part, shape.words(p["ww"], k), pw[i : i + m * int(wide[k])].reshape(m, -1)))
+            np.matmul(y[part], layer[-1][1], out=layer[-1][2])
+        _exp(pw, small)
+        inner = np.empty(len(c), y.dtype)
+        for part, _, odds in layer:
+            np.matmul(odds, ones[: odds.shape[1]], out=inner[part])
+        inner += tiny
+        w = w + start_of
+        logp[rows] = np.log(np.maximum(hit / total, 1e-30)) + np.log(np.maximum(pw[w] / inner, 1e-30))
         if grads is None:
             continue
         pc[at, c] -= total
-        pw[at, w] -= inner
+        pw[w] -= inner
         share = y / total[:, None]
         grads["cw"] += share.T @ pc
         d = pc @ p["cw"][:-1].T
         d /= total[:, None]
         np.divide(y, inner[:, None], out=share)
         e = np.empty_like(d)
-        for k, part in parts:
-            grads["ww"][k] += share[part].T @ pw[part]
-            np.matmul(pw[part], p["ww"][k][:-1].T, out=e[part])
+        for (k, _), (part, weights, odds) in zip(parts, layer, strict=True):
+            mine = shape.words(grads["ww"], k)
+            mine += share[part].T @ odds
+            np.matmul(odds, weights[:-1].T, out=e[part])
         e /= inner[:, None]
         d += e
         dx[rows] = d
@@ -252,25 +294,37 @@ class Adam:
         size = self.rate / (1 - 0.9**self.t)
         even = np.float32(1 / (1 - 0.99**self.t))
         k, wide = len(flat) - len(grad), (-1, 3 * HIDDEN)
-        m, v = self.m[k:], self.v[k:]
-        m *= np.float32(0.9)
-        m += np.float32(0.1) * grad
-        v *= np.float32(0.99)
-        grad *= grad
-        grad *= np.float32(0.01)
-        v += grad
-        np.multiply(v, even, out=grad)
-        np.sqrt(grad, out=grad)
-        grad += np.float32(1e-8)
-        np.divide(m, grad, out=grad)
-        grad *= np.float32(size)
-        flat[k:] -= grad
+        room = np.empty(min(STRIDE, len(grad)), np.float32)
+        for a in range(0, len(grad), STRIDE):
+            g = grad[a : a + STRIDE]
+            here = slice(k + a, k + a + len(g))
+            m, v, tenth = self.m[here], self.v[here], room[: len(g)]
+            m *= np.float32(0.9)
+            m += np.multiply(g, np.float32(0.1), out=tenth)
+            v *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            v += g
+            np.multiply(v, even, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(size)
+            flat[here] -= g
         table, m, v = flat[:k].reshape(wide), self.m[:k].reshape(wide), self.v[:k].reshape(wide)
-        m_new, v_new = m[ids], v[ids]
-        m_new += 0.1 * (rows - m_new)
-        v_new += 0.01 * (rows * rows - v_new)
-        m[ids], v[ids] = m_new, v_new
-        table[ids] -= size * m_new / (np.sqrt(v_new * even) + 1e-8)
+        some = STRIDE // wide[1]
+        for a in range(0, len(ids), some):
+            at, g = ids[a : a + some], rows[a : a + some]
+            m_new, v_new = m.take(at, axis=0), v.take(at, axis=0)
+            m_new += 0.1 * (g - m_new)
+            v_new += 0.01 * (g * g - v_new)
+            m[at], v[at] = m_new, v_new
+            v_new *= even
+            np.sqrt(v_new, out=v_new)
+            v_new += np.float32(1e-8)
+            m_new /= v_new
+            m_new *= np.float32(size)
+            table[at] -= m_new
 
 
 def fill_of(tokens: int) -> int:
@@ -366,13 +420,14 @@ def train(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: np.ndarray
 def log_likelihood(flat: np.ndarray, shape: Shape, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each whole document, state carried from window to window."""
     p, total, h = split(flat, shape), np.zeros(len(bounds) - 1), None
-    for before, target, first, doc, active in windows(tokens, bounds):
+    small = _small(p)
+    for before, target, first, doc, active in windows(tokens, bounds, fill=SCORED):
         h = np.zeros((active, HIDDEN), np.float32) if h is None else h[:active]
         hs, h, _ = forward(p, before, first, h, False)
         doc, target, flat_hs = doc.reshape(-1), target.reshape(-1), hs.reshape(-1, HIDDEN)
         real = doc >= 0
         if not real.all():
             doc, target, flat_hs = doc[real], target[real], flat_hs[real]
-        logp, _ = output(p, shape, flat_hs, target)
+        logp, _ = output(p, shape, flat_hs, target, small=small)
         total += np.bincount(doc, weights=logp, minlength=len(total))
     return total

@@ -175,7 +175,7 @@ def fit(docs: DataFrame, hashes: np.ndarray, frequency: np.ndarray) -> np.ndarra
     tasks first and then in one, so the driver receives one vector however many tasks there are.
     """
     sc = docs.sparkSession.sparkContext
-    shape = gru.Shape.of(len(frequency))
+    shape = gru.Shape.of(len(frequency), frequency)
     flat = gru.start(shape, np.maximum(frequency, 1).astype(float))
     coder = sc.broadcast(Coder(hashes))
     slot = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text")), F.lit("part")), F.lit(16))
@@ -234,9 +234,10 @@ def lm_report(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
     ends = int(slim.where(~F.col("held")).count())
     inside = int(frequency.sum())
     other_n, other_v = n - ends - inside, distinct - len(hashes) - bool(ends)
-    flat = fit(slim, hashes, np.concatenate([[max(other_n, 1), max(ends, 1)], frequency]))
+    frequency = np.concatenate([[max(other_n, 1), max(ends, 1)], frequency])
+    flat = fit(slim, hashes, frequency)
     sc = spark.sparkContext
-    model = sc.broadcast((Coder(hashes), flat, gru.Shape.of(len(hashes) + 2)))
+    model = sc.broadcast((Coder(hashes), flat, gru.Shape.of(len(frequency), frequency)))
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         coder, flat, shape = model.value
